@@ -7,19 +7,66 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
-from tidemark.llm.common import table
+from tidemark.llm import mixing, simhash
+from tidemark.llm.common import stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.measured(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    narrow = stash(rows.select(F.col("row.doc_id").alias("doc_id"), "source", "size", "imp", "u"), "sizes")
+    taken = mixing.copies(narrow, mixing.plan(narrow))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, budget=2)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
     "op4_simhash": op4_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _prefix_sql(k: int, where: str) -> str:
+    """One filling round: the longest prefix by key that fits the gap g(k-1) of its source."""
+    return f"""
+s{k} AS (SELECT t.source, key, size, g{k - 1}, sum(size) OVER (PARTITION BY t.source ORDER BY key RANGE UNBOUNDED PRECEDING) AS cum, g{k - 1}
+         FROM placed JOIN t{k - 1} t USING (sid) WHERE key IS NOT NULL {where}),
+t{k} AS (SELECT t.*, greatest(coalesce((SELECT min(key) - 1 FROM s{k} x WHERE x.source IS NOT DISTINCT FROM t.source AND cum > x.g{k - 1}), 1::BIGINT << 50), {f"c{k - 1}" if k > 1 else "-1"}) AS c{k},
+         t.g{k - 1} - coalesce((SELECT max(cum) FROM s{k} x WHERE x.source IS NOT DISTINCT FROM t.source AND cum <= x.g{k - 1}), 0) AS g{k} FROM t{k - 1} t)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '~') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM documents),
+m AS (SELECT *, CASE WHEN size < 16 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS imp FROM d),
+per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
+weighed AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((sid - 1) % 3) + 1] AS w, source_size * 2.0::DOUBLE AS most FROM per),
+level AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(w) OVER (ORDER BY most / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+target AS (SELECT source, sid, source_size, least(most, coalesce(min(CASE WHEN level * w <= most THEN level END) OVER () * w, most)) AS target FROM level),
+placed0 AS (SELECT m.*, t.sid, t.target FROM m JOIN target t ON m.source IS NOT DISTINCT FROM t.source),
+bands AS (SELECT sid, imp, any_value(target) AS target, sum(size)::BIGINT AS words FROM placed0 GROUP BY sid, imp HAVING sum(size) > 0),
+lams AS (SELECT *, (target - coalesce(sum(words) OVER (PARTITION BY sid ORDER BY imp DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2.0::DOUBLE)
+             / sum(imp * words) OVER (PARTITION BY sid ORDER BY imp DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM bands),
+scale AS (SELECT sid, max_by(lam, imp) AS lam FROM lams WHERE lam * imp <= 2 GROUP BY sid),
+expected AS (SELECT p.*, least(2.0::DOUBLE, CASE WHEN t.source_size > 0 THEN coalesce(lam, 'inf'::DOUBLE) ELSE 0 END * imp) AS e
+             FROM placed0 p JOIN target t USING (sid) LEFT JOIN scale USING (sid)),
+odds AS (SELECT *, floor(e) AS whole, (u / (1 - u)) * ((1 - (e - floor(e))) / nullif(e - floor(e), 0)) AS o FROM expected),
+placed AS (SELECT doc_id, source, sid, size, whole, CASE WHEN size > 0 THEN floor(o / (1 + o) * 281474976710656.0::DOUBLE)::BIGINT END AS key FROM odds),
+t0 AS (SELECT t.*, target - coalesce((SELECT sum(whole * size) FROM placed p WHERE p.sid = t.sid), 0) AS g0 FROM target t),
+{_prefix_sql(1, "")},
+{_prefix_sql(2, "AND key > c1 AND size <= g1")},
+{_prefix_sql(3, "AND key > c2 AND size <= g2")},
+chosen AS (SELECT p.*, t.target, t.source_size, t.g3,
+             coalesce(key <= c1 OR (key > c1 AND key <= c2 AND size <= g1) OR (key > c2 AND key <= c3 AND size <= g2), false) AS inside FROM placed p JOIN t3 t USING (sid)),
+one AS (SELECT *, min(CASE WHEN NOT inside AND size < 2 * g3 THEN key END) OVER (PARTITION BY sid) AS k4 FROM chosen),
+took AS (SELECT *, (whole + (inside OR coalesce(key = k4 AND size < 2 * g3, false))::INT)::BIGINT AS copies FROM one)
+SELECT doc_id, size::BIGINT AS size, source_size, target, copies * size AS taken, source, copies FROM took""",
+}
