@@ -52,3 +52,17 @@ def word_count(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labelled_sample(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, max_rows: int) -> DataFrame:
+    """(id, y, text): about max_rows labelled rows at most, as a written table.
+
+    marks: (id, y). Ids are drawn by their hash, so the draw does not depend on partitions. The drawn ids are bounded and
+    may be broadcast; texts are read once and only drawn ones move. Of several texts of one id the smallest stays, and of
+    several labels the largest.
+    """
+    marks = marks.groupBy("id").agg(F.max("y").alias("y"))
+    share = max_rows / max(1, marks.count())
+    drawn = marks.where(F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53) < share) if share < 1 else marks
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    return stash(texts.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min("text").alias("text")), "labelled")
