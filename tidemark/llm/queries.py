@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, simhash, toxicity
+from tidemark.llm import mixing, packing, pii, simhash, toxicity
 from tidemark.llm.common import stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "text", "n_entities")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -39,6 +43,7 @@ QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
+    "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
 }
 
