@@ -52,8 +52,8 @@ def source_targets(rows: DataFrame, weights: Sequence[float], share: float, cap:
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     level = (F.sum("source_size").over(everything) * float(share) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(after)
     per = per.withColumn("level", level)
-    lowest = F.min(F.when(F.col("level") * F.col("w") <= F.col("most"), F.col("level"))).over(everything)
-    return per.withColumn("target", F.least("most", F.coalesce(lowest * F.col("w"), F.col("most")))).select("source", "source_size", "target")
+    # Capping the sources in order of cap to weight raises the others' level for as long as it is due and lowers it after.
+    return per.withColumn("target", F.least("most", F.max("level").over(everything) * F.col("w"))).select("source", "source_size", "target")
 
 
 def _scales(rows: DataFrame, targets: DataFrame, cap: float) -> DataFrame:

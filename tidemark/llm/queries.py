@@ -67,7 +67,7 @@ per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDE
 weighed AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((sid - 1) % 3) + 1] AS w, source_size * 2.0::DOUBLE AS most FROM per),
 level AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (ORDER BY most / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
-target AS (SELECT source, sid, source_size, least(most, coalesce(min(CASE WHEN level * w <= most THEN level END) OVER () * w, most)) AS target FROM level),
+target AS (SELECT source, sid, source_size, least(most, max(level) OVER () * w) AS target FROM level),
 placed0 AS (SELECT m.*, t.sid, t.target FROM m JOIN target t ON m.source IS NOT DISTINCT FROM t.source),
 bands AS (SELECT sid, imp, any_value(target) AS target, sum(size)::BIGINT AS words FROM placed0 GROUP BY sid, imp HAVING sum(size) > 0),
 lams AS (SELECT *, (target - coalesce(sum(words) OVER (PARTITION BY sid ORDER BY imp DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2.0::DOUBLE)
