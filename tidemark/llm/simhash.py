@@ -14,8 +14,9 @@ component's ids are null; repeated rows stay repeated rows; an empty table gives
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,26 +35,38 @@ HOT = 50_000
 WIDE = 1 << 18
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """SimHash of a UTF-8 text over its word shingles, repeats included; a bit is set if over half of the hashes have it."""
+def _lane(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of a shingle, mixed from its first; lane 0 is the hash itself."""
+    if not k:
+        return h
+    h = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: bytes | None, words: int = 3, lanes: int = 1) -> np.ndarray:
+    """SimHash of a UTF-8 text over its word shingles, repeats included, as `lanes` uint64: a bit is set if over half of the hashes have it."""
     found = _SPLIT.findall((text or b"").translate(_LOWER))
     n = len(found)
     if not n:
-        return 0
+        return np.zeros(lanes, np.uint64)
     flat = b" ".join(found)
     if n <= words:
-        return xxhash.xxh64_intdigest(flat, SEED)
+        one = np.array([xxhash.xxh64_intdigest(flat, SEED)], np.uint64)
+        return np.concatenate([_lane(one, k) for k in range(lanes)])
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, n) + 1) - 1
     starts = np.empty(n, np.int64)
     starts[0], starts[1:] = 0, ends[:-1] + 1
     digest, view = xxhash.xxh64_intdigest, memoryview(flat)
-    total, m = np.zeros(64, np.int64), n - words + 1
+    total, m = np.zeros((lanes, 64), np.int64), n - words + 1
     for at in range(0, m, 1 << 14):
         lo, hi = starts[at : min(at + (1 << 14), m)].tolist(), ends[at + words - 1 : min(at + (1 << 14), m) + words - 1].tolist()
         h = np.fromiter((digest(view[a:b], SEED) for a, b in zip(lo, hi)), np.uint64, len(lo))
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for k in range(lanes):
+            total[k] += np.unpackbits(_lane(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * total > m).astype(np.uint64)
-    return int((bits << np.arange(64, dtype=np.uint64)).sum())
+    return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -62,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
+            fp = np.fromiter((fingerprint(t.as_py(), words)[0] for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     return rows.mapInArrow(run, "id long, fp long")
@@ -80,59 +93,75 @@ def _find(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
+def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    while len(i):
+        parent = _find(parent)
+        i, j = parent[i], parent[j]
+        apart = i != j
+        i, j = np.minimum(i[apart], j[apart]), np.maximum(i[apart], j[apart])
+        np.minimum.at(parent, j, i)
+    return _find(parent)
+
+
 def trie_components(fp: np.ndarray, root: np.ndarray, budget: int) -> np.ndarray:
-    """Self-join of binary tries. fp: distinct uint64 per root, sorted by (root, fp); root: which trie each belongs to.
+    """Self-join of binary tries. fp: distinct rows of one or more uint64, sorted by (root, fp); root: which trie each is in.
 
     A node is a run of sorted fingerprints that share their upper bits. Pairs of nodes of one level go down together: a pair
     splits into its children's pairs, a pair of unlike children costs one differing bit, and a pair over budget is dropped.
-    Pairs whose nodes are single fingerprints are settled at once by the bits that are left. Returns, for each fingerprint,
-    the index of the first one it is connected with.
+    Pairs whose nodes are single fingerprints are settled at once by all of their bits. Neighbours in order are settled
+    first, and pairs of nodes that one component holds already are dropped, so a dense group costs its size and not its
+    square. Returns, for each fingerprint, the index of the first one it is connected with.
     """
-    n = len(fp)
+    fp = fp.reshape(len(fp), -1)
+    n, lanes = fp.shape
     parent = np.arange(n, dtype=np.int64)
     if n < 2:
         return parent
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= budget
+
+    i = np.flatnonzero(root[1:] == root[:-1])
+    i = i[near(i, i + 1)]
+    parent = _unite(parent, i, i + 1)
     cut = np.flatnonzero(np.r_[True, root[1:] != root[:-1]])
     lo, hi = cut, np.r_[cut[1:], n]
     many = hi - lo > 1
-    todo = [(63, lo[many], hi[many], lo[many], hi[many], np.zeros(int(many.sum()), np.int8))]
+    todo = [(0, lo[many], hi[many], lo[many], hi[many], np.zeros(int(many.sum()), np.int16))]
 
     def middle(a: np.ndarray, b: np.ndarray, bit: int) -> np.ndarray:
         """First index in each run [a, b) whose bit is set; runs share all higher bits, so a binary search finds it."""
-        a, end = a.copy(), b.copy()
+        a, end, lane, shift = a.copy(), b.copy(), fp[:, bit // 64], np.uint64(63 - bit % 64)
         while True:
             open_ = a < end
             if not open_.any():
                 return a
             mid = (a + end) >> 1
-            one = (fp[np.minimum(mid, n - 1)] >> np.uint64(bit) & np.uint64(1)).astype(bool)
+            one = (lane[np.minimum(mid, n - 1)] >> shift & np.uint64(1)).astype(bool)
             end = np.where(open_ & one, mid, end)
             a = np.where(open_ & ~one, mid + 1, a)
 
+    turns = np.cumsum(np.r_[0, parent[1:] != parent[:-1]])  # equal at both ends of a run: one component holds the run
     while todo:
         bit, a0, a1, b0, b1, d = todo.pop()
         if len(a0) > WIDE:
             for at in range(0, len(a0), WIDE):
                 todo.append((bit, *(x[at : at + WIDE] for x in (a0, a1, b0, b1, d))))
             continue
-        same = a0 == b0
-        single = (a1 - a0 == 1) & (b1 - b0 == 1)
-        if (ends := single & ~same).any():
-            i, j = a0[ends], b0[ends]
-            near = np.bitwise_count(fp[i] ^ fp[j]) <= budget
-            i, j = i[near], j[near]
-            while len(i):
-                parent = _find(parent)
-                i, j = parent[i], parent[j]
-                apart = i != j
-                i, j = np.minimum(i[apart], j[apart]), np.maximum(i[apart], j[apart])
-                np.minimum.at(parent, j, i)
-        go = ~single
-        if bit < 0 or not go.any():
+        one = (turns[a0] == turns[a1 - 1]) & (turns[b0] == turns[b1 - 1]) & (parent[a0] == parent[b0])
+        single = (a1 - a0 == 1) & (b1 - b0 == 1) & ~one
+        if single.any():
+            i, j = a0[single], b0[single]
+            close = near(i, j)
+            if close.any():
+                parent = _unite(parent, i[close], j[close])
+                turns = np.cumsum(np.r_[0, parent[1:] != parent[:-1]])
+        go = ~single & ~one
+        if bit == 64 * lanes or not go.any():
             continue
-        a0, a1, b0, b1, d, same = a0[go], a1[go], b0[go], b1[go], d[go], same[go]
+        a0, a1, b0, b1, d = a0[go], a1[go], b0[go], b1[go], d[go]
         am, bm = middle(a0, a1, bit), middle(b0, b1, bit)
-        other = ~same
+        other = a0 != b0
         parts = [  # zeros with zeros, ones with ones, zeros with ones; ones with zeros only where the nodes differ
             (a0, am, b0, bm, d),
             (am, a1, bm, b1, d),
@@ -142,8 +171,43 @@ def trie_components(fp: np.ndarray, root: np.ndarray, budget: int) -> np.ndarray
         x0, x1, y0, y1, e = (np.concatenate(x) for x in zip(*parts))
         keep = (x0 < x1) & (y0 < y1) & (e <= budget) & ~((x0 == y0) & (x1 - x0 == 1))
         if keep.any():
-            todo.append((bit - 1, x0[keep], x1[keep], y0[keep], y1[keep], e[keep].astype(np.int8)))
-    return _find(parent)
+            todo.append((bit + 1, x0[keep], x1[keep], y0[keep], y1[keep], e[keep].astype(np.int16)))
+    return parent
+
+
+def _join_buckets(keys: int, lanes: int, budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over rows (keys, lanes) of long, sorted by the keys: the spanning links (a, b) of every key's trie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in batches:
+            held.append(np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(keys + lanes)], axis=1))
+            if sum(map(len, held)) >= 1 << 17:
+                rows = np.concatenate(held)
+                last = (rows[:, :keys] == rows[-1, :keys]).all(axis=1)
+                start = 0 if last.all() else len(rows) - int(np.argmin(last[::-1]))
+                yield from settle(rows[:start])
+                held = [rows[start:]]
+        if held:
+            yield from settle(np.concatenate(held))
+
+    def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(rows):
+            return
+        root = np.r_[0, np.cumsum((rows[1:, :keys] != rows[:-1, :keys]).any(axis=1))]
+        fp = np.ascontiguousarray(rows[:, keys:]).view(np.uint64)
+        order = np.lexsort((*fp.T[::-1], root))
+        fp, root = fp[order], root[order]
+        parent = trie_components(fp, root, budget)
+        joined = np.flatnonzero(parent != np.arange(len(parent)))
+        if len(joined):
+            first, second = (fp[x, 0].view(np.int64) if lanes == 1 else np.ascontiguousarray(fp[x]).view(np.int64) for x in (joined, parent[joined]))
+            if lanes == 1:
+                yield pa.record_batch([pa.array(first), pa.array(second)], names=["a", "b"])
+            else:
+                yield pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), lanes).cast(pa.list_(pa.int64())) for x in (first, second)], names=["a", "b"])
+
+    return run
 
 
 def links(fps: DataFrame, budget: int = 2, hot: int | None = None) -> DataFrame:
@@ -173,33 +237,7 @@ def links(fps: DataFrame, budget: int = 2, hot: int | None = None) -> DataFrame:
             parts = F.array(*(F.struct(F.lit((k + 1) * 100 + j).alias("k"), mask_of(b).alias("w")) for j, b in enumerate(free)))
             kept = kept.unionByName(again.where(F.col("k") == k).select("v", "fp", F.explode(parts).alias("x")).select(F.col("x.k").alias("k"), "v", F.col("x.w").alias("w"), "fp"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for b in batches:
-            block = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(4)], axis=1)
-            held.append(block)
-            if sum(map(len, held)) >= 1 << 18:
-                rows = np.concatenate(held)
-                last = (rows[:, :3] == rows[-1, :3]).all(axis=1)
-                start = len(rows) - int(np.argmin(last[::-1])) if not last.all() else 0
-                if start:
-                    yield from settle(rows[:start])
-                held = [rows[start:]]
-        if held:
-            yield from settle(np.concatenate(held))
-
-    def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(rows):
-            return
-        root = np.r_[0, np.cumsum((rows[1:, :3] != rows[:-1, :3]).any(axis=1))]
-        fp = np.ascontiguousarray(rows[:, 3]).view(np.uint64)
-        order = np.lexsort((fp, root))
-        fp, root = fp[order], root[order]
-        parent = trie_components(fp, root, budget)
-        joined = parent != np.arange(len(parent))
-        if joined.any():
-            yield pa.record_batch([pa.array(fp[joined].view(np.int64)), pa.array(fp[parent[joined]].view(np.int64))], names=["a", "b"])
-
+    run = _join_buckets(3, 1, budget)
     return kept.repartition(n, "k", "v", "w").sortWithinPartitions("k", "v", "w").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -237,3 +275,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     owner = joined.groupBy("root").agg(F.min("least").alias("component"))
     return marks.join(joined.join(owner, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+
+
+#: Deals of the wide join: each takes DEAL_BITS of the 256 bits, drawn once. A pair at similarity 0.8 differs in 15 % of the
+#: bits, so it meets in at least one of the deals with probability 0.97, and one at 0.9 with 0.999.
+DEALS, DEAL_BITS, LANES = 24, 12, 4
+
+
+def bit_budget(similarity: float, bits: int = 64 * LANES) -> int:
+    """Bits that two texts at this Jaccard similarity of shingles may differ in: the expected share and one standard error."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block: int | None = None) -> DataFrame:
+    """(id, text_hash, fp, component): groups of texts whose shingles overlap by about `similarity` or more.
+
+    64 bits cannot tell 0.8 from 0.5, so fingerprints have 256 here and the trie self-join takes the budget of that
+    similarity. Pairs meet in any of DEALS tries, each over the fingerprints that agree on some drawn bits. A trie of more
+    than `block` fingerprints is dealt in blocks, every pair of blocks a trie of its own, so that no task holds more than two.
+    """
+    block = HOT if block is None else block
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.stack([fingerprint(t.as_py(), words, LANES) for t in b.column(2)]).view(np.int64) if b.num_rows else np.zeros((0, LANES), np.int64)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(fp.ravel()), LANES).cast(pa.list_(pa.int64()))
+            yield pa.record_batch([b.column(0), b.column(1), lists], names=["id", "text_hash", "fp"])
+
+    marks = stash(rows.mapInArrow(run, "id long, text_hash long, fp array<long>"), "fingerprints")
+    least = stash(marks.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    drawn = np.random.default_rng(SEED)
+    deals = np.stack([drawn.choice(64 * LANES, DEAL_BITS, replace=False) for _ in range(DEALS)])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(0).flatten()
+            bits = np.unpackbits(np.asarray(fp).view(np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
+            for k, places in enumerate(deals):
+                value = bits[:, places].astype(np.int64) @ (1 << np.arange(DEAL_BITS))
+                yield pa.record_batch([pa.array(np.full(b.num_rows, k, np.int32)), pa.array(value), b.column(0)], names=["k", "v", "fp"])
+
+    dealt = least.select("fp").mapInArrow(deal, "k int, v long, fp array<long>")
+    sizes = stash(dealt.groupBy("k", "v").count().where("count > 1"), "buckets").withColumn("blocks", F.ceil(F.col("count") / block))
+    dealt = dealt.join(sizes.drop("count"), ["k", "v"])
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least(o, mine) * F.col("blocks") + F.greatest(o, mine))
+    dealt = dealt.select("k", "v", F.explode(pairs).alias("w"), "fp")
+    cols = [F.col("fp")[k].alias(f"f{k}") for k in range(LANES)]
+    found = dealt.select("k", "v", "w", *cols).repartition(partitions(docs.sparkSession), "k", "v", "w").sortWithinPartitions("k", "v", "w").mapInArrow(_join_buckets(3, LANES, bit_budget(similarity)), "a array<long>, b array<long>").distinct()
+    roots = components(found)
+    joined = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    owner = joined.groupBy("root").agg(F.min("least").alias("component"))
+    return marks.join(joined.join(owner, "root").select("fp", "component", "root"), "fp").select("id", "text_hash", "fp", "component", "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of every group of near copies: that of the smallest id (null ids last), then of the smallest text hash."""
+    groups = near_copies(docs, id_col, text_col, words, similarity)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")).alias("m"))
+    keep = first.select(F.col("m.id").alias("id"), F.col("m.text_hash").alias("text_hash")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__hash"))
+    kept = rows.join(keep, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("text_hash")), "left_semi")
+    return kept.groupBy("__id", "__hash").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
