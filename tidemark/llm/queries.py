@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, pii, simhash, toxicity
+from tidemark.llm import mixing, packing, pii, simhash, suffixes, toxicity
 from tidemark.llm.common import stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,12 +39,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
+    "op10_suffixes": op10_suffixes,
 }
 
 def _prefix_sql(k: int, where: str) -> str:
