@@ -28,8 +28,8 @@ from tidemark.llm.linear import Rows, lbfgs
 
 BITS = 18
 ORDERS = (3, 4, 5)
-MAX_ROWS = 20_000
-KEPT = 1 << 14
+MAX_ROWS = 8_000
+KEPT = 1 << 11
 _M = np.uint64(0x9E3779B97F4A7C15)
 _FINAL = np.uint64(0xD6E8FEB86659FD93)
 
@@ -69,7 +69,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, kept: int = KEPT, l2: float = 1.0, alpha: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, kept: int = KEPT, l2: float = 2.0, alpha: float = 1.0) -> Model:
     """Learn from at most max_rows labelled rows outside the held-out fifth."""
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("id")))
     rows = labelled_sample(docs, marks, id_col, text_col, max_rows)
