@@ -23,7 +23,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    files = tokens.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    files = tokens.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, by_word=True)
     return tokens.read(files).drop("ids")
 
 

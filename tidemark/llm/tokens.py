@@ -134,12 +134,73 @@ class FileReader:
             at += n
 
 
-def _encoded(texts: list[str], tokenizer) -> Iterator[np.ndarray]:
-    for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-        yield np.array(e.ids, "<u4")
-
-
-def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, bits: bool = False, chunk: int = CHUNK, file_ids: int = FILE_IDS) -> DataFrame:
+class Encoder:
+    """Encodes texts with a tokenizer of the tokenizers library, to little-endian unsigned 32-bit ids.
+
+    by_word: for tokenizers that lower case and drop white space, and split off punctuation, so that a text's ids are those of
+    its lower-cased words in order. Every distinct word is then encoded once for as long as it is remembered: plain words by
+    the library's model alone, the others together through the whole tokenizer, with a mark between them. Texts that hold the
+    mark or might hold special tokens are encoded whole.
+    """
+
+    MARK, SPECIAL, MOST, LONG, TOGETHER = "\x01", b"<|", 400_000, 64, 256
+
+    def __init__(self, tokenizer, by_word: bool):
+        self.tokenizer, self.by_word = tokenizer, by_word
+        mark = self._ids([self.MARK])[0]
+        self.mark, self.by_word = mark[:1], by_word and len(mark) == 1
+        self.stops = {c: self._ids([c.decode()])[0].tobytes() for c in (b".", b",")} if self.by_word else {}
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, tokenize, stops, odd, ended = self.known, self.tokenizer.model.tokenize, self.stops, [], []
+        for w in words:
+            core = w[:-1] if w[-1:] in stops else w
+            if core.isalpha():  # of bytes: ASCII letters only
+                ids = known.get(core)
+                if ids is None:
+                    ids = known[core] = struct.pack(f"<{len(t := tokenize(core.decode()))}I", *[x.id for x in t])
+                if core is not w:
+                    known[w] = ids + stops[w[-1:]]
+            else:
+                odd.append(w)
+        for at in range(0, len(odd), self.TOGETHER):
+            part = odd[at : at + self.TOGETHER]
+            ids = self._ids([f" {self.MARK} ".join([w.decode() for w in part])])[0]
+            cut = np.r_[-1, np.flatnonzero(ids == self.mark), len(ids)].tolist()
+            raw = ids.tobytes()
+            for w, a, b in zip(part, cut, cut[1:]):
+                known[w] = raw[4 * a + 4 : 4 * b]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [x.tobytes() for x in self._ids(texts)]
+        split: list[list[bytes] | None] = []
+        for t in texts:
+            raw = t.encode().lower()  # A-Z only
+            if self.SPECIAL in raw or b"\x01" in raw:
+                split.append(None)
+            else:
+                split.append(raw.translate(_BLANK).split(b" "))
+        if len(self.known) > self.MOST:
+            self.known = {b"": b""}
+        new = set().union(*filter(None, split)).difference(self.known)
+        self._learn(new)
+        look = self.known.__getitem__
+        out = [self._ids([t])[0].tobytes() if words is None else b"".join(map(look, words)) for t, words in zip(texts, split)]
+        for w in new:
+            if len(w) > self.LONG:
+                del self.known[w]
+        return out
+
+
+_BLANK = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
+
+
+def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, by_word: bool = False, bits: bool = False, chunk: int = CHUNK, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode every text and write the files; returns the written table of files (part, serial, path, documents, ids, start)."""
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "token-files")
@@ -152,9 +213,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer, out, serial, part = None, None, 0, TaskContext.get().partitionId()
+        encode, out, serial, part, last = None, None, 0, TaskContext.get().partitionId(), struct.pack("<I", end_id)
         for b in batches:
-            tokenizer = tokenizer or Tokenizer.from_str(vocabulary.value)
+            encode = encode or Encoder(Tokenizer.from_str(vocabulary.value), by_word)
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             at = 0
             while at < len(texts):
@@ -162,11 +223,11 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
                 while stop < len(texts) and size < BATCH_BYTES:
                     size += len(texts[stop])
                     stop += 1
-                for i, e in zip(ids[at:stop], _encoded(texts[at:stop], tokenizer)):
+                for i, e in zip(ids[at:stop], encode(texts[at:stop])):
                     if out is None:
                         path = f"{folder}/{part}-{serial}-{uuid.uuid4().hex}.tok"
                         out = FileWriter(path, chunk, bits)
-                    out.add(i, np.append(e, np.uint32(end_id)).astype("<u4"))
+                    out.add(i, np.frombuffer(e + last, "<u4"))
                     if out.total >= file_ids:
                         yield finish(out, part, serial, path)
                         out, serial = None, serial + 1
