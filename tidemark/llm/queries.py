@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, pii, simhash, suffixes, tokens, toxicity
+from tidemark.llm import ann, blockmax, mixing, packing, pii, simhash, suffixes, tokens, toxicity
 from tidemark.llm.common import stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "text", "n_entities")
 
@@ -46,6 +50,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockmax.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
+
+
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
@@ -55,8 +63,10 @@ QUERIES: dict[str, Query] = {
     "op2_tokens": op2_tokens,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
+    "op5_ann": op5_ann,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
+    "op8_blockmax": op8_blockmax,
     "op10_suffixes": op10_suffixes,
 }
 
@@ -70,6 +80,13 @@ t{k} AS (SELECT t.*, greatest(coalesce((SELECT min(key) - 1 FROM s{k} x WHERE x.
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_blockmax": """
+WITH v AS (SELECT DISTINCT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w::DOUBLE[], c.w::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op1_mixing": rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
