@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, blockmax, mixing, packing, pii, simhash, suffixes, tokens, toxicity
+from tidemark.llm import ann, blockmax, mixing, packing, pii, quality, simhash, suffixes, tokens, toxicity
 from tidemark.llm.common import stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,14 @@ def op8_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blockmax.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 for poor, 1 for good but toxic, 2 for good and clean text. Kept is what is more likely good than not."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    model = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")))
+    return quality.scores(docs, model, grade=1, keep=0.5).select("row.doc_id", "expected_grade", "tail_probability", "keep")
+
+
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
@@ -67,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_blockmax": op8_blockmax,
+    "op9_quality": op9_quality,
     "op10_suffixes": op10_suffixes,
 }
 
