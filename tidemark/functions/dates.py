@@ -40,23 +40,26 @@ def _month(name: Column) -> Column:
 
 def _midnight(year: Column, month: Column, day: Column) -> Column:
     """Seconds of a UTC midnight; null where the calendar has no such day."""
-    return F.unix_timestamp(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd"))).cast("double")
+    return F.unix_date(F.to_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd")))) * DAY
 
 
 def _shift(ref: Column, months: Column) -> Column:
     """Whole calendar months away at the same time of day, the day clamped to the month."""
-    day = F.to_date(F.timestamp_seconds(F.floor(ref)))
-    return F.unix_timestamp(F.add_months(day, months).cast("timestamp")).cast("double") + (ref - F.floor(ref / DAY) * DAY)
+    return F.unix_date(F.add_months(_day(ref), months)) * DAY + (ref - F.floor(ref / DAY) * DAY)
+
+
+def _day(ref: Column) -> Column:
+    """The UTC day of a time in seconds, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(ref / DAY).cast("int"))
 
 
 def event_date(text: Column, ref: Column) -> Column:
     """Seconds of the event date stated in text, relative to ref (seconds, UTC); null if there is none.
 
     An ISO or M/D/Y date with an impossible month or day number is passed over; one that only the calendar lacks (Feb 30)
-    ends the search with null. The session time zone must be UTC.
+    ends the search with null.
     """
-    now = F.timestamp_seconds(F.floor(ref))
-    year, month = F.year(now), F.month(now)
+    year, month = F.year(_day(ref)), F.month(_day(ref))
 
     def plausible(m: Column, d: Column) -> Column:
         return m.between(1, 12) & d.between(1, 31)
