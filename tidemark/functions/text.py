@@ -54,10 +54,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return set_jaccard(tokenize(a), tokenize(b))
 
 
-@F.pandas_udf("string")
-def _nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+def _nfkc(text: Column) -> Column:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def normalize(text: Column, compatibility: bool = False) -> Column:

@@ -140,8 +140,9 @@ def parse_completions(rows: DataFrame) -> DataFrame:
         toks = tokenize(c, drop_stop=False)
         return (F.size(toks) > 0) & (F.size(F.array_except(toks, source)) == 0)
 
-    kept = lines.where(grounded(F.col("p")[0]) & grounded(F.col("p")[2]))
-    return _bounded(kept.withColumn("fact", _fact(F.col("p")[0], F.col("p")[1], F.col("p")[2]))).select("text_id", "clause_no", "fact.*")
+    subject, predicate, obj = (F.get("p", F.lit(k)) for k in range(3))
+    kept = lines.where(grounded(subject) & grounded(obj))
+    return _bounded(kept.withColumn("fact", _fact(subject, predicate, obj))).select("text_id", "clause_no", "fact.*")
 
 
 def suppress_echoes(texts: DataFrame, facts: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ class Journal:
         paths = [f"{self.folder.root}/batch={b}" for b in self._state()["batches"]]
         if not paths:
             return self.spark.createDataFrame([], self.schema).withColumn("batch", F.lit(0).cast("int"))
-        return self.spark.read.option("basePath", self.folder.root).schema(self.spark.createDataFrame([], self.schema).schema.add("batch", "int")).parquet(*paths)
+        return self.spark.read.option("basePath", self.folder.root).schema(self.spark.createDataFrame([], self.schema).schema.add("batch", T.IntegerType())).parquet(*paths)
 
     def due(self) -> bool:
         return len(self._state()["batches"]) >= self.compact_every
