@@ -138,59 +138,75 @@ class Encoder:
     """Encodes texts with a tokenizer of the tokenizers library, to little-endian unsigned 32-bit ids.
 
     by_word: for tokenizers that lower case and drop white space, and split off punctuation, so that a text's ids are those of
-    its lower-cased words in order. Every distinct word is then encoded once for as long as it is remembered: plain words by
-    the library's model alone, the others together through the whole tokenizer, with a mark between them. Texts that hold the
-    mark or might hold special tokens are encoded whole.
+    its lower-cased words in order, and a word's those of its letters and of the marks behind them. Every distinct word is
+    then encoded once for as long as it is remembered: plain letters by the library's model alone, the others together through
+    the whole tokenizer, with a mark between them. Texts that hold the mark or might hold special tokens are encoded whole.
     """
 
-    MARK, SPECIAL, MOST, LONG, TOGETHER = "\x01", b"<|", 400_000, 64, 256
+    MARK, SPECIAL, MOST, LONG, TOGETHER, TAIL = "\x01", b"<|", 800_000, 64, 256, b".,!?;:$%&*#|()-\""
 
     def __init__(self, tokenizer, by_word: bool):
         self.tokenizer, self.by_word = tokenizer, by_word
         mark = self._ids([self.MARK])[0]
         self.mark, self.by_word = mark[:1], by_word and len(mark) == 1
-        self.stops = {c: self._ids([c.decode()])[0].tobytes() for c in (b".", b",")} if self.by_word else {}
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.tails: dict[bytes, bytes] = {b"": b""}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[bytes]) -> None:
-        known, tokenize, stops, odd, ended = self.known, self.tokenizer.model.tokenize, self.stops, [], []
+        known, tokenize, tails, mark = self.known, self.tokenizer.model.tokenize, self.tails, self.TAIL
+        odd, ended = set(), []
         for w in words:
-            core = w[:-1] if w[-1:] in stops else w
+            core = w.rstrip(mark)
             if core.isalpha():  # of bytes: ASCII letters only
                 ids = known.get(core)
                 if ids is None:
-                    ids = known[core] = struct.pack(f"<{len(t := tokenize(core.decode()))}I", *[x.id for x in t])
-                if core is not w:
-                    known[w] = ids + stops[w[-1:]]
+                    t = tokenize(core.decode())
+                    ids = known[core] = struct.pack(f"<{len(t)}I", *[x.id for x in t])
+                if len(core) != len(w):
+                    tail = w[len(core) :]
+                    if tail not in tails:
+                        tails[tail] = self._ids([tail.decode()])[0].tobytes()
+                    known[w] = ids + tails[tail]
+            elif len(core) != len(w) and core and core.decode()[-1].isalpha():
+                ended.append((w, core, w[len(core) :]))
+                if core not in known:
+                    odd.add(core)
             else:
-                odd.append(w)
-        for at in range(0, len(odd), self.TOGETHER):
-            part = odd[at : at + self.TOGETHER]
+                odd.add(w)
+        self._learn_odd(list(odd))
+        for w, core, tail in ended:
+            if tail not in tails:
+                tails[tail] = self._ids([tail.decode()])[0].tobytes()
+            known[w] = known[core] + tails[tail]
+        if len(tails) > self.LONG << 10:
+            self.tails = {b"": b""}
+
+    def _learn_odd(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), self.TOGETHER):
+            part = words[at : at + self.TOGETHER]
             ids = self._ids([f" {self.MARK} ".join([w.decode() for w in part])])[0]
             cut = np.r_[-1, np.flatnonzero(ids == self.mark), len(ids)].tolist()
             raw = ids.tobytes()
             for w, a, b in zip(part, cut, cut[1:]):
-                known[w] = raw[4 * a + 4 : 4 * b]
+                self.known[w] = raw[4 * a + 4 : 4 * b]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts."""
         if not self.by_word:
-            return [x.tobytes() for x in self._ids(texts)]
+            return [x.tobytes() for x in self._ids([t.decode() for t in texts])]
         split: list[list[bytes] | None] = []
         for t in texts:
-            raw = t.encode().lower()  # A-Z only
-            if self.SPECIAL in raw or b"\x01" in raw:
-                split.append(None)
-            else:
-                split.append(raw.translate(_BLANK).split(b" "))
+            raw = t.lower()  # A-Z only
+            split.append(None if self.SPECIAL in raw or b"\x01" in raw else raw.translate(_BLANK).split(b" "))
         if len(self.known) > self.MOST:
             self.known = {b"": b""}
         new = set().union(*filter(None, split)).difference(self.known)
         self._learn(new)
         look = self.known.__getitem__
-        out = [self._ids([t])[0].tobytes() if words is None else b"".join(map(look, words)) for t, words in zip(texts, split)]
+        out = [self._ids([t.decode()])[0].tobytes() if words is None else b"".join(map(look, words)) for t, words in zip(texts, split)]
         for w in new:
             if len(w) > self.LONG:
                 del self.known[w]
@@ -206,7 +222,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
     folder = folder or fresh_path(spark, "token-files")
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # the tokenizer's file, whatever the input
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
     rows = rows.repartitionByRange(partitions(spark), "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
