@@ -38,7 +38,7 @@ from tidemark.llm.files import from_planes, get, pack_arrays, put, to_planes, un
 #: Bytes of a repeated string, and of the grams that anchor its windows.
 LENGTH, GRAM = 50, 24
 #: Text bytes of a shard, and of one suffix array; documents of a shard; records of a bucket.
-SHARD_BYTES, SHARD_DOCS, BUCKET = 4 << 20, 1 << 20, 1 << 20
+SHARD_BYTES, ARRAY_BYTES, SHARD_DOCS, BUCKET = 4 << 20, 2 << 20, 1 << 20, 1 << 20
 #: Windows handled at once, which bounds the memory of a task whatever a text's length.
 STEP = 1 << 20
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -106,7 +106,7 @@ class Runs:
             span = (a - first).astype(np.uint64) * _C1 + (end - first).astype(np.uint64)
             for p in (first, first + GRAM, end - 2 * GRAM, end - GRAM):
                 span = _mix(span * _C2 + gram[p])
-            parts.append((first + at, count, gram[a], span))
+            parts.append((first + at, count, _mix(gram[a] * _C1), span))  # least hashes are small; buckets need even ones
         cols = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
         self.first, self.count = cols[0], cols[1]
         self.anchor, self.span = cols[2] >> np.uint64(16), cols[3] >> np.uint64(16)
@@ -450,9 +450,9 @@ def _finish(with_text: bool):
     return run
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, shard_bytes: int | None = None, bucket_records: int | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, shard_bytes: int | None = None, array_bytes: int | None = None, bucket_records: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): what is left of every row's text; kept is null without with_text."""
-    shard_bytes, bucket_records = shard_bytes or SHARD_BYTES, bucket_records or BUCKET
+    shard_bytes, array_bytes, bucket_records = shard_bytes or SHARD_BYTES, array_bytes or ARRAY_BYTES, bucket_records or BUCKET
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     ranges = max(1, -(-total // shard_bytes))
     buckets = max(1, -(-total // 14 // bucket_records))  # about one run for fourteen bytes
@@ -460,6 +460,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     records = _cut(docs, id_col, text_col, folder, shard_bytes, ranges, buckets)
     replies = stash(records.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_settle, _ddl(_REPLIES)), "replies")
     spans = replies.where(F.col("kind") == ASKED).repartition(ranges, "shard").groupBy("shard").applyInArrow(_send(buckets), _ddl(_SPANS))
-    masks = stash(spans.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_compare(shard_bytes), _ddl(_REPLIES)), "masks")
+    masks = stash(spans.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_compare(array_bytes), _ddl(_REPLIES)), "masks")
     rest = replies.where(F.col("kind") != ASKED).unionByName(masks)
     return rest.repartition(ranges, "shard").groupBy("shard").applyInArrow(_finish(with_text), _RESULT)
