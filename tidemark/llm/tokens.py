@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -143,7 +145,7 @@ class Encoder:
     the whole tokenizer, with a mark between them. Texts that hold the mark or might hold special tokens are encoded whole.
     """
 
-    MARK, SPECIAL, MOST, LONG, TOGETHER, TAIL = "\x01", b"<|", 800_000, 64, 256, b".,!?;:$%&*#|()-\""
+    MARK, SPECIAL, MOST, LONG, TOGETHER, TAIL = "\x01", b"<|", 1_200_000, 64, 256, b".,!?;:$%&*#|()-\""
 
     def __init__(self, tokenizer, by_word: bool):
         self.tokenizer, self.by_word = tokenizer, by_word
@@ -213,6 +215,17 @@ class Encoder:
         return out
 
 
+def worker_encoder(vocabulary: str, by_word: bool) -> Encoder:
+    """The worker process's encoder for a tokenizer: later tasks of the process find the words of earlier ones."""
+    from tokenizers import Tokenizer
+
+    held = sys.modules.setdefault("tidemark_worker", types.ModuleType("tidemark_worker")).__dict__
+    key = (zlib.crc32(vocabulary.encode()), by_word)
+    if held.get("key") != key:
+        held["key"], held["encoder"] = key, Encoder(Tokenizer.from_str(vocabulary), by_word)
+    return held["encoder"]
+
+
 _BLANK = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
 
 
@@ -227,11 +240,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         encode, out, serial, part, last = None, None, 0, TaskContext.get().partitionId(), struct.pack("<I", end_id)
         for b in batches:
-            encode = encode or Encoder(Tokenizer.from_str(vocabulary.value), by_word)
+            encode = encode or worker_encoder(vocabulary.value, by_word)
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             at = 0
             while at < len(texts):
