@@ -1,0 +1,90 @@
+"""Surrogates: nothing left, everything else untouched, one for one, of the same kind and form."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import pii
+
+TEXTS = [
+    "Mail Bob.Smith+x@Mail.Example.com or BOB.SMITH+X@MAIL.EXAMPLE.COM, élan.9@mail.example.com.",
+    "Call +1 (183) 555-1276 or 183-555-1276; +49 30 1234567.",
+    "Cards 4111 1111 1111 1111, 4111111111111111 and 4952935900253052.",
+    "Hosts 10.0.0.1, 192.168.44.5. Version 2.0.1 stays",
+    'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!! token: 9233a8ecf7c5b09fe5949719b6b82bc439e9329b',
+    "ssn 123-45-6789, iban DE89 3704 0044 0532 0130 00 and DE89370400440532013000",
+    "Mrs. Maria Lopez met Mr. Lopez and Dr. Maria Lopez; MS. MARIA LOPEZ. г-н Иван Петров, г-жа Анна Петров.",
+]
+
+
+def rewritten(docs, texts, **kw):
+    got = pii.pseudonymise(docs(list(enumerate(texts))), **kw).select("row.doc_id", "text", "n_entities").collect()
+    return {r["doc_id"]: (r["text"], r["n_entities"]) for r in got}
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(d)) % 10 == 0
+
+
+def mod97(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_every_kind(docs):
+    got = rewritten(docs, TEXTS)
+    assert [got[i][1] for i in range(len(TEXTS))] == [3, 3, 3, 2, 2, 3, 6]
+    text = {i: got[i][0] for i in got}
+    a, b, c = re.findall(r"\S+@\S+\w", text[0])
+    assert a.upper() == b and a != TEXTS[0].split()[1] and c.split("@")[0] != "élan.9" and re.fullmatch(r"[A-Z][a-z]+\.[A-Z][a-z]+\+[a-z]@[A-Z][a-z]+\.[A-Z][a-z]+\.com", a)
+    p, q, _ = re.findall(r"\+?[\d(][\d ()-]+\d", text[1])
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", p) and re.sub(r"\D", "", p)[1:] == re.sub(r"\D", "", q)
+    x, y, z = re.findall(r"\d[\d ]{14,}\d", text[2])
+    assert x.replace(" ", "") == y and luhn(y) and x[0] == z[0] == "4" and y != "4111111111111111"
+    assert "10.0.0.1" not in text[3] and "Version 2.0.1 stays" in text[3]
+    s, t = re.findall(r"[0-9A-Fa-f]{40}", text[4])
+    assert s.lower() == t and s == s.upper() and s.lower() not in TEXTS[4]
+    v, w = re.findall(r"DE[\d ]+\d", text[5])
+    assert v.replace(" ", "") == w and mod97(w) and "123-45-6789" not in text[5]
+    m = re.match(r"Mrs\. (\w+) (\w+) met Mr\. (\w+) and Dr\. (\w+) (\w+); MS\. (\w+) (\w+)\. г-н (\w+) (\w+), г-жа (\w+) (\w+)\.$", text[6])
+    f1, l1, l2, f3, l3, f4, l4, m5, l5, f6, l6 = m.groups()
+    assert f1 == f3 == f4.capitalize() and l1 == l2 == l3 == l4.capitalize() and l5 == l6
+    assert f1.endswith("a") and f6[-1] in "ая" and m5[-1] not in "ая" and re.fullmatch(r"[А-Яа-я]+", m5 + l5 + f6)
+    assert not re.search("Maria|Lopez|Иван|Петров|Анна", text[6])
+
+
+def test_clean_text_and_defined_cases(docs):
+    clean = ["Nothing here = 3, see 2.0 or 12-34 at 10:30", "", None, "word " * 20_000, "a: b; Mr is short"]
+    got = rewritten(docs, clean)
+    assert {i: t for i, (t, _) in got.items()} == dict(enumerate(clean)) and {n for _, n in got.values()} == {0}
+    assert pii.pseudonymise(docs([])).count() == 0
+    rows = docs([(None, "x@example.com"), (1, "x@example.com"), (1, "x@example.com"), (2, "w " * 30_000 + "x@example.com")])
+    out = pii.pseudonymise(rows)
+    assert out.select("row.*").columns == rows.columns
+    assert len({r["text"][-13:] for r in out.collect()}) == 1 and out.count() == 4
+
+
+def test_keys_and_reruns(docs):
+    assert rewritten(docs, TEXTS) == rewritten(docs, TEXTS)
+    assert rewritten(docs, TEXTS, key="other")[1] != rewritten(docs, TEXTS)[1]
+
+
+def test_collisions_are_settled(spark, monkeypatch):
+    """With a tiny space of surrogates, later tries must part all entities and leave no surrogate that is an entity."""
+    monkeypatch.setattr(pii, "_surrogate", lambda key: (F.pmod(F.xxhash64("canon", "tries"), F.lit(60))).cast("string"))
+    e = spark.createDataFrame([("ip", str(i), None) for i in range(30)], "kind string, canon string, gender string")
+    made = pii.surrogates(e, "k").collect()
+    assert len(made) == 30 == len({r["sur"] for r in made})
+    assert not {r["sur"] for r in made} & {str(i) for i in range(30)}
+
+
+def test_no_python_runs(docs):
+    plan = pii.pseudonymise(docs(list(enumerate(TEXTS))))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("word", ["Drive 55 on", "M1234567890123456789 x", "v1.2.3.4.5", "2024-01-02", "AB12"])
+def test_lookalikes_stay(docs, word):
+    assert rewritten(docs, [word])[0] == (word, 0)

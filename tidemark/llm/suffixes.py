@@ -185,7 +185,7 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def refine(data: np.ndarray) -> np.ndarray:
-    """Larsson-Sadakane: all suffixes in order of their first LENGTH bytes; those past the end read as zeros."""
+    """Larsson-Sadakane: all suffixes in order of their first LENGTH bytes, shorter ones first."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(LENGTH + 8, np.uint8)])
     key = _words(padded)[:n].byteswap()
@@ -193,7 +193,7 @@ def refine(data: np.ndarray) -> np.ndarray:
     sorted_key = key[sa]
     tied = np.r_[False, sorted_key[1:] == sorted_key[:-1]]  # slot i ties with slot i - 1
     del key, sorted_key
-    rank = np.zeros(n + LENGTH, np.int64)  # of a suffix: the first slot of its group; 0 past the end, like the least
+    rank = np.full(n + LENGTH, -1, np.int64)  # of a suffix: the first slot of its group; past the end below all
     rank[sa] = np.maximum.accumulate(np.where(tied, 0, np.arange(n)))
     for shift in (8, 16, LENGTH - 32):
         both = tied.copy()
