@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normalize, tokenize
-from tidemark.functions.vectors import hash_embed
 
 #: Queries that are sent to every task at once; more are answered in turns of this many.
 QUERY_BATCH = 2_048
@@ -80,23 +80,75 @@ def visible(records: DataFrame, until: float | None = None, tier: str | None = N
     return out
 
 
-def hybrid(records: DataFrame, questions: DataFrame, dims: int = 256) -> DataFrame:
-    """(query_id, id, cosine, jaccard, score) of records (id, text) that share a token or a hash bucket with questions (query_id, text).
+def hybrid(records: DataFrame, questions: DataFrame, k: int, dims: int = 256) -> DataFrame:
+    """(query_id, rank, id, score): the k best records (id, text) for every question (query_id, text), ties by id.
 
-    The questions' vectors and tokens are joined to the records' by equality; the records' side is aggregated where it is.
+    The score is half the cosine of hashed token counts and half the overlap of token sets, rounded to six places; records that
+    share neither a hash bucket nor a token with the question do not count. If both sides have a namespace, it must be the same.
+    Records stream through once and only a batch's best per question leave it; questions go in turns of QUERY_BATCH.
     """
-    q = questions.select(F.col("query_id").alias("id"), "text")
-    dv, qv = hash_embed(records, "id", "text", dims), hash_embed(q, "id", "text", dims)
-    cos = dv.join(qv.select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("qw")), "bucket").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("cosine"))
-
-    def tokens(df: DataFrame) -> DataFrame:
-        t = F.array_distinct(tokenize(F.col("text")))
-        return df.select("id", F.size(t).alias("n"), F.explode(t).alias("t"))
+    tenants = "namespace" in records.columns and "namespace" in questions.columns
+    extra = ["namespace"] if tenants else []
+    asked = questions.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("set"), tokenize(F.col("text")).alias("all"), *extra).orderBy("query_id")
+    total = asked.count()
+    if total > QUERY_BATCH:
+        turns = questions.withColumn("turn", F.floor((F.row_number().over(W.orderBy("query_id")) - 1) / QUERY_BATCH)).persist()
+        parts = [hybrid(records, turns.where(F.col("turn") == t), k, dims) for t in range(-(-total // QUERY_BATCH))]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    rows = asked.collect()  # at most QUERY_BATCH
+    ids = np.array([r["query_id"] for r in rows], np.int64)
+    vocabulary = {t: n for n, t in enumerate(sorted({t for r in rows for t in r["set"]}))}
+    has = np.zeros((len(rows), max(1, len(vocabulary))), np.float32)
+    for n, r in enumerate(rows):
+        has[n, [vocabulary[t] for t in r["set"]]] = 1
+    vec = _counts([r["all"] for r in rows], dims)
+    sent = records.sparkSession.sparkContext.broadcast((ids, vocabulary, has, vec, [r["namespace"] for r in rows] if tenants else None))
 
-    shared = tokens(records).join(tokens(q).select(F.col("id").alias("query_id"), F.col("n").alias("qn"), "t"), "t").groupBy("query_id", "id").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("qn").alias("qn"))
-    lex = shared.select("query_id", "id", (F.col("both") / (F.col("n") + F.col("qn") - F.col("both"))).alias("jaccard"))
-    both = cos.join(lex, ["query_id", "id"], "full").na.fill(0.0, ["cosine", "jaccard"])
-    return both.withColumn("score", W_SEM * F.col("cosine") + W_LEX * F.col("jaccard"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, words, q_has, q_vec, spaces = sent.value
+        size = q_has.sum(axis=1)[:, None]
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(qid) else 0, 2_048):
+                b = whole.slice(at, 2_048)
+                key, lists = np.asarray(b.column(0)), b.column(1).to_pylist()
+                mine = np.zeros((b.num_rows, q_has.shape[1]), np.float32)
+                n = np.zeros(b.num_rows)
+                for i, ts in enumerate(lists):
+                    distinct = set(ts)
+                    n[i] = len(distinct)
+                    mine[i, [words[t] for t in distinct if t in words]] = 1
+                vec = _counts(lists, dims)
+                both = (q_has @ mine.T).astype(float)
+                union = size + n[None, :] - both
+                lex = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+                shared = ((q_vec != 0).astype(np.float32) @ (vec != 0).T.astype(np.float32) > 0) | (both > 0)
+                s = np.where(shared, np.round(W_SEM * (_unit(q_vec) @ _unit(vec).T) + W_LEX * lex, 6) + 0.0, -np.inf)
+                if spaces is not None:
+                    s[np.array(spaces, object)[:, None] != np.array(b.column(2).to_pylist(), object)[None, :]] = -np.inf
+                best = np.lexsort((np.broadcast_to(key, s.shape), -s), axis=1)[:, :k]
+                score = np.take_along_axis(s, best, axis=1)
+                ok = ~np.isneginf(score)
+                yield pa.record_batch([pa.array(np.broadcast_to(qid[:, None], best.shape)[ok]), pa.array(key[best][ok]), pa.array(score[ok])], names=["query_id", "id", "score"])
+
+    source = records.select(F.col("id").cast("long").alias("id"), tokenize(F.col("text")).alias("tokens"), *extra).where("id IS NOT NULL")
+    return top(source.mapInArrow(run, "query_id long, id long, score double"), k).select("query_id", "rank", "id", "score")
+
+
+def _counts(lists: list[list[str]], dims: int) -> np.ndarray:
+    """Signed hashed token counts, as functions.vectors.hash_embed sums them before scaling."""
+    place: dict[str, tuple[int, float]] = {}
+    out = np.zeros((len(lists), dims))
+    for i, ts in enumerate(lists):
+        for t in ts:
+            if t not in place:
+                h = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+                place[t] = (h % dims, 1.0 if h // dims % 2 else -1.0)
+            b, sign = place[t]
+            out[i, b] += sign
+    return out
 
 
 def top(found: DataFrame, k: int, score: str = "score", places: int = 6) -> DataFrame:
@@ -158,6 +210,3 @@ def ivf_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: i
     asked = assign_lists(queries.select("query_id", "vector"), centroids, probes, "query_id", "vector").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "list")
     return top(index.join(asked, "list").select("query_id", "id", cosine(F.col("v"), F.col("q")).alias("score")), k).select("query_id", "rank", "id", "score")
 
-
-def causal(ts: Column, now: Column) -> Column:
-    return ts <= now

@@ -309,14 +309,14 @@ def nearest_prior(spark, sf):
     return vector.knn(records, _asked_vectors(spark, sf), 1, causal=True).select("query_id", "id", "score")
 
 
-def _hybrid(spark, sf):
+def _hybrid(spark, sf, k):
     q = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return vector.hybrid(fx.turns(spark, sf).select("id", "text"), q)
+    return vector.hybrid(fx.turns(spark, sf).select("id", "text"), q, k)
 
 
 @register
 def hybrid_search(spark, sf):
-    return vector.top(_hybrid(spark, sf), 8).select("query_id", "rank", "id", "score")
+    return _hybrid(spark, sf, 8)
 
 
 @register
@@ -450,7 +450,7 @@ def superseded_filter(spark, sf):
 
 
 def _fused(spark, sf):
-    found = vector.top(_hybrid(spark, sf), retrieve.CANDIDATES).join(fx.turns(spark, sf).select("id", "ts", "text"), "id")
+    found = _hybrid(spark, sf, retrieve.CANDIDATES).join(fx.turns(spark, sf).select("id", "ts", "text"), "id")
     return retrieve.fuse(found, F.lit(90_000_000.0))
 
 
@@ -470,7 +470,7 @@ def context_payload(spark, sf):
 def window_query(spark, sf):
     q = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     records = vector.visible(fx.turns(spark, sf), window=(86_400.0, 20 * 86_400.0))
-    return vector.top(vector.hybrid(records.select("id", "text"), q), 4).select("query_id", "rank", "id", "score")
+    return vector.hybrid(records.select("id", "text"), q, 4)
 
 
 # Consolidation and erasure

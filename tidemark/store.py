@@ -124,10 +124,9 @@ class MemoryStore:
         lines = lines.unionByName(retrieve.backstop(missed, versions, self.entities(), self.config.max_context_items))
         lines = lines.dropDuplicates(["query_id", "line"])
         seen = retrieve.drop_stale(vector.visible(self.records(), until=now), retrieve.stale_pairs(versions))
-        asked = questions.select("query_id", F.col("question").alias("text"))
-        found = vector.hybrid(seen.select("id", "text"), asked).join(seen.select("id", "namespace", "ts", "text"), "id")
-        found = found.join(questions.select("query_id", "namespace"), ["query_id", "namespace"], "left_semi")
-        fused = retrieve.fuse(vector.top(found, self.config.candidates), F.lit(float(now)))
+        asked = questions.select("query_id", "namespace", F.col("question").alias("text"))
+        found = vector.hybrid(seen, asked, self.config.candidates).join(seen.select("id", "ts", "text"), "id")
+        fused = retrieve.fuse(found, F.lit(float(now)))
         return retrieve.context(lines, fused, self.config.max_context_items)
 
     def answer(self, namespace: str, subject: str, predicate: str, t: float | None = None) -> str | None:
