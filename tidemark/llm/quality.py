@@ -120,7 +120,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "grade", id_col: s
     x = Rows(part("f", np.int32), part("v", np.float32))
     share = np.clip([(y >= g).mean() for g in range(1, grades)], 1e-4, 1 - 1e-4)
     start = np.log((1 - share) / share)
-    p = lbfgs(ordinal_loss(x, y, grades, dims, l2), np.r_[np.zeros(dims), start[0], np.log(np.maximum(np.diff(start), 1e-3))], rounds=200, tolerance=1e-6)
+    p = lbfgs(ordinal_loss(x, y, grades, dims, l2), np.r_[np.zeros(dims), start[0], np.log(np.maximum(np.diff(start), 1e-3))], rounds=100, tolerance=2e-5)
     return Model(p[:dims].astype(np.float32), p[dims] + np.r_[0.0, np.cumsum(np.exp(np.clip(p[dims + 1 :], -30, 30)))])
 
 
