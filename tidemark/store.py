@@ -7,9 +7,11 @@ are derived by the operators; a snapshot keeps the log and what erasure took out
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normalize
@@ -34,12 +36,25 @@ class MemoryStore:
         self.snapshots = store.SnapshotStore(spark, f"{root.rstrip('/')}/snapshots")
         schema = spark.createDataFrame([], observations.OBSERVATION).schema
         self.journal = store.Journal(spark, f"{root.rstrip('/')}/journal", schema)
+        self._derived: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table, kept by the executors until the log changes."""
+        if name not in self._derived:
+            self._derived[name] = make().persist()
+        return self._derived[name]
+
+    def _changed(self) -> None:
+        for df in self._derived.values():
+            df.unpersist()
+        self._derived.clear()
 
     # Writing
 
     def write(self, rows: DataFrame, compact: bool = True) -> DataFrame:
         """Check and append observations; returns their receipts (namespace, id, decision, contradiction). One bad row refuses all."""
         self.journal.append(observations.strict(rows.select(*self.journal.schema.names)))
+        self._changed()
         ids = rows.select("namespace", "id")
         receipts = self.decisions().join(ids, ["namespace", "id"], "left_semi").select("namespace", "id", "decision", "contradiction")
         if compact and self.journal.due():
@@ -52,11 +67,14 @@ class MemoryStore:
         tail = self.journal.read().drop("batch")
         return tail if held is None else held.unionByName(tail)
 
-    def compact(self) -> None:
-        """Make the log one snapshot and empty the journal; in this order, so that a stop between them loses nothing."""
-        log = self.log().dropDuplicates(["namespace", "id"])
-        self.snapshots.save({"log": log})
+    def _replace(self, log: DataFrame) -> None:
+        """Make a log the snapshot and empty the journal; in this order, so that a stop between them loses nothing."""
+        self.snapshots.save({"log": log.dropDuplicates(["namespace", "id"])})
         self.journal.compact()
+        self._changed()
+
+    def compact(self) -> None:
+        self._replace(self.log())
 
     def save(self) -> int:
         self.compact()
@@ -78,15 +96,16 @@ class MemoryStore:
 
     def facts(self) -> DataFrame:
         """All versions. Every fact counts, whatever the gate decides about its text."""
-        return temporal.assert_facts(self.assertions())
+        return self._once("facts", lambda: temporal.assert_facts(self.assertions()))
 
     def decisions(self) -> DataFrame:
-        """The gate's decision on every observation; a text's novelty is by its words against those told before it."""
+        """The gate's decision on every observation; a text is new unless the same one was told before."""
+        return self._once("decisions", self._decide)
+
+    def _decide(self) -> DataFrame:
         log = self.log()
         flagged = temporal.contradictions(observations.assertions(log)).select("namespace", "id", "contradicts")
         key = normalize(F.col("text"))
-        from pyspark.sql import Window as W
-
         again = F.row_number().over(W.partitionBy("namespace", key).orderBy("ts", "id")) > 1
         s = log.withColumn("novelty", F.when(again, 0.0).otherwise(1.0)).join(flagged, ["namespace", "id"], "left")
         return gate.adaptive_gate(s.select("namespace", "id", "ts", "text", "novelty", F.coalesce("contradicts", F.lit(False)).alias("contradiction")), self.config.gate)
@@ -96,6 +115,9 @@ class MemoryStore:
         return self.decisions().where(F.col("decision") == "stored").select("namespace", "id", "ts", "text")
 
     def entities(self) -> DataFrame:
+        return self._once("entities", self._entities)
+
+    def _entities(self) -> DataFrame:
         named = self.facts().select("namespace", F.col("subject").alias("name"), F.col("created_at").alias("ts"), "id")
         s = resolve.surfaces(named).select("namespace", "surface")
         return resolve.vocabulary(s.where(F.contains("surface", F.lit(" "))), s.where(~F.contains("surface", F.lit(" "))))
@@ -163,13 +185,11 @@ class MemoryStore:
             told = told.unionByName(extract.extract(texts).join(texts.select("text_id", "namespace"), "text_id").select("namespace", F.col("text_id").alias("id"), "subject", "object"))
         a = told.select("namespace", "id", F.explode(F.array(normalize(F.col("subject")), normalize(F.col("object")))).alias("k"))
         doomed = a.join(gone, ["namespace", "k"], "left_semi").select("namespace", "id").distinct()
-        self.snapshots.save({"log": self.log().join(doomed, ["namespace", "id"], "left_anti")})
-        self.journal.compact()
+        self._replace(self.log().join(doomed, ["namespace", "id"], "left_anti"))
 
     def drop(self, namespace: str) -> None:
         """Everything of a tenant goes."""
-        self.snapshots.save({"log": store.drop_namespace(self.log(), namespace)})
-        self.journal.compact()
+        self._replace(store.drop_namespace(self.log(), namespace))
 
     def stats(self) -> DataFrame:
         return metrics.store_stats(self.episodes(), self.facts())
