@@ -194,3 +194,39 @@ def test_refused_batch_leaves_no_trace(spark, tmp_path):
     with pytest.raises(PySparkException):
         m.write(observed(spark, [("n", 1, 1.0, "fine", None), ("n", 2, float("nan"), "bad", None)]))
     assert m.log().count() == 0
+
+
+def test_filtered_lists_and_kept_index(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    r = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    q = r.where("vec_id % 60 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    s = store.SnapshotStore(spark, root(tmp_path))
+    index, c = vector.open_index(s, r, 6)
+    again, c2 = vector.open_index(s, r, 6)
+    assert np.allclose(c, c2) and sorted(map(tuple, again.select("id", "list").collect())) == sorted(map(tuple, index.select("id", "list").collect()))
+    few = r.where("vec_id % 50 = 7").select(F.col("vec_id").alias("id"))
+    got = vector.ivf_search_filtered(index, c, q, few, 4)
+    assert got.groupBy("query_id").count().where("count = 4").count() == 5 and got.select("id").distinct().join(few, "id", "left_anti").count() == 0
+    with pytest.warns(UserWarning, match="made anew"):
+        vector.open_index(s, r.where("vec_id < 200"), 6)
+
+
+def test_json_rows(spark):
+    df = spark.createDataFrame([(1, float("inf"), "x"), (2, 0.5, None), (3, float("nan"), "")], "a long, b double, c string")
+    import json
+
+    got = {r["a"]: r for r in (json.loads(x["json"]) for x in store.json_rows(df).collect())}
+    assert got[1]["b__special"] == {"__f__": "inf"} and got[2]["b"] == 0.5 and got[3]["b__special"] == {"__f__": "nan"}
+
+
+def test_service(spark, tmp_path):
+    from tidemark.service import MemoryService
+
+    tools = MemoryService(MemoryStore(spark, root(tmp_path)), clock=lambda: 100.0).tools()
+    assert tools["write"]("Erin lives in Oslo.")["decision"] == "stored"
+    tools["write"]("note", namespace="b", fact={"subject": "Erin", "predicate": "city", "object": "Rome"})
+    assert tools["answer"]("erin", "city") == {"object": "Oslo"} and tools["answer"]("erin", "city", namespace="b") == {"object": "Rome"}
+    assert tools["namespaces"]() == ["b", "default"]
+    tools["drop"]("b")
+    assert tools["namespaces"]() == ["default"] and tools["query"]("What city does erin live in?")["context"][0] == "[1] Erin's current city is Oslo."

@@ -105,3 +105,16 @@ def test_resolution(spark):
     single = spark.createDataFrame([("n", "erin")], "namespace string, surface string")
     words = {r["entity"] for r in resolve.vocabulary(full, single).collect()}
     assert words == {"bob jones", "bob stone", "erin smith", "erin", "jones", "stone", "smith"}
+
+
+def test_definite_references(spark):
+    said = ["Ann is a manager.", "The manager was promoted to director.", "The director moved to Oslo.", "Bob is a manager.", "Cid is a manager.", "The manager moved to Rome.", "Bob is a clerk.", "The manager's project is Apollo.", "The weather moved to Riga."]
+    df = spark.createDataFrame([("n", i, float(i), t) for i, t in enumerate(said)], "namespace string, text_id long, ts double, text string")
+    got = {(r["text_id"], r["subject"], r["predicate"], r["object"]) for r in extract.extract_definite(df).collect()}
+    assert {x for x in got if x[0] in (1, 2, 5, 7, 8)} == {(1, "Ann", "role", "director"), (2, "Ann", "city", "Oslo"), (7, "Cid", "project", "Apollo")}
+
+
+def test_forgotten_names_stay_ambiguous(spark):
+    make = lambda names: spark.createDataFrame([("n", x) for x in names], "namespace string, surface string")
+    full, single, poisoned = resolve.forget(make(["bob jones", "bob stone"]), make(["erin", "al"]), make([" Bob Stone", "AL"]))
+    assert [[r["surface"] for r in d.collect()] for d in (full, single, poisoned)] == [["bob jones"], ["erin"], ["bob"]]

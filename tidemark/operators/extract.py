@@ -122,6 +122,41 @@ def definite_role(clause: Column) -> Column:
     return F.regexp_extract(clause, DEFINITE, 1)
 
 
+def role_holders(roles: DataFrame, asked: DataFrame) -> DataFrame:
+    """(ask, holder) for asked (ask, namespace, noun, seq): the one subject whose latest role before seq is the noun, if just one.
+
+    roles: (namespace, subject, object, seq) in the order of seq.
+    """
+    s = roles.withColumns({"s_key": normalize(F.col("subject")), "o_key": normalize(F.col("object"))})
+    s = s.withColumn("until", F.lead("seq").over(W.partitionBy("namespace", "s_key").orderBy("seq")))
+    on = [F.col("ns") == F.col("namespace"), F.col("noun") == F.col("o_key"), F.col("from_") < F.col("seq"), F.col("until").isNull() | (F.col("seq") <= F.col("until"))]
+    found = asked.join(s.select(F.col("namespace").alias("ns"), "s_key", "subject", "o_key", F.col("seq").alias("from_"), "until"), on)
+    return found.groupBy("ask").agg(F.count_distinct("s_key").alias("n"), F.max_by("subject", "from_").alias("holder")).where("n = 1").drop("n")
+
+
+def extract_definite(texts: DataFrame, passes: int = 6) -> DataFrame:
+    """As extract, for texts (namespace, text_id, ts, text): "The manager ..." is told of the one who holds that role then.
+
+    Whether a clause has a holder depends on the facts of earlier ones, which may be told by role themselves. Each pass resolves
+    all clauses by the facts of the pass before; what a clause says is settled once everything before it is, so the result of
+    going through the texts in order is reached after as many passes as roles told of roles nest. Stops when nothing changes.
+    """
+    order = W.partitionBy("namespace").orderBy("ts", "text_id", "clause_no")
+    rows = split_clauses(texts).withColumns({"seq": F.row_number().over(order), "noun": definite_role(F.col("clause"))}).persist()
+    asked = rows.where("noun <> ''").select(F.struct("namespace", "seq").alias("ask"), "namespace", "noun", "seq")
+    held, told = None, None
+    for _ in range(passes):
+        now = rows if held is None else rows.join(held.withColumnRenamed("holder", "who"), F.struct("namespace", "seq") == F.col("ask"), "left").drop("ask")
+        clause = F.col("clause") if held is None else resolve_definite(F.col("clause"), F.col("who"))
+        told = now.withColumn("fact", parse_clause(clause)).where("fact IS NOT NULL")
+        roles = told.where("fact.predicate = 'role'").select("namespace", "fact.subject", "fact.object", "seq")
+        new = role_holders(roles, asked).persist()
+        if (new.join(held, ["ask", "holder"], "full").count() if held is not None else -1) == (held.count() if held is not None else 0) == new.count():
+            break
+        held = new
+    return _bounded(told).select("namespace", "text_id", "clause_no", "fact.*")
+
+
 def date_facts(facts: DataFrame, clause: str = "clause", ts: str = "ts") -> DataFrame:
     """facts with valid_from: the event date that the clause states, else the text's time; the object loses the date phrase."""
     when = event_date(F.col(clause), F.col(ts))

@@ -61,3 +61,13 @@ def vocabulary(full: DataFrame, singles: DataFrame) -> DataFrame:
     own = singles.select("namespace", F.col("surface").alias("entity"))
     lent = lent_words(full).select("namespace", F.col("word").alias("entity"))
     return full.select("namespace", F.col("surface").alias("entity")).union(own).union(lent).distinct()
+
+
+def forget(full: DataFrame, singles: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The full names and single ones without names (namespace, surface), and the words that stay ambiguous for good: those that
+    more than one full name lent before, so that a survivor does not take what was refused while both were there."""
+    parts = F.split("surface", r"\s+")
+    lent = full.where(F.size(parts) > 1).select("namespace", "surface", F.explode(F.array_distinct(F.array(F.element_at(parts, 1), F.element_at(parts, -1)))).alias("word"))
+    poisoned = lent.groupBy("namespace", "word").agg(F.count_distinct("surface").alias("n")).where("n > 1").select("namespace", F.col("word").alias("surface"))
+    gone = names.select("namespace", normalize(F.col("surface")).alias("surface"))
+    return full.join(gone, ["namespace", "surface"], "left_anti"), singles.join(gone, ["namespace", "surface"], "left_anti"), poisoned

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -210,3 +211,33 @@ def ivf_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: i
     asked = assign_lists(queries.select("query_id", "vector"), centroids, probes, "query_id", "vector").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "list")
     return top(index.join(asked, "list").select("query_id", "id", cosine(F.col("v"), F.col("q")).alias("score")), k).select("query_id", "rank", "id", "score")
 
+
+
+def ivf_search_filtered(index: DataFrame, centroids: np.ndarray, queries: DataFrame, allowed: DataFrame, k: int, probes: int = 1) -> DataFrame:
+    """ivf_search among allowed ids only: queries that find fewer than k look into twice as many lists, until all are looked into."""
+    inside = index.join(allowed.select("id").distinct(), "id", "left_semi").persist()
+    out, left = None, queries
+    while True:
+        found = ivf_search(inside, centroids, left, k, probes).persist()
+        full = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+        if probes >= len(centroids):
+            return found if out is None else out.unionByName(found)
+        done = found.join(full, "query_id", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        left, probes = left.join(full, "query_id", "left_anti").persist(), 2 * probes
+        if not left.limit(1).count():
+            return out
+
+
+def open_index(snapshots, records: DataFrame, lists: int, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, np.ndarray]:
+    """The list index kept in a snapshot store if it is of as many records as there are; else a new one, which is then kept."""
+    spark, total = records.sparkSession, records.count()
+    held = snapshots.load()
+    if {"lists", "centroids"} <= held.keys() and held["lists"].count() == total:
+        return held["lists"], np.array([r["v"] for r in held["centroids"].orderBy("n").collect()])
+    if held:
+        warnings.warn("the kept index is not of these records and is made anew", stacklevel=2)
+    index, c = ivf_index(records, lists, id_col=id_col, vector_col=vector_col)
+    rows = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in enumerate(c)], "n int, v array<double>")
+    snapshots.save({"lists": index, "centroids": rows})
+    return snapshots.load()["lists"], c

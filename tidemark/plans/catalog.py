@@ -41,6 +41,11 @@ def bitemporal_facts(spark, sf):
     return _versions(spark, sf)
 
 
+@register
+def open_facts(spark, sf):
+    return temporal.open_facts(_versions(spark, sf)).select("namespace", "id", "object")
+
+
 @register
 def bitemporal_retro(spark, sf):
     return temporal.assert_facts(fx.late_events(spark, sf))
@@ -254,6 +259,24 @@ def dated_facts(spark, sf):
     return extract.date_facts(facts).select("text_id", "clause_no", "object", "valid_from")
 
 
+@register
+def ellipsis_facts(spark, sf):
+    """Statements of which every third one leaves its subject out."""
+    s = fx.sentences(spark, sf)
+    bare = F.when(F.col("text_id") % 3 == 0, F.concat(F.lit("Works at "), F.col("text_id").cast("string"))).otherwise(F.col("text"))
+    return extract.extract_with_pronouns(s.withColumn("text", bare), ellipsis=True).where("object RLIKE '^[0-9]+$'").select("text_id", "subject", "object")
+
+
+@register
+def definite_np(spark, sf):
+    """Roles of customers, each held by one or more, and statements told by role."""
+    k = F.col("c_custkey")
+    role = F.translate(F.floor(k / 3).cast("string"), "0123456789", "abcdefghij")
+    text = F.when(k % 3 == 2, F.concat(F.lit("The "), role, F.lit(" moved to City"), fx.letters(k), F.lit("."))).otherwise(F.concat(fx.letters(k), F.lit(" is a "), F.when(k % 6 == 4, F.lit("clerk")).otherwise(role), F.lit(".")))
+    t = fx.table(spark, sf, "customer").select(F.lit("n").alias("namespace"), k.alias("text_id"), k.cast("double").alias("ts"), text.alias("text"))
+    return extract.extract_definite(t).where("predicate = 'city'").select("text_id", "subject", "object")
+
+
 # Entities
 
 
@@ -408,6 +431,13 @@ def plan_as_of(spark, sf):
     return retrieve.plan_as_of(fx.questions(spark, sf), gate.session_first_ts(fx.turns(spark, sf)))
 
 
+@register
+def plan_preference(spark, sf):
+    q = fx.questions(spark, sf).withColumn("question", F.when(F.col("query_id") % 4 == 3, F.concat(F.lit("What does "), F.regexp_extract("question", "c[0-9]+", 0), F.lit(" like?"))).otherwise(F.col("question")))
+    words = _vocabulary(spark, sf).union(spark.createDataFrame([("n0", "preference:jazz")], "namespace string, predicate string"))
+    return retrieve.plan_preference(q, fx.entities(spark, sf), words)
+
+
 @register
 def plan_chain(spark, sf):
     q = fx.questions(spark, sf).where("query_id % 4 = 1").withColumn("question", F.regexp_replace("question", "manager", "manager's boss"))

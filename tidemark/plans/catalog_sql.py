@@ -218,6 +218,7 @@ SELECT namespace, id, subject, 'state' AS predicate, object, valid_from, CASE WH
   CASE WHEN label = 'super' THEN lead(created_at) OVER w END AS expired_at, CASE WHEN label = 'hist' THEN pid ELSE lead(id) OVER w END AS superseded_by
 FROM x WHERE label <> 'noop' WINDOW w AS (PARTITION BY subject, label ORDER BY created_at, id)""",
     "current_facts": f"WITH {_VER} SELECT namespace, id, subject, predicate, object, valid_from, created_at FROM ver WHERE valid_to IS NULL",
+    "open_facts": f"WITH {_VER} SELECT namespace, id, object FROM ver WHERE valid_to IS NULL",
     "as_of_lookup": f"""WITH {_VER}, a AS (SELECT id AS query_id, namespace, subject, valid_from + 43200.0 AS t FROM ev WHERE id % 10 = 0)
 SELECT query_id, v.subject, v.object, v.valid_from, v.id AS fact_id, v.subject || '''s state as of that time was ' || v.object || '.' AS line
 FROM a JOIN ver v ON a.namespace = v.namespace AND a.subject = v.subject AND v.valid_from <= t AND (v.valid_to IS NULL OR t < v.valid_to)""",
@@ -271,6 +272,14 @@ SELECT text_id FROM n WHERE rn = 1 OR text_id NOT IN (SELECT text_id FROM h)""",
 f AS (SELECT id, ref, regexp_replace('Oslo since ' || substr(clause, 25), '^\\s+|[.!?,;:\\s]+$', '', 'g') AS o, {_event_date('clause', 'ref')} AS told FROM d)
 SELECT id AS text_id, 0 AS clause_no, 'Vienna' AS object, ref AS valid_from FROM dated
 UNION ALL SELECT id, 1, CASE WHEN told IS NOT NULL AND {_strip_dates('o')} <> '' THEN {_strip_dates('o')} ELSE o END, coalesce(told, ref) FROM f""",
+    "ellipsis_facts": f"""WITH {_SENT}, b AS (SELECT namespace, text_id, ts, CASE WHEN text_id % 3 = 0 THEN 'Works at ' || text_id ELSE text END AS text FROM sent),
+{_CL.replace("FROM sent)", "FROM b)")}, f AS (SELECT *, {_parse('clause')} AS fact FROM cl),
+l AS (SELECT *, last_value(fact.subject IGNORE NULLS) OVER (PARTITION BY namespace ORDER BY ts, text_id, clause_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS who FROM f)
+SELECT text_id, who AS subject, text_id::VARCHAR AS object FROM l WHERE text_id % 3 = 0 AND who IS NOT NULL""",
+    "definite_np": f"""WITH t AS (SELECT c_custkey AS k, {_NM.format('c_custkey')} AS who, CASE WHEN c_custkey % 6 = 4 THEN 'clerk' ELSE translate((c_custkey // 3)::VARCHAR, '0123456789', 'abcdefghij') END AS r FROM customer)
+SELECT a.k AS text_id, min(b.who) AS subject, 'City' || a.who AS object FROM t a JOIN t b ON a.k % 3 = 2 AND b.k % 3 <> 2 AND b.k < a.k AND b.r = translate((a.k // 3)::VARCHAR, '0123456789', 'abcdefghij')
+GROUP BY a.k, a.who HAVING count(*) = 1""",
+    "plan_preference": f"WITH {_PROF}, {_Q}, {_ENT} SELECT query_id, query_id % 4 = 3 AND entity IS NOT NULL AS preference FROM q LEFT JOIN ent USING (query_id)",
     "entity_canonical": f"""WITH {_NAMES} SELECT s.namespace, s.surface, coalesce(l.canonical, s.surface) AS canonical FROM surf s
 LEFT JOIN (SELECT * FROM lent x WHERE NOT EXISTS (SELECT 1 FROM lone o WHERE o.namespace = x.namespace AND o.surface = x.word)) l ON l.namespace = s.namespace AND l.word = s.surface""",
     "entity_vocab": f"WITH {_NAMES} SELECT namespace, surface AS entity FROM surf WHERE contains(surface, ' ') UNION SELECT namespace, surface FROM lone UNION SELECT namespace, word FROM lent",

@@ -176,6 +176,19 @@ def record_cassette(rows: DataFrame, cassette: DataFrame, kind: str, text_col: s
     return cassette.select("kind", "key", "value").unionByName(made)
 
 
+def json_rows(df: DataFrame) -> DataFrame:
+    """(json): every row as JSON that any reader takes: numbers that JSON has no form for become text in a tagged object."""
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            odd = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+            cols += [F.when(odd.isNull(), c).alias(f.name), F.when(odd.isNotNull(), F.struct(odd.alias("__f__"))).alias(f"{f.name}__special")]
+        else:
+            cols.append(c)
+    return df.select(F.to_json(F.struct(*cols)).alias("json"))
+
+
 def of_namespace(table: DataFrame, namespace: str) -> DataFrame:
     return table.where(F.col("namespace") == namespace)
 
