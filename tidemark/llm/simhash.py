@@ -335,7 +335,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one row of every group of near copies: that of the smallest id (null ids last), then of the smallest text hash."""
     groups = near_copies(docs, id_col, text_col, words, similarity)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")).alias("m"))
-    keep = first.select(F.col("m.id").alias("id"), F.col("m.text_hash").alias("text_hash")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__hash"))
-    kept = rows.join(keep, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("text_hash")), "left_semi")
-    return kept.groupBy("__id", "__hash").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+
+    def key(i: str, h: str) -> F.Column:  # one column, never null: the join and the grouping after it share an exchange
+        return F.concat_ws(":", F.coalesce(F.col(i).cast("string"), F.lit("~")), F.col(h).cast("string")).alias("__key")
+
+    keep = first.select(key("m.id", "m.text_hash")).distinct()
+    named = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+    kept = named.select("row", key("i", "h")).join(keep, "__key", "left_semi")
+    return kept.groupBy("__key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
