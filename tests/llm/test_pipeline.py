@@ -90,5 +90,15 @@ def test_the_rest_stands_alone(tmp_path):
     """Without this subpackage and the pipeline the entry module imports and keeps the other queries."""
     copy = tmp_path / "repo"
     shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(n.startswith('op') for n in q), sorted(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(n[:3].strip('op').isdigit() for n in q), sorted(q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True)
+
+
+def test_release(spark, tmp_path):
+    from tidemark.llm.common import own_dir, release
+
+    kept = stash(spark.range(3), "test")
+    folder = Path(own_dir(spark).removeprefix("file://"))
+    assert kept.count() == 3 and any(folder.iterdir())
+    release(spark)
+    assert not folder.exists()

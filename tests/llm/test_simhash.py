@@ -107,3 +107,8 @@ def test_dense_groups_in_blocks(docs):
     assert [r["doc_id"] for r in simhash.one_of_each(docs(rows)).collect()] == [0]
     got = simhash.near_copies(docs(rows), block=7).select("component").distinct().collect()
     assert [r[0] for r in got] == [0]
+
+
+def test_deals_grow_with_the_input():
+    assert [simhash.deals_for(n, 0.8) for n in (0, 1, 1 << 18, (1 << 18) + 1, 1 << 30)] == [(12, 24), (12, 24), (12, 24), (13, 28), (18, 66)]
+    assert simhash.bit_budget(0.8) == 44

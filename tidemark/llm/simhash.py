@@ -277,9 +277,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(joined.join(owner, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
-#: Deals of the wide join: each takes DEAL_BITS of the 256 bits, drawn once. A pair at similarity 0.8 differs in 15 % of the
-#: bits, so it meets in at least one of the deals with probability 0.97, and one at 0.9 with 0.999.
-DEALS, DEAL_BITS, LANES = 24, 12, 4
+#: 64-bit words of a wide fingerprint, and the chance that a pair at the asked similarity meets in no deal.
+LANES, MISSED = 4, 0.03
+
+
+def deals_for(n: int, similarity: float) -> tuple[int, int]:
+    """Bits of a deal and number of deals for n fingerprints.
+
+    12 bits up to 2**18 fingerprints and one more for every further four times as many, so a trie grows with the square root of
+    the input; as many deals as leave a pair at the similarity apart with probability MISSED (24 at 0.8 and 12 bits).
+    """
+    bits = 12 + max(0, math.ceil((math.log2(max(n, 1)) - 18) / 2))
+    meets = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
+    return bits, math.ceil(math.log(MISSED) / math.log(1 - meets))
 
 
 def bit_budget(similarity: float, bits: int = 64 * LANES) -> int:
@@ -292,7 +302,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, text_hash, fp, component): groups of texts whose shingles overlap by about `similarity` or more.
 
     64 bits cannot tell 0.8 from 0.5, so fingerprints have 256 here and the trie self-join takes the budget of that
-    similarity. Pairs meet in any of DEALS tries, each over the fingerprints that agree on some drawn bits. A trie of more
+    similarity. Pairs meet in any of several deals, each a set of tries over the fingerprints that agree on some drawn bits. A trie of more
     than `block` fingerprints is dealt in blocks, every pair of blocks a trie of its own, so that no task holds more than two.
     """
     block = HOT if block is None else block
@@ -307,14 +317,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = stash(rows.mapInArrow(run, "id long, text_hash long, fp array<long>"), "fingerprints")
     least = stash(marks.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     drawn = np.random.default_rng(SEED)
-    deals = np.stack([drawn.choice(64 * LANES, DEAL_BITS, replace=False) for _ in range(DEALS)])
+    width, number = deals_for(least.count(), similarity)
+    deals = np.stack([drawn.choice(64 * LANES, width, replace=False) for _ in range(number)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).flatten()
             bits = np.unpackbits(np.asarray(fp).view(np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
             for k, places in enumerate(deals):
-                value = bits[:, places].astype(np.int64) @ (1 << np.arange(DEAL_BITS))
+                value = bits[:, places].astype(np.int64) @ (1 << np.arange(width))
                 yield pa.record_batch([pa.array(np.full(b.num_rows, k, np.int32)), pa.array(value), b.column(0)], names=["k", "v", "fp"])
 
     dealt = least.select("fp").mapInArrow(deal, "k int, v long, fp array<long>")
