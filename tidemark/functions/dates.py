@@ -12,6 +12,7 @@ NUMBER_WORDS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "fiv
 
 _NAME = "|".join(sorted(MONTHS + SHORT_MONTHS, key=len, reverse=True))
 _COUNT = r"\d+|" + "|".join(NUMBER_WORDS)
+# The forms of dates that are read, and what they leave dangling.
 ISO = r"\b(\d{4})-(\d{2})-(\d{2})\b"
 NUMERIC = r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b"
 MONTH_DAY = rf"(?i)\b({_NAME})\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s+(\d{{4}}))?\b"

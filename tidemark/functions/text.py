@@ -101,6 +101,7 @@ def clauses(text: Column) -> Column:
 def first_person(text: Column, speaker: Column) -> Column:
     """First-person statements told of the speaker, in the order: contractions, verbs that agree, I, my."""
     s = F.regexp_replace(F.concat(F.upper(F.substring(speaker, 1, 1)), F.substr(speaker, F.lit(2))), r"([\\$])", r"\\$1")
+    # The verbs that agree and the forms that are rewritten, in order.
     verbs = "work|live|reside|report|move|relocate|like|love|enjoy|prefer|favor|dislike|hate"
     steps = (
         (r"\b(?:I\s+am|I'm)\b", F.concat(s, F.lit(" is"))),
