@@ -116,7 +116,7 @@ def _packed(vectors: DataFrame, size: int, what: str) -> DataFrame:
 
 def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, segment: int = SEGMENT, batch: int = BATCH) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of floor(scale * component) for every row that is_query (over id) holds of."""
-    vectors = rows(table, id_col, vector_col, allow_zero=True).withColumn("v", F.transform("v", lambda x: _floor(x * scale)))
+    vectors = rows(table, id_col, vector_col, allow_zero=True).withColumn("v", F.transform("v", lambda x: _floor(x.cast("double") * scale)))
     vectors = stash(vectors.distinct(), "weights")
     segments = _packed(vectors, segment, "segments")
     batches = _packed(vectors.where(is_query), batch, "batches")

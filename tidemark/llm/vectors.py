@@ -16,8 +16,9 @@ def valid(vector: Column, allow_zero: bool) -> Column:
 
 
 def rows(table: DataFrame, id_col: str, vector_col: str, allow_zero: bool) -> DataFrame:
-    """(id, v): valid vectors as doubles. Rows equal in both are one row, and null ids take no part."""
-    v = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    """(id, v): valid vectors, as floats if they came so and as doubles otherwise. Rows equal in both are one row, and null ids take no part."""
+    kind = "array<float>" if dict(table.dtypes)[vector_col] == "array<float>" else "array<double>"
+    v = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     return v.where(F.col("id").isNotNull() & valid(F.col("v"), allow_zero)).distinct()
 
 
@@ -34,6 +35,6 @@ def distinct_vectors(vectors: DataFrame, ids: int) -> DataFrame:
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A list column whose lists are of one length, as a matrix."""
+    """A list column whose lists are of one length, as a matrix of doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
