@@ -73,13 +73,21 @@ def test_keys_and_reruns(docs):
 
 def test_collisions_are_settled(spark, monkeypatch):
     """With a tiny space of surrogates, later tries must part all entities and leave no surrogate that is an entity."""
-    monkeypatch.setattr(pii, "_surrogate", lambda key: (F.pmod(F.xxhash64("canon", "tries"), F.lit(60))).cast("string"))
+    monkeypatch.setattr(pii, "_surrogate", lambda key: (F.pmod(F.xxhash64("canon", "tries"), F.lit(120))).cast("string"))
     e = spark.createDataFrame([("ip", str(i), None) for i in range(30)], "kind string, canon string, gender string")
     made = pii.surrogates(e, "k").collect()
     assert len(made) == 30 == len({r["sur"] for r in made})
     assert not {r["sur"] for r in made} & {str(i) for i in range(30)}
 
 
+def test_no_surrogates_left(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_surrogate", lambda key: F.lit("1"))
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    e = spark.createDataFrame([("ip", str(i), None) for i in range(2)], "kind string, canon string, gender string")
+    with pytest.raises(RuntimeError, match="no distinct"):
+        pii.surrogates(e, "k")
+
+
 def test_no_python_runs(docs):
     plan = pii.pseudonymise(docs(list(enumerate(TEXTS))))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

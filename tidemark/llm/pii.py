@@ -53,6 +53,7 @@ ANY = "|".join(_PATTERNS.values())
 #: Every text with an entity matches one of these, which cost far less than the full pattern.
 QUICK = (r"[@=:]|[0-9]{3}|[0-9]\.", r"[0-9a-fA-F]{32}", rf"(?=[MSHFDPmnNГгκΚ])(?<![\p{{L}}\p{{N}}])(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_X})\.? \p{{Lu}}")
 
+ROUNDS = 64
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщыэюя"
 _GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
@@ -198,7 +199,8 @@ def _surrogate(key: str) -> Column:
     domain = F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
     inner = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(_like(F.substring_index(canon, "@", 1), h), F.lit("@"), _like(inner, _digest(F.lit(key), F.lit("domain"), domain)), top)
+    more = F.when(tries >= 4, F.pmod(_byte(h, F.lit(110)) * 256 + _byte(h, F.lit(111)), F.lit(10_000)).cast("string")).otherwise("")  # short names run out
+    email = F.concat(_like(F.substring_index(canon, "@", 1), h), more, F.lit("@"), _like(inner, _digest(F.lit(key), F.lit("domain"), domain)), top)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(_byte(h, i), F.lit(254)) + 1).cast("string")), ".")
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _card(canon, h)).when(kind == "iban", _iban(canon, h))
@@ -210,11 +212,12 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, sur) for distinct entities (kind, canon, gender): no two of a kind alike, none an entity itself.
 
     Within a group of equal surrogates the smallest entity keeps it and the others try again; settled ones are not touched.
+    Fails after ROUNDS tries, which means that a kind has about as many entities as it can have.
     """
     todo = stash(entities.withColumn("tries", F.lit(0)), "entities")
     settled: DataFrame | None = None
     names = todo.select("kind", F.col("canon").alias("sur"))
-    while True:
+    for _ in range(ROUNDS):
         made = stash(todo.withColumn("sur", _surrogate(key)), "surrogates")
         first = made.groupBy("kind", "sur").agg(F.min("canon").alias("canon"))
         free = first.join(names, ["kind", "sur"], "left_anti")
@@ -226,6 +229,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         todo = stash(rest, "entities")
         if not todo.limit(1).count():
             return settled
+    raise RuntimeError("no distinct surrogates are left for some entities")
 
 
 def _written(m: Column, found: Column) -> Column:
@@ -239,7 +243,7 @@ def _written(m: Column, found: Column) -> Column:
         c, at = F.substr(body, i, F.lit(1)), F.length(_digits(F.substr(body, F.lit(1), i))) - digits + F.length(sur)
         return F.when(c.rlike("[0-9]") & (at > 0), F.substr(sur, at, F.lit(1))).otherwise(c)
 
-    def cased(i: Column) -> Column:
+    def cased(i: Column) -> Column:  # a surrogate may have grown; what the mention has no place for keeps its form
         c = F.substr(sur, i, F.lit(1))
         return F.when(F.substr(body, i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)
 
@@ -256,7 +260,7 @@ def _written(m: Column, found: Column) -> Column:
 
     out = F.when(kind.isin("phone", "card", "ssn"), F.array_join(F.transform(places, digit), ""))
     out = out.when(kind == "iban", F.array_join(F.transform(places, spaced), ""))
-    out = out.when(kind.isin("email", "secret"), F.array_join(F.transform(places, cased), "")).when(kind == "name", F.array_join(F.transform(words, word), ""))
+    out = out.when(kind.isin("email", "secret"), F.array_join(F.transform(F.sequence(F.lit(1), F.length(sur)), cased), "")).when(kind == "name", F.array_join(F.transform(words, word), ""))
     return F.concat(prefix, out.otherwise(sur))
 
 
