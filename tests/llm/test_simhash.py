@@ -112,3 +112,30 @@ def test_dense_groups_in_blocks(docs):
 def test_deals_grow_with_the_input():
     assert [simhash.deals_for(n, 0.8) for n in (0, 1, 1 << 18, (1 << 18) + 1, 1 << 30)] == [(12, 24), (12, 24), (12, 24), (13, 28), (18, 66)]
     assert simhash.bit_budget(0.8) == 44
+
+
+def pairs_at(count, edits, seed, words=200):
+    """Pairs of random texts, the second with `edits` single words changed far apart (five shingles each)."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(count):
+        t = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        u = t.copy()
+        for k in range(edits):
+            u[8 + k * (words - 16) // edits] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(u))]
+    return rows
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_only_texts_at_the_similarity_are_copies(docs):
+    rng = random.Random(5)
+    line = " ".join(f"same{i}" for i in range(12))
+    unlike = [(1000 + i, " ".join([f"v{rng.randrange(10**6)}" for _ in range(300)] + [line] * 20)) for i in range(2)]
+    rows = pairs_at(40, 5, 1) + unlike
+    assert all(0.75 < jaccard(rows[2 * i][1], rows[2 * i + 1][1]) < 0.8 for i in range(40))
+    assert simhash.one_of_each(docs(rows)).count() == len(rows)

@@ -69,6 +69,22 @@ def fingerprint(text: bytes | None, words: int = 3, lanes: int = 1) -> np.ndarra
     return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+def shingles(text: bytes | None, words: int) -> np.ndarray:
+    """Distinct hashes of a UTF-8 text's word shingles, sorted; empty for a text without words."""
+    found = _SPLIT.findall((text or b"").translate(_LOWER))
+    grams = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def set_fingerprint(h: np.ndarray, lanes: int) -> np.ndarray:
+    """SimHash over distinct hashes, each counted once, as `lanes` uint64."""
+    total = np.zeros((lanes, 64), np.int64)
+    for at in range(0, len(h), 1 << 14):
+        for k in range(lanes):
+            total[k] += np.unpackbits(_lane(h[at : at + (1 << 14)], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ((2 * total > len(h)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, fp): one row per row of docs; fp is the fingerprint's 64 bits as a signed long."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
@@ -298,10 +314,29 @@ def bit_budget(similarity: float, bits: int = 64 * LANES) -> int:
     return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
+def verified(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have this Jaccard similarity or more, by the whole sets."""
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = stash(marks.select("node", "shingles").join(need, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")), "candidate-sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared > 0 and shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block: int | None = None) -> DataFrame:
-    """(id, text_hash, fp, component): groups of texts whose shingles overlap by about `similarity` or more.
+    """(id, text_hash, fp, component, root): groups of texts linked by a Jaccard similarity of distinct shingles of at least `similarity`.
 
-    64 bits cannot tell 0.8 from 0.5, so fingerprints have 256 here and the trie self-join takes the budget of that
+    A node is a set of shingles, named by its hash; texts without words share the empty set, which nothing else is linked with.
+    The trie self-join only proposes links; a link holds by the exact similarity. 64 bits cannot tell 0.8 from 0.5, so fingerprints have 256 here and the trie self-join takes the budget of that
     similarity. Pairs meet in any of several deals, each a set of tries over the fingerprints that agree on some drawn bits. A trie of more
     than `block` fingerprints is dealt in blocks, every pair of blocks a trie of its own, so that no task holds more than two.
     """
@@ -310,12 +345,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.stack([fingerprint(t.as_py(), words, LANES) for t in b.column(2)]).view(np.int64) if b.num_rows else np.zeros((0, LANES), np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(fp.ravel()), LANES).cast(pa.list_(pa.int64()))
-            yield pa.record_batch([b.column(0), b.column(1), lists], names=["id", "text_hash", "fp"])
-
-    marks = stash(rows.mapInArrow(run, "id long, text_hash long, fp array<long>"), "fingerprints")
-    least = stash(marks.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+            for at in range(0, b.num_rows, 1_000):
+                part = b.slice(at, 1_000)
+                sets = [shingles(t.as_py(), words) for t in part.column(2)]
+                fp = np.stack([set_fingerprint(h, LANES) for h in sets]).view(np.int64)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(fp.ravel()), LANES).cast(pa.list_(pa.int64()))
+                raw = [h.tobytes() for h in sets]
+                node = np.array([xxhash.xxh64_intdigest(r, SEED) for r in raw], np.uint64).view(np.int64)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(node), lists, pa.array(raw, pa.binary())], names=["id", "text_hash", "node", "fp", "shingles"])
+
+    marks = stash(rows.mapInArrow(run, "id long, text_hash long, node long, fp array<long>, shingles binary"), "fingerprints")
+    nodes = stash(marks.groupBy("node", "fp").agg(F.min("id").alias("least")), "nodes")
+    least = stash(nodes.groupBy("fp").agg(F.min("node").alias("node")), "distinct-fingerprints")
     drawn = np.random.default_rng(SEED)
     width, number = deals_for(least.count(), similarity)
     deals = np.stack([drawn.choice(64 * LANES, width, replace=False) for _ in range(number)])
@@ -336,10 +377,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = dealt.select("k", "v", F.explode(pairs).alias("w"), "fp")
     cols = [F.col("fp")[k].alias(f"f{k}") for k in range(LANES)]
     found = dealt.select("k", "v", "w", *cols).repartition(partitions(docs.sparkSession), "k", "v", "w").sortWithinPartitions("k", "v", "w").mapInArrow(_join_buckets(3, LANES, bit_budget(similarity)), "a array<long>, b array<long>").distinct()
-    roots = components(found)
-    joined = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ends = [least.select(F.col("fp").alias(f"fp_{x}"), F.col("node").alias(x)) for x in "ab"]
+    near = found.select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(ends[0], "fp_a").join(ends[1], "fp_b").select("a", "b")
+    alike = nodes.select("fp", F.col("node").alias("a")).join(least.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
+    edges = verified(stash(near.unionByName(alike), "proposed"), marks, similarity)
+    roots = components(edges)
+    joined = nodes.join(roots, "node", "left").select("node", "fp", "least", F.coalesce("root", "node").alias("root"))
     owner = joined.groupBy("root").agg(F.min("least").alias("component"))
-    return marks.join(joined.join(owner, "root").select("fp", "component", "root"), "fp").select("id", "text_hash", "fp", "component", "root")
+    return marks.select("id", "text_hash", "node").join(joined.join(owner, "root").select("node", "fp", "component", "root"), "node").select("id", "text_hash", "fp", "component", "root")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
