@@ -139,3 +139,12 @@ def test_only_texts_at_the_similarity_are_copies(docs):
     rows = pairs_at(40, 5, 1) + unlike
     assert all(0.75 < jaccard(rows[2 * i][1], rows[2 * i + 1][1]) < 0.8 for i in range(40))
     assert simhash.one_of_each(docs(rows)).count() == len(rows)
+
+
+def test_no_copy_at_the_similarity_is_lost(docs):
+    rng = random.Random(6)
+    line = " ".join(f"again{i}" for i in range(12))
+    base = " ".join(f"u{rng.randrange(10**6)}" for _ in range(300))
+    rows = pairs_at(60, 4, 2) + [(1000, base), (1001, " ".join([base] + [line] * 5))]
+    assert all(0.8 <= jaccard(rows[2 * i][1], rows[2 * i + 1][1]) < 0.83 for i in range(60)) and jaccard(base, rows[-1][1]) > 0.9
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(rows)).collect()) == [r[0] for r in rows[::2]]

@@ -314,10 +314,37 @@ def bit_budget(similarity: float, bits: int = 64 * LANES) -> int:
     return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
+#: Bits of the filter that keeps sets without a proposed pair from moving.
+SIEVE = 1 << 24
+
+
+def _sieve(need: DataFrame) -> np.ndarray:
+    """A bit for each of SIEVE classes of nodes that holds one of need; fixed in size, and it passes every node of need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(SIEVE, bool)
+        for b in batches:
+            on[np.asarray(b.column(0)) & SIEVE - 1] = True
+        yield pa.record_batch([pa.array([np.packbits(on).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(SIEVE // 8, np.uint8)
+    for r in need.coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def verified(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have this Jaccard similarity or more, by the whole sets."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = stash(marks.select("node", "shingles").join(need, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")), "candidate-sets")
+    need = stash(need, "candidates")
+    bits = marks.sparkSession.sparkContext.broadcast(_sieve(need))
+
+    def pass_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.asarray(b.column(0)) & SIEVE - 1
+            yield b.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+    sets = stash(marks.select("node", "shingles").mapInArrow(pass_, "node long, shingles binary").join(need, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")), "candidate-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -332,13 +359,131 @@ def verified(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+#: Counters of shingles; they only order shingles by how common they look, which any order may do.
+COUNTERS, CHUNK = 1 << 20, 1 << 14
+
+
+def _commonness(marks: DataFrame) -> np.ndarray:
+    """How many rows hold a shingle of each of COUNTERS classes; fixed in size, added up on the executors."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                np.add.at(total, (np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        if total.any():
+            parts = total.reshape(-1, CHUNK)
+            yield pa.record_batch([pa.array(np.arange(len(parts))), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+                held[k] = held.get(k, 0) + np.frombuffer(x.as_buffer(), np.int64)
+        yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array([np.minimum(x, (1 << 31) - 1).astype(np.int32).tobytes() for x in held.values()], pa.binary())], names=["chunk", "counts"])
+
+    sums = marks.select("shingles").mapInArrow(count, "chunk long, counts binary").repartition(8, "chunk").mapInArrow(add, "chunk long, counts binary")
+    out = np.zeros((COUNTERS // CHUNK, CHUNK), np.int32)
+    for r in sums.toLocalIterator():
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
+    return out.ravel()
+
+
+def _pairs_of_runs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over rows (token, class, node, size, pos) of long, sorted by the token: the pairs (a, b) of nodes of unlike classes
+    that share a token and whose sizes and places of the token allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in batches:
+            held.append(np.stack([np.asarray(b.column(i)) for i in range(5)], axis=1))
+            if sum(map(len, held)) >= 1 << 17:
+                rows = np.concatenate(held)
+                last = rows[:, 0] == rows[-1, 0]
+                start = 0 if last.all() else len(rows) - int(np.argmin(last[::-1]))
+                yield from settle(rows[:start])
+                held = [rows[start:]]
+        if held:
+            yield from settle(np.concatenate(held))
+
+    def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(rows):
+            return
+        cut = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        mixed = np.minimum.reduceat(rows[:, 1], cut) != np.maximum.reduceat(rows[:, 1], cut)
+        rows = rows[np.repeat(mixed, np.diff(np.r_[cut, len(rows)]))]
+        rows = rows[np.lexsort((rows[:, 3], rows[:, 0]))]
+        token, cls, node, size, pos = rows.T
+        i = np.arange(len(rows))
+        j, found, held = i + 1, [], 0
+        while len(i):
+            on = j < len(rows)
+            i, j = i[on], j[on]
+            on = (token[i] == token[j]) & (size[i] >= similarity * size[j] - 1e-9)  # sizes rise within a token
+            i, j = i[on], j[on]
+            most = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
+            can = (cls[i] != cls[j]) & (most >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9)
+            if can.any():
+                x, y = node[i[can]], node[j[can]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                held += len(x)
+            if held > 1 << 18:
+                yield batch(found)
+                found, held = [], 0
+            j = j + 1
+        if found:
+            yield batch(found)
+
+    def batch(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def missed(marks: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair of nodes of unlike roots that may have the similarity; none that has it is left out.
+
+    With shingles in one common order, two sets of the similarity share one of their first `size - ceil(similarity * size) + 1`
+    (prefix filtering). Rare shingles come first, so few unlike sets meet; nodes that one root holds already need no pair.
+    """
+    counts = marks.sparkSession.sparkContext.broadcast(_commonness(marks))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, out = [], []
+            for x in b.column(1):
+                h = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
+                sizes.append(len(h))
+                out.append(h[np.lexsort((h, counts.value[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:n]].tobytes())
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["node", "size", "first"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1_000):
+                cls, node, size = (np.asarray(b.column(k).slice(at, 1_000)) for k in range(3))
+                tokens = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(3).slice(at, 1_000)]
+                n = np.array([len(x) for x in tokens], np.int64)
+                if n.sum():
+                    cols = [np.concatenate(tokens), *(np.repeat(x, n) for x in (cls, node, size)), np.concatenate([np.arange(k) for k in n])]
+                    yield pa.record_batch([pa.array(x) for x in cols], names=["token", "class", "node", "size", "pos"])
+
+    heads = marks.select("node", "shingles").mapInArrow(first, "node long, size long, first binary").groupBy("node").agg(F.first("size").alias("size"), F.first("first").alias("first"))
+    named = heads.join(roots, "node", "left").select(F.coalesce("root", "node").alias("class"), "node", "size", "first")
+    rows = named.mapInArrow(spread, "token long, class long, node long, size long, pos long")
+    return rows.repartition(partitions(marks.sparkSession), "token").sortWithinPartitions("token").mapInArrow(_pairs_of_runs(similarity), "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block: int | None = None) -> DataFrame:
     """(id, text_hash, fp, component, root): groups of texts linked by a Jaccard similarity of distinct shingles of at least `similarity`.
 
     A node is a set of shingles, named by its hash; texts without words share the empty set, which nothing else is linked with.
-    The trie self-join only proposes links; a link holds by the exact similarity. 64 bits cannot tell 0.8 from 0.5, so fingerprints have 256 here and the trie self-join takes the budget of that
-    similarity. Pairs meet in any of several deals, each a set of tries over the fingerprints that agree on some drawn bits. A trie of more
-    than `block` fingerprints is dealt in blocks, every pair of blocks a trie of its own, so that no task holds more than two.
+    A link holds by the exact similarity of the sets. The trie self-join proposes spanning links first, so that dense groups cost
+    their size: fingerprints of distinct shingles have 256 bits here, as 64 cannot tell 0.8 from 0.5, and the budget of that similarity.
+    Pairs meet in any of several deals, each a set of tries over the fingerprints that agree on some drawn bits. A trie of more
+    than `block` fingerprints is dealt in blocks, every pair of blocks a trie of its own, so that no task holds more than two. What
+    fingerprints miss, or a refused link hid, comes from `missed`, which leaves out no pair between the groups so found.
     """
     block = HOT if block is None else block
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").cast("binary").alias("text"))
@@ -381,7 +526,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = found.select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(ends[0], "fp_a").join(ends[1], "fp_b").select("a", "b")
     alike = nodes.select("fp", F.col("node").alias("a")).join(least.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
     edges = verified(stash(near.unionByName(alike), "proposed"), marks, similarity)
-    roots = components(edges)
+    edges = stash(edges, "links")
+    more = stash(missed(marks, components(edges), similarity), "proposed")
+    roots = components(edges.unionByName(verified(more, marks, similarity)))
     joined = nodes.join(roots, "node", "left").select("node", "fp", "least", F.coalesce("root", "node").alias("root"))
     owner = joined.groupBy("root").agg(F.min("least").alias("component"))
     return marks.select("id", "text_hash", "node").join(joined.join(owner, "root").select("node", "fp", "component", "root"), "node").select("id", "text_hash", "fp", "component", "root")
