@@ -22,3 +22,7 @@ def test_entry_and_registry(spark):
     assert set(QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns[:2] == ["query_id", "subject"]
+
+
+def test_fuzzy_entity_answers_every_customer(spark):
+    assert QUERIES["fuzzy_entity"](spark, SF).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
