@@ -2,8 +2,9 @@
 mixed to their weights, and what is left is packed into training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all of docs; its result is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents. Rows with null text are kept by every filter; empty tables
-pass through.
+stage's docs. All but the last return the columns of documents. Rows with null text are kept by every filter but the
+near-duplicate one, which keeps one of all null and word-less texts and never takes another text for a copy of them; empty
+tables pass through.
 """
 
 from __future__ import annotations

@@ -148,3 +148,9 @@ def test_no_copy_at_the_similarity_is_lost(docs):
     rows = pairs_at(60, 4, 2) + [(1000, base), (1001, " ".join([base] + [line] * 5))]
     assert all(0.8 <= jaccard(rows[2 * i][1], rows[2 * i + 1][1]) < 0.83 for i in range(60)) and jaccard(base, rows[-1][1]) > 0.9
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(rows)).collect()) == [r[0] for r in rows[::2]]
+
+
+def test_short_texts_are_no_copies_of_an_empty_one(docs):
+    texts = (" ".join(f"{w}{i}" for w in "abcdef") for i in range(20_000))
+    rare = next(t for t in texts if sum(int(x).bit_count() for x in simhash.fingerprint(t.encode(), 5, simhash.LANES)) <= 44)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs([(1, ""), (2, None), (3, rare)])).collect()) == [1, 3]
