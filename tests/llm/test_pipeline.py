@@ -64,8 +64,9 @@ def test_stages(spark, planted):
     ids = {name: {r["doc_id"] for r in rows} for name, rows in kept.items()}
     clean = {i for i in range(600) if i % 6}
     assert not any("vileword" in (r["text"] or "") for r in kept["toxicity"]) and len(clean & ids["toxicity"]) >= 0.99 * len(clean)
+    assert {2002, 2003} <= ids["toxicity"] & ids["simhash_near_dedup"]  # texts without a word stay
     gone = ids["toxicity"] - ids["simhash_near_dedup"]
-    assert gone == ({*range(1000, 1050), 2000, 2001, 2003} & ids["toxicity"])
+    assert gone == ({*range(1000, 1050), 2000, 2001} & ids["toxicity"])
     assert len(kept["simhash_near_dedup"]) == len(ids["simhash_near_dedup"])
     assert ids["pii"] == ids["simhash_near_dedup"] and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in kept["pii"])
     total = lambda rows: sum(len((r["text"] or "").split()) for r in rows)
@@ -73,6 +74,15 @@ def test_stages(spark, planted):
     assert sum(r["n_tokens"] for r in kept["packing"]) == total(kept["mixing"]) + len(kept["mixing"])
 
 
+def test_filters_keep_texts_without_words(spark, tmp_path):
+    """Even where nearly all labelled rows are toxic, and however many such rows there are."""
+    rows = [(i, "vile words of hate and spite number " + str(i), "en", "a") for i in range(60)] + [(100 + i, t, "en", "a") for i, t in enumerate([None, None, None, "", "", " \t"])]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, 1, int(i < 58)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        assert {r["doc_id"] for r in stage(spark, docs, str(tmp_path)).collect()} >= set(range(100, 106))
+
+
 def test_pii_stage_rewrites(spark, planted):
     docs = spark.read.parquet(f"{planted}/documents.parquet").where("doc_id = 2001")
     text = corpus_pipeline.pii_stage(spark, docs, planted).first()["text"]

@@ -65,9 +65,13 @@ class Model:
 
     def tails(self, text: bytes | None) -> np.ndarray:
         """P(grade >= g) for each g from 1 up."""
-        f, v = features(text)
-        z = float(self.weights[f].astype(np.float64) @ v) - self.thresholds
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
+        return tail_chances(self.weights, self.thresholds, text)
+
+
+def tail_chances(weights: np.ndarray, thresholds: np.ndarray, text: bytes | None) -> np.ndarray:
+    f, v = features(text)
+    z = float(weights[f].astype(np.float64) @ v) - thresholds
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
 def _log_sigmoid(x: np.ndarray) -> np.ndarray:
@@ -126,11 +130,13 @@ def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "grade", id_col: s
 
 def scores(docs: DataFrame, model: Model, grade: int, keep: float = 0.5, text_col: str = "text") -> DataFrame:
     """(row, expected_grade, tail_probability, keep): row is a struct of docs' columns; rows whose chance of `grade` or more is at least `keep` are kept."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats whatever the input
+    # 2**BITS floats whatever the input; plain arrays, as objects of this package need it on the executors
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weights, thresholds = sent.value
         for t in texts:
-            tails = [sent.value.tails(x.as_py()) for x in t]
+            tails = [tail_chances(weights, thresholds, x.as_py()) for x in t]
             tail = [float(p[grade - 1]) if grade <= len(p) else 0.0 for p in tails] if grade else [1.0] * len(tails)
             yield pa.StructArray.from_arrays([pa.array([float(p.sum()) for p in tails], pa.float64()), pa.array(tail, pa.float64())], names=["expected", "tail"])
 

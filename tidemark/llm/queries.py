@@ -15,8 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.measured(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    narrow = stash(rows.select(F.col("row.doc_id").alias("doc_id"), "source", "size", "imp", "u"), "sizes")
-    taken = mixing.copies(narrow, mixing.plan(narrow))
+    narrow = mixing.numbered(rows.select(F.col("row.doc_id").alias("doc_id"), "source", "size", "imp", "u", "rh"))
+    taken = mixing.copies(narrow, mixing.plan(narrow)[0])
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
@@ -79,13 +79,12 @@ QUERIES: dict[str, Query] = {
     "op10_suffixes": op10_suffixes,
 }
 
-def _prefix_sql(k: int, where: str) -> str:
-    """One filling round: the longest prefix by key that fits the gap g(k-1) of its source."""
+def _fill_sql(k: int, where: str) -> str:
+    """A fill: of the documents beyond the prefix the one whose size comes nearest to what is left of the target, if that comes closer."""
     return f"""
-s{k} AS (SELECT t.source, key, size, g{k - 1}, sum(size) OVER (PARTITION BY t.source ORDER BY key RANGE UNBOUNDED PRECEDING) AS cum, g{k - 1}
-         FROM placed JOIN t{k - 1} t USING (sid) WHERE key IS NOT NULL {where}),
-t{k} AS (SELECT t.*, greatest(coalesce((SELECT min(key) - 1 FROM s{k} x WHERE x.source IS NOT DISTINCT FROM t.source AND cum > x.g{k - 1}), 1::BIGINT << 50), {f"c{k - 1}" if k > 1 else "-1"}) AS c{k},
-         t.g{k - 1} - coalesce((SELECT max(cum) FROM s{k} x WHERE x.source IS NOT DISTINCT FROM t.source AND cum <= x.g{k - 1}), 0) AS g{k} FROM t{k - 1} t)"""
+f{k} AS (SELECT sid, arg_min(rid, (abs(gap - size), key, rid)) AS f{k}, arg_min(size, (abs(gap - size), key, rid)) AS s FROM line JOIN g{k - 1} USING (sid)
+         WHERE NOT inside AND abs(gap - size) < abs(gap) {where} GROUP BY sid),
+g{k} AS (SELECT g.* REPLACE (gap - coalesce(s, 0) AS gap), f{k} FROM g{k - 1} g LEFT JOIN f{k} USING (sid))"""
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,10 +97,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op1_mixing": rf"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '~') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM documents),
-m AS (SELECT *, CASE WHEN size < 16 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS imp FROM d),
+m AS (SELECT *, ceil(32 * (size + 8.0::DOUBLE) / (size + 16)) / 32.0::DOUBLE AS imp FROM d),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
 weighed AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((sid - 1) % 3) + 1] AS w, source_size * 2.0::DOUBLE AS most FROM per),
 level AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -115,14 +114,12 @@ scale AS (SELECT sid, max_by(lam, imp) AS lam FROM lams WHERE lam * imp <= 2 GRO
 expected AS (SELECT p.*, least(2.0::DOUBLE, CASE WHEN t.source_size > 0 THEN coalesce(lam, 'inf'::DOUBLE) ELSE 0 END * imp) AS e
              FROM placed0 p JOIN target t USING (sid) LEFT JOIN scale USING (sid)),
 odds AS (SELECT *, floor(e) AS whole, (u / (1 - u)) * ((1 - (e - floor(e))) / nullif(e - floor(e), 0)) AS o FROM expected),
-placed AS (SELECT doc_id, source, sid, size, whole, CASE WHEN size > 0 THEN floor(o / (1 + o) * 281474976710656.0::DOUBLE)::BIGINT END AS key FROM odds),
-t0 AS (SELECT t.*, target - coalesce((SELECT sum(whole * size) FROM placed p WHERE p.sid = t.sid), 0) AS g0 FROM target t),
-{_prefix_sql(1, "")},
-{_prefix_sql(2, "AND key > c1 AND size <= g1")},
-{_prefix_sql(3, "AND key > c2 AND size <= g2")},
-chosen AS (SELECT p.*, t.target, t.source_size, t.g3,
-             coalesce(key <= c1 OR (key > c1 AND key <= c2 AND size <= g1) OR (key > c2 AND key <= c3 AND size <= g2), false) AS inside FROM placed p JOIN t3 t USING (sid)),
-one AS (SELECT *, min(CASE WHEN NOT inside AND size < 2 * g3 THEN key END) OVER (PARTITION BY sid) AS k4 FROM chosen),
-took AS (SELECT *, (whole + (inside OR coalesce(key = k4 AND size < 2 * g3, false))::INT)::BIGINT AS copies FROM one)
+placed AS (SELECT rid, doc_id, source, sid, size, whole, CASE WHEN size > 0 THEN floor(o / (1 + o) * 281474976710656.0::DOUBLE)::BIGINT END AS key FROM odds),
+t0 AS (SELECT t.*, target - coalesce((SELECT sum(whole * size) FROM placed p WHERE p.sid = t.sid), 0) AS gap FROM target t),
+sums AS (SELECT *, sum(size) OVER (PARTITION BY sid ORDER BY key, rid ROWS UNBOUNDED PRECEDING) AS cum FROM placed WHERE key IS NOT NULL),
+line AS (SELECT s.* , cum <= t.gap AS inside FROM sums s JOIN t0 t USING (sid)),
+g0 AS (SELECT t.sid, gap - coalesce((SELECT max(cum) FROM line l WHERE l.sid = t.sid AND inside), 0) AS gap FROM t0 t),{_fill_sql(1, "")},{_fill_sql(2, "AND f1 IS DISTINCT FROM rid")},
+took AS (SELECT p.*, t.target, t.source_size, (p.whole + (coalesce(l.inside, false) OR coalesce(p.rid = f1, false) OR coalesce(p.rid = f2, false))::INT)::BIGINT AS copies
+         FROM placed p JOIN t0 t USING (sid) LEFT JOIN line l USING (rid) LEFT JOIN g2 ON g2.sid = p.sid)
 SELECT doc_id, size::BIGINT AS size, source_size, target, copies * size AS taken, source, copies FROM took""",
 }

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions, stash
+from tidemark.llm.common import has_word, partitions, stash
 
 _SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -535,7 +535,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of every group of near copies: that of the smallest id (null ids last), then of the smallest text hash."""
+    """docs with one row of every group of near copies: that of the smallest id (null ids last), then of the smallest text hash.
+
+    Rows without a word in their text, null texts among them, are nobody's copies: they take no part and all stay.
+    """
+    worded = has_word(F.col(text_col).cast("string"))
+    blank, docs = docs.where(~worded), docs.where(worded)
     groups = near_copies(docs, id_col, text_col, words, similarity)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")).alias("m"))
 
@@ -545,4 +550,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = first.select(key("m.id", "m.text_hash")).distinct()
     named = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
     kept = named.select("row", key("i", "h")).join(keep, "__key", "left_semi")
-    return kept.groupBy("__key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return kept.groupBy("__key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*").unionByName(blank)

@@ -60,8 +60,12 @@ class Model:
     intercept: float
 
     def score(self, text: str | None, seen: np.ndarray) -> float:
-        z = self.intercept + float(self.weights[features(text, seen)].sum(dtype=np.float64))
-        return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
+        return probability(self.weights, self.intercept, text, seen)
+
+
+def probability(weights: np.ndarray, intercept: float, text: str | None, seen: np.ndarray) -> float:
+    z = intercept + float(weights[features(text, seen)].sum(dtype=np.float64))
+    return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
 
 
 def held_out(id_col: Column) -> Column:
@@ -69,9 +73,10 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, kept: int = KEPT, l2: float = 2.0, alpha: float = 1.0) -> Model:
-    """Learn from at most max_rows labelled rows outside the held-out fifth."""
-    marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("id")))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, kept: int = KEPT, l2: float = 2.0, alpha: float = 1.0, hold_out: bool = True) -> Model:
+    """Learn from at most max_rows labelled rows; with hold_out, from none of the held-out fifth."""
+    marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
+    marks = marks.where(~held_out(F.col("id"))) if hold_out else marks
     rows = labelled_sample(docs, marks, id_col, text_col, max_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,12 +128,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, score): row is a struct of docs' columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats whatever the input
+    # 2**BITS floats whatever the input; an array and a number, as objects of this package need it on the executors
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weights, intercept = sent.value
         seen = np.zeros(1 << BITS, np.int32)
         for t in texts:
-            yield pa.array([sent.value.score(x.as_py(), seen) for x in t], pa.float64())
+            yield pa.array([probability(weights, intercept, x.as_py(), seen) for x in t], pa.float64())
 
     score = F.arrow_udf(run, "double", ArrowUDFType.SCALAR_ITER)
     return docs.select(F.struct("*").alias("row")).withColumn("score", score(F.col(f"row.{text_col}").cast("string")))
