@@ -2,9 +2,8 @@
 mixed to their weights, and what is left is packed into training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all of docs; its result is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents. Rows with null text are kept by every filter but the
-near-duplicate one, which keeps one of all null and word-less texts and never takes another text for a copy of them; empty
-tables pass through.
+stage's docs. All but the last return the columns of documents. Rows without a word in their text, null texts among them, give
+no ground to reject them and are nobody's copies: both filters keep all of them. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -13,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, packing, pii, simhash, toxicity
-from tidemark.llm.common import stash, table
+from tidemark.llm.common import has_word, stash, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity below one half, by a model of the labelled ones."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scores(docs, model).where("score < 0.5").select("row.*")
+    """Documents with a toxicity below one half, by a model of all labelled ones, and those without a word."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), hold_out=False)
+    return toxicity.scores(docs, model).where((F.col("score") < 0.5) | ~has_word(F.col("row.text"))).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +50,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Fingerprints, a fitted classifier and best-fit packing have no SQL form; tests hold run() against a brute-force version.
+#: Fingerprints, a fitted classifier and best-fit packing have no SQL form; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
