@@ -100,5 +100,51 @@ def test_copies_beyond_k(spark):
 def test_rotations_keep_lengths():
     x = np.random.default_rng(0).normal(size=(10, 24))
     assert np.allclose(np.linalg.norm(ann.rotate(x, 1), axis=1), np.linalg.norm(x, axis=1))
-    a = ann.axes(x, 0, 64)
-    assert a.shape == (10, 64) and all(len(set(r)) == 64 for r in a.tolist())
+
+
+def test_probes_come_in_order_of_summed_coordinates():
+    x = np.random.default_rng(0).normal(size=(5, 6))
+    for polytopes in (1, 2, 3):
+        ends = ann._ends(x, 4, polytopes)
+        m = ends[0].shape[1]
+        total = ends[0]
+        for e in ends[1:]:
+            total = (total[:, :, None] + e[:, None, :]).reshape(len(x), -1)
+        for most in (1, 7, 60, m**polytopes):
+            got = ann.probes(x, 4, polytopes, most)
+            want = -np.sort(-total, axis=1)[:, :most]
+            assert got.shape == want.shape and np.allclose(np.take_along_axis(total, got, axis=1), want)
+        assert (ann.probes(x, 4, polytopes, 1)[:, 0] == ann.codes(x, 4, polytopes)).all()
+
+
+def test_more_rows_are_looked_at_less():
+    """Random unit vectors of 64 dimensions, the worst case: recall of the fitted probes, and the share of rows that they look at."""
+    shares = []
+    for n in (2_000, 8_000, 24_000):
+        x = np.random.default_rng(n).normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        exact = x[:120] @ x.T
+        exact[np.arange(120), np.arange(120)] = -2
+        near = np.argsort(-exact, axis=1)[:, :20]
+        polytopes, _ = ann.shape(n, 64)
+        most = ann.fit_probes(x[:60], [x[i] for i in near[:60]], polytopes, ann.TABLES, ann.GOAL)
+        seen = np.zeros((60, n), bool)
+        for t in range(ann.TABLES):
+            code, asked = ann.codes(x, t, polytopes), ann.probes(x[60:120], t, polytopes, most)
+            for i in range(60):
+                seen[i] |= np.isin(code, asked[i])
+        assert np.take_along_axis(seen, near[60:], axis=1).mean() >= 0.9
+        shares.append(seen.mean())
+    assert shares[0] < 0.5 and shares[2] < shares[1] < shares[0]
+
+
+def test_recall_of_the_search(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 64)) * np.exp(rng.normal(0, 0.2, size=(1500, 1)))
+    rows = [(i, [float(np.float32(y)) for y in v]) for i, v in enumerate(x)]
+    got = ann.nearest(table(spark, rows), F.col("id") % 20 == 0, k=20).collect()
+    x = np.array([v for _, v in rows])
+    s = x[::20] @ x.T
+    s[np.arange(75), np.arange(0, 1500, 20)] = -np.inf
+    want = {(20 * q, int(i)) for q, r in enumerate(np.argsort(-s, axis=1)[:, :20]) for i in r}
+    assert len(got) == 1500 and len({(r["query_id"], r["vec_id"]) for r in got} & want) >= 0.9 * len(want)
