@@ -36,12 +36,46 @@ BASE = "the cat sat on the mat while the rain in spain fell mainly on the plain
 ROWS = [(1, BASE), (2, f"xx {BASE} yy"), (2, BASE[:60]), (3, None), (4, ""), (None, BASE), (None, "q" + BASE[3:]), (5, "is " * 60), (6, "z is " * 3 + "is " * 50), (7, BASE[:49]), (8, "a" * 200), (9, "b" + "a" * 120), (10, BASE[20:80] + "#" + BASE[:70]), (10, BASE), (11, "é" * 40 + "x"), (12, "é" * 30), (13, "\0" * 120), (14, "\0" * 60 + "y"), (15, BASE[:50]), (-3, "zz" + BASE[10:70]), (16, "w" * 5000 + BASE)]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 150, "array_bytes": 150, "bucket_records": 2}, {"shard_bytes": 1, "array_bytes": 1, "bucket_records": 50}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 150, "array_bytes": 150, "bucket_records": 2}, {"shard_bytes": 1, "array_bytes": 1, "bucket_records": 50}, {"shard_bytes": 300, "bucket_records": 9, "hot": 1}])
 def test_against_brute_force(docs, sizes):
     got = suffixes.deduplicated(docs(ROWS), **sizes).collect()
     assert sorted(((*r[:5], bytes(r[5])) for r in got), key=str) == brute(ROWS)
 
 
+def test_nothing_goes_but_by_the_arrays(docs, monkeypatch):
+    """Anchors only leave windows out: with suffix arrays that find nothing, nothing is removed."""
+    monkeypatch.setattr(suffixes, "first_places", lambda parts: [p[2] for p in parts])
+    assert sum(r["n_removed"] for r in suffixes.deduplicated(docs(ROWS)).collect()) == 0
+
+
+def test_equal_anchors_decide_nothing(docs, monkeypatch):
+    """With one anchor for everything the arrays still give the right result."""
+    real = suffixes.Runs.__init__
+
+    def poor(self, *a):
+        real(self, *a)
+        self.anchor, self.span = self.anchor & np.uint64(1) << np.uint64(40), self.span & np.uint64(0)
+
+    monkeypatch.setattr(suffixes.Runs, "__init__", poor)
+    got = suffixes.deduplicated(docs(ROWS), shard_bytes=400, array_bytes=300, bucket_records=3).collect()
+    assert sorted(((*r[:5], bytes(r[5])) for r in got), key=str) == brute(ROWS)
+
+
+@given(st.lists(st.binary(min_size=L, max_size=260).map(lambda b: bytes(97 + x % 2 for x in b)), min_size=1, max_size=4))
+@settings(max_examples=60, deadline=None)
+def test_first_places(texts):
+    parts, seen, base = [], {}, 0
+    for t in texts:
+        data = np.frombuffer(t, np.uint8)
+        window = np.arange(len(t) - L + 1)
+        parts.append((data, window, window + base))
+        for p in window.tolist():
+            seen.setdefault(t[p : p + L], p + base)
+        base += 1000
+    for (data, window, _), first in zip(parts, suffixes.first_places(parts)):
+        assert first.tolist() == [seen[data.tobytes()[p : p + L]] for p in window.tolist()]
+
+
 def test_empty(docs):
     assert suffixes.deduplicated(docs([])).count() == 0
     assert suffixes.deduplicated(docs([(1, None)]), with_text=False).first()["n_bytes"] == 0

@@ -1,17 +1,22 @@
 """Exact removal of byte strings that documents with smaller ids hold too, by suffix arrays.
 
-A byte goes if a 50-byte string over it also starts in a document of smaller id. Documents are dealt by ranges of the id to
-shards of a few megabytes, each a file in the shared folder, so that shards come in the order of ids.
-
-Suffix arrays over all text against all other text would cost the square of the shards, so windows are first grouped exactly.
-Every 50-byte window has an anchor that its content alone decides, and the windows of one anchor in a row form a run. Equal
-windows lie in runs of equal anchors. Shards exchange one number for the anchor and one for the run's bytes:
-an anchor that one run has is settled (nothing repeats), and so is one whose runs all hold the same bytes (all but the first
-go). Only runs that share an anchor but not all their bytes, a small part of the text, send their bytes on, by anchor. Those
-are the texts of the suffix arrays: Larsson-Sadakane refinement in numpy orders their windows (8, 16, 32 and then 50 bytes,
-only groups still tied are sorted again), Kasai's common prefixes of neighbours tell which windows are equal, and where a
-bucket of anchors holds more than one array's worth, the arrays' distinct windows are merged by binary search. Window for
-window, the first document keeps the string and later ones drop it.
+A byte goes if a 50-byte string (a window) over it also starts in a document of smaller id. Documents are dealt by ranges of the
+id to shards of a few megabytes, each a file in the shared folder, so that shards come in the order of ids.
+
+1. Suffix arrays of all text would have to meet those of all other text, so windows that can't repeat are left out first.
+   Every window has an anchor that its content alone decides: equal windows have equal anchors. Shards exchange their anchors
+   (a number each, in plane-coded steps); what has an anchor that no other run of windows has, repeats nowhere. Equal anchors
+   decide nothing more.
+2. Every shard builds the suffix array of the stretches that are left: Larsson-Sadakane refinement in numpy orders the suffixes
+   (8, 16, 32 and then 50 bytes, only groups still tied are sorted again), Kasai's common prefixes of neighbours tell which
+   windows are equal. Windows that a smaller id of the shard has too are found there. Of the windows whose anchors other shards
+   have, the first place of each sends its bytes on, by anchor.
+3. Every bucket of anchors builds the suffix arrays of what it got, from as many shards as fit one array, and merges the
+   arrays' distinct windows by binary search. The first shard keeps a window and later ones are told.
+4. Every shard removes what it found itself and what it was told, with the same windows elsewhere in the same documents.
+
+So all that is removed was found equal byte for byte in a suffix array. An anchor that very many runs have is dealt further, window
+by window, by a hash of the window, so that no task holds all runs of a hot anchor.
 
 Each stage's result is a written table or file and tasks name their files by attempt, so a lost executor's work is repeated
 without harm. What a task holds is bounded by the shard and bucket sizes, but for a single document or a single id's rows.
@@ -37,8 +42,10 @@ from tidemark.llm.files import from_planes, get, pack_arrays, put, to_planes, un
 
 #: Bytes of a repeated string, and of the grams that anchor its windows.
 LENGTH, GRAM = 50, 24
-#: Text bytes of a shard, and of one suffix array; documents of a shard; records of a bucket.
-SHARD_BYTES, ARRAY_BYTES, SHARD_DOCS, BUCKET = 4 << 20, 2 << 20, 1 << 20, 1 << 20
+#: Text bytes of a shard, and of one suffix array; documents of a shard; anchors of a bucket.
+SHARD_BYTES, ARRAY_BYTES, SHARD_DOCS, BUCKET = 4 << 20, 4 << 20, 1 << 20, 1 << 19
+#: Runs that one anchor may have before its windows are dealt one by one.
+HOT = 1 << 16
 #: Windows handled at once, which bounds the memory of a task whatever a text's length.
 STEP = 1 << 20
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -113,38 +120,33 @@ class Runs:
 
 
 class Shard:
-    """One shard's texts with its runs, sorted by anchor, span and document."""
+    """One shard's texts with its runs, sorted by anchor, span and place."""
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, ids: np.ndarray, known: np.ndarray):
         self.data, self.ends, self.ids, self.known = data, ends, ids, known
         self.starts = np.r_[0, ends[:-1]] if len(ends) else ends
-        runs = Runs(data, self.starts, ends)
         change = np.r_[False, (ids[1:] != ids[:-1]) | (known[1:] != known[:-1])] if len(ids) else np.zeros(0, bool)
-        place = np.cumsum(change)  # documents of one id count as one
-        doc = place[np.searchsorted(ends, runs.first, side="right")] if len(runs.first) else np.zeros(0, np.int64)
-        order = np.lexsort((doc, runs.span, runs.anchor))
-        self.first, self.count, self.doc = runs.first[order], runs.count[order], doc[order]
-        self.anchor, self.span = runs.anchor[order], runs.span[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.span[1:] != self.span[:-1])
-        self.heads = np.flatnonzero(new)  # the first document's run of every anchor and span
-        self.group = np.cumsum(new) - 1
+        self.number = np.cumsum(change)  # documents of one id count as one
 
     @classmethod
     def load(cls, path: str) -> Shard:
         z = unpack_arrays(get(path))
         return cls(z["data"], z["ends"], z["ids"], z["known"])
 
-    def find(self, anchor: np.ndarray, span: np.ndarray) -> np.ndarray:
-        """The groups of (anchor, span) pairs, all of which are there: binary searches by anchor and then by span."""
-        anchors, spans = self.anchor[self.heads], self.span[self.heads]
-        at, end = np.searchsorted(anchors, anchor), np.searchsorted(anchors, anchor, side="right")
-        while (open_ := end - at > 1).any():
-            mid = (at + end) >> 1
-            above = spans[np.minimum(mid, len(spans) - 1)] > span
-            end = np.where(open_ & above, mid, end)
-            at = np.where(open_ & ~above, mid, at)
-        return at
+    def doc(self, place: np.ndarray) -> np.ndarray:
+        return self.number[np.searchsorted(self.ends, place, side="right")] if len(place) else place
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs' first windows, counts and anchors in order of (anchor, span, place); the distinct anchors, and how many runs of unlike span each has."""
+        runs = Runs(self.data, self.starts, self.ends)
+        order = np.lexsort((runs.first, runs.span, runs.anchor))
+        anchor, span = runs.anchor[order], runs.span[order]
+        new = np.ones(len(order), bool)
+        new[1:] = anchor[1:] != anchor[:-1]
+        unlike = new.copy()
+        unlike[1:] |= span[1:] != span[:-1]
+        at = np.flatnonzero(new)
+        return runs.first[order], runs.count[order], anchor, anchor[at], np.add.reduceat(unlike, at) if len(at) else at
 
 
 def _coded(x: np.ndarray) -> bytes:
@@ -158,26 +160,15 @@ def _decoded(content: bytes) -> np.ndarray:
     return np.cumsum(from_planes([p[i * n : (i + 1) * n] for i in range(k)], n, np.uint64), dtype=np.uint64)
 
 
-def _six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unsix(content: bytes) -> np.ndarray:
-    out = np.zeros((len(content) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(content, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
-_RECORDS = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("anchor", pa.binary()), ("span", pa.binary())])
-_REPLIES = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("kind", pa.int32()), ("anchor", pa.binary()), ("span", pa.binary()), ("mask", pa.binary())])
-_SPANS = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("content", pa.binary())])
+_RECORDS = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("anchor", pa.binary()), ("runs", pa.binary())])
+_REPLIES = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("anchor", pa.binary()), ("parts", pa.binary())])
+_SPANS = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("content", pa.binary())])
+_MASKS = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("content", pa.binary())])
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-#: Kinds of reply: nothing but the shard's name, runs that go as a whole, runs whose bytes are asked for, runs with a mask of windows.
-NAMED, GONE, ASKED, MASKED = range(4)
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -189,7 +180,7 @@ def refine(data: np.ndarray) -> np.ndarray:
     n = len(data)
     padded = np.concatenate([data, np.zeros(LENGTH + 8, np.uint8)])
     key = _words(padded)[:n].byteswap()
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     sorted_key = key[sa]
     tied = np.r_[False, sorted_key[1:] == sorted_key[:-1]]  # slot i ties with slot i - 1
     del key, sorted_key
@@ -202,90 +193,104 @@ def refine(data: np.ndarray) -> np.ndarray:
         if not len(slots):
             break
         suffix = sa[slots]
-        group, then = rank[suffix], rank[suffix + shift]
-        order = np.lexsort((then, group))
+        both_ranks = rank[suffix] * (n + 1) + rank[suffix + shift] + 1
+        order = np.argsort(both_ranks)
         sa[slots] = suffix[order]
-        group, then = group[order], then[order]
-        same = np.r_[False, (group[1:] == group[:-1]) & (then[1:] == then[:-1])]
+        both_ranks = both_ranks[order]
+        same = np.r_[False, both_ranks[1:] == both_ranks[:-1]]
         tied[slots] = same
         rank[sa[slots]] = np.maximum.accumulate(np.where(same, 0, slots))
     return sa
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """Kasai's common prefix of each suffix of sa with the one before it, up to LENGTH bytes, taken eight bytes at a time."""
-    words = _words(np.concatenate([data, np.zeros(LENGTH + 16, np.uint8)]))
-    out, at = np.zeros(len(sa), np.int64), np.arange(1, len(sa))
-    for k in range(0, LENGTH, 8):
-        unlike = words[sa[at] + k] ^ words[sa[at - 1] + k]
-        low = unlike & (~unlike + np.uint64(1))
-        out[at] += np.where(unlike == 0, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8)
-        at = at[unlike == 0]
-    return np.minimum(out, LENGTH)
-
+def common_prefixes(data: np.ndarray, sa: np.ndarray, lanes: int = 16) -> np.ndarray:
+    """Kasai's common prefix of each suffix of sa with the one before it, up to LENGTH bytes.
 
-def equal_windows(data: np.ndarray, window: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix-array order of the windows (start positions), their classes of equal windows from 0 up, and each class's least owner."""
+    A suffix shares with the one before it at least what the suffix a byte earlier shares with its own, less one, so only what
+    comes after that is compared. (Not so where that is all of LENGTH bytes, as nothing orders suffixes beyond those; there it
+    starts anew.) Places go in lanes: every `lanes`-th starts from nothing, all of those at once, and those after them take up
+    from there.
+    """
+    n = len(data)
+    words = _words(np.concatenate([data, np.zeros(LENGTH + 16, np.uint8)]))
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    out = np.zeros(n, np.int64)
+    for lane in range(min(lanes, n)):
+        at = np.arange(lane, n, lanes)
+        if lane:
+            known = out[at - 1]
+            out[at] = np.where(known < LENGTH, np.maximum(known - 1, 0), 0)
+        out[at[before[at] < 0]] = 0
+        at = at[before[at] >= 0]
+        while len(at):
+            unlike = words[at + out[at]] ^ words[before[at] + out[at]]
+            low = unlike & (~unlike + np.uint64(1))
+            out[at] = np.minimum(out[at] + np.where(unlike == 0, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8), LENGTH)
+            at = at[(unlike == 0) & (out[at] < LENGTH)]
+    return out[sa]
+
+
+def equal_windows(data: np.ndarray, window: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix-array order of the windows (start positions), their classes of equal windows from 0 up, and each class's least place."""
     sa = refine(data)
+    group = np.cumsum(common_prefixes(data, sa) < LENGTH)
     which = np.full(len(data), -1, np.int64)
     which[window] = np.arange(len(window))
-    sa = sa[which[sa] >= 0]
-    same = common_prefixes(data, sa) >= LENGTH
-    same[:1] = False
     order = which[sa]
-    cls = np.cumsum(~same) - 1
-    return order, cls, np.minimum.reduceat(owner[order], np.flatnonzero(~same)) if len(order) else np.zeros(0, np.int64)
+    held = order >= 0
+    order, group = order[held], group[held]
+    new = np.ones(len(order), bool)
+    new[1:] = group[1:] != group[:-1]
+    return order, np.cumsum(new) - 1, np.minimum.reduceat(place[order], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
 
 
-def later_windows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For suffix-array shards (data, window, owner): which windows an earlier owner of any of the shards has too.
+def first_places(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For arrays (data, window, place): the least place of any array at which each window is.
 
-    Shards' distinct windows are merged in order by binary search, each with its least owner.
+    The arrays' distinct windows are merged in order by binary search, each with its least place.
     """
     found = [equal_windows(*p) for p in parts]
-    if len(parts) == 1:
-        order, cls, least = found[0]
-        later = np.zeros(len(order), bool)
-        later[order] = parts[0][2][order] > least[cls]
-        return [later]
-    keys = []
-    for (data, window, _), (order, cls, _) in zip(parts, found):
-        head = window[order[np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])]] if len(order) else window[:0]
-        keys.append(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[head].copy().view(f"S{LENGTH}").ravel())
-    merged, owner = keys[0], found[0][2]
-    for key, (_, _, least) in zip(keys[1:], found[1:]):
-        at = np.searchsorted(merged, key)
-        hit = (at < len(merged)) & (merged[np.minimum(at, len(merged) - 1)] == key) if len(merged) else np.zeros(len(key), bool)
-        owner[at[hit]] = np.minimum(owner[at[hit]], least[hit])
-        merged, owner = np.insert(merged, at[~hit], key[~hit]), np.insert(owner, at[~hit], least[~hit])
+    keys, merged, least = [], np.zeros(0, f"S{LENGTH}"), np.zeros(0, np.int64)
+    if len(parts) > 1:
+        for (data, window, _), (order, cls, mine) in zip(parts, found):
+            head = window[order[np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])]] if len(order) else window[:0]
+            key = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[head].copy().view(f"S{LENGTH}").ravel() if len(head) else merged[:0]
+            keys.append(key)
+            at = np.searchsorted(merged, key)
+            hit = merged[np.minimum(at, len(merged) - 1)] == key if len(merged) else np.zeros(len(key), bool)
+            hit &= at < len(merged)
+            least[at[hit]] = np.minimum(least[at[hit]], mine[hit])
+            merged, least = np.insert(merged, at[~hit], key[~hit]), np.insert(least, at[~hit], mine[~hit])
     out = []
-    for (_, _, mine), key, (order, cls, _) in zip(parts, keys, found):
-        later = np.zeros(len(order), bool)
-        later[order] = mine[order] > owner[np.searchsorted(merged, key)][cls]
-        out.append(later)
+    for i, (_, window, _) in enumerate(parts):
+        order, cls, mine = found[i]
+        first = np.zeros(len(window), np.int64)
+        first[order] = (least[np.searchsorted(merged, keys[i])] if len(parts) > 1 else mine)[cls]
+        out.append(first)
     return out
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, folder: str, shard_bytes: int, ranges: int, buckets: int) -> DataFrame:
-    """Write the shards' files and return their records: a row for each shard and bucket of anchors."""
+    """Write the shards' files and return their records: a row for each shard and bucket of anchors, one of which names the file."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
     rows = rows.repartitionByRange(ranges, F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, serial = TaskContext.get().partitionId(), 0
+        number = TaskContext.get().partitionId() << 24
         texts: list[bytes] = []
         ids: list[int | None] = []
         size = 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if texts and (size >= shard_bytes or len(texts) >= SHARD_DOCS) and i != ids[-1]:
-                    yield from flush(part * 4096 + serial, texts, ids)
-                    serial, size, texts, ids = serial + 1, 0, [], []
+                    yield from flush(number, texts, ids)
+                    number, size, texts, ids = number + 1, 0, [], []
                 texts.append(t)
                 ids.append(i)
                 size += len(t)
         if texts:
-            yield from flush(part * 4096 + serial, texts, ids)
+            yield from flush(number, texts, ids)
 
     def flush(number: int, texts: list[bytes], ids: list[int | None]) -> Iterator[pa.RecordBatch]:
         data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
@@ -293,111 +298,190 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, folder: str, shard_bytes:
         numbers = np.array([0 if i is None else i for i in ids], np.int64)
         path = f"{folder}/{number}-{uuid.uuid4().hex}"
         put(path, pack_arrays(data=data, ends=ends, ids=numbers, known=known))
-        shard = Shard(data, ends, numbers, known)
-        anchor, span = shard.anchor[shard.heads], shard.span[shard.heads]
+        _, _, _, anchor, runs = Shard(data, ends, numbers, known).anchors()
+        runs = np.minimum(runs, 0xFFFF).astype(np.uint16)
         cut = np.searchsorted(anchor, np.array([(k << 48) // buckets for k in range(buckets + 1)], np.uint64))
-        made = [(k, number, path, _coded(anchor[a:b]), _six(span[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a or k == number % buckets]
+        home = hash_of(number) % buckets
+        made = [(k, number, path if k == home else None, _coded(anchor[a:b]), pack_arrays(runs=runs[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a or k == home]
         yield from _table(made, _RECORDS).to_batches()
 
     return rows.mapInArrow(run, _ddl(_RECORDS))
 
 
-def _settle(t: pa.Table) -> pa.Table:
-    """One bucket: which runs go, and which are to send their bytes."""
-    shard = np.asarray(t.column("shard"))
-    paths = dict(zip(shard.tolist(), t.column("path").to_pylist()))
-    anchors, spans = [_decoded(x) for x in t.column("anchor").to_pylist()], [_unsix(x) for x in t.column("span").to_pylist()]
-    of = np.repeat(shard, [len(x) for x in anchors])
-    anchor, span = np.concatenate(anchors), np.concatenate(spans)
-    again = np.zeros(0, np.int64)
-    if len(anchor):
-        order = np.argsort(anchor, kind="stable")
-        tied = anchor[order[1:]] == anchor[order[:-1]]
-        again = order[np.r_[False, tied] | np.r_[tied, False]]
-    anchor, span, of = anchor[again], span[again], of[again]
-    order = np.lexsort((of, span, anchor))
-    anchor, span, of = anchor[order], span[order], of[order]
-    new_anchor, new = np.ones(len(order), bool), np.ones(len(order), bool)
-    new_anchor[1:] = anchor[1:] != anchor[:-1]
-    new[1:] = new_anchor[1:] | (span[1:] != span[:-1])
-    group = np.cumsum(new_anchor) - 1
-    unlike = np.bincount(group, weights=new)[group] > 1 if len(group) else new
-    kind = np.where(~new, GONE, np.where(unlike, ASKED, NAMED))
-    rows = [(int(s), p, NAMED, b"", b"", b"") for s, p in paths.items()]
-    for k in (GONE, ASKED):
-        at = np.flatnonzero(kind == k)
-        at = at[np.argsort(of[at], kind="stable")]  # anchors stay ascending within a shard
-        cut = np.flatnonzero(np.r_[True, of[at][1:] != of[at][:-1]]) if len(at) else at
-        for a, b in zip(cut, np.r_[cut[1:], len(at)]):
-            x = at[a:b]
-            rows.append((int(of[x[0]]), paths[int(of[x[0]])], k, _coded(anchor[x]), _six(span[x]), b""))
-    return _table(rows, _REPLIES)
-
-
-def _gather(t: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = [r for r in t.to_pylist() if r["kind"] == kind]
-    if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate([_decoded(r["anchor"]) for r in rows]), np.concatenate([_unsix(r["span"]) for r in rows]), np.concatenate([np.frombuffer(r["mask"], np.uint64) for r in rows])
-
-
-def _send(buckets: int):
+def hash_of(number: int) -> int:
+    """Spreads shards, whose numbers have regular low bits, over buckets."""
+    return number * 0x9E3779B97F4A7C15 % (1 << 64) >> 24
+
+
+def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    """As _cut deals anchors: the k for which k 2**48 // buckets is the last not above the anchor."""
+    return np.searchsorted(np.array([(k << 48) // buckets for k in range(buckets)], np.uint64), anchor, side="right") - 1
+
+
+def _settle(hot: int):
+    def run(t: pa.Table) -> pa.Table:
+        """One bucket: which of each shard's anchors other shards have too, and in how many parts a hot one is dealt."""
+        shard = np.asarray(t.column("shard"))
+        anchors = [_decoded(x) for x in t.column("anchor").to_pylist()]
+        rows = [(int(s), p, b"", b"") for s, p in zip(shard, t.column("path").to_pylist()) if p is not None]
+        of = np.repeat(np.arange(len(shard)), [len(x) for x in anchors])
+        anchor = np.concatenate(anchors) if anchors else np.zeros(0, np.uint64)
+        if len(anchor):
+            runs = np.concatenate([unpack_arrays(x)["runs"] for x in t.column("runs").to_pylist()]).astype(np.int64)
+            order = np.argsort(anchor, kind="stable")
+            same = anchor[order[1:]] == anchor[order[:-1]]
+            order = order[np.r_[False, same] | np.r_[same, False]]
+            group = np.cumsum(np.r_[True, anchor[order][1:] != anchor[order][:-1]]) - 1 if len(order) else order
+            parts = -(-np.bincount(group, weights=runs[order]).astype(np.int64) // hot) if len(order) else order
+            by = np.argsort(of[order], kind="stable")  # anchors stay ascending within a shard
+            for a, b in _runs_of(of[order[by]]):
+                x = by[a:b]
+                rows.append((int(shard[of[order[x[0]]]]), None, _coded(anchor[order[x]]), pack_arrays(parts=parts[group[x]])))
+        return _table(rows, _REPLIES)
+
+    return run
+
+
+def _runs_of(x: np.ndarray) -> list[tuple[int, int]]:
+    """Ends of the runs of equal numbers."""
+    cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return list(zip(cut.tolist(), np.r_[cut[1:], len(x)].tolist()))
+
+
+def _stretches(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of set places."""
+    edge = np.diff(np.r_[0, on.view(np.int8), 0])
+    starts = np.flatnonzero(edge == 1)
+    return starts, np.flatnonzero(edge == -1) - starts
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the stretches (first, size), one after another."""
+    return np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum())) if len(first) else np.zeros(0, np.int64)
+
+
+def _window_hash(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    words, h = _words(data), np.zeros(len(place), np.uint64)
+    for k in (0, 8, 16, 24, 32, 40, LENGTH - 8):
+        h = _mix(h * _C2 + words[place + k])
+    return h
+
+
+def _match(buckets: int, array_bytes: int):
     def run(t: pa.Table) -> pa.Table:
-        """One shard: the bytes of the runs that were asked for, by bucket of anchors."""
-        anchor, span, _ = _gather(t, ASKED)
-        if not len(anchor):
-            return _table([], _SPANS)
-        number, path = t.column("shard")[0].as_py(), t.column("path")[0].as_py()
+        """One shard: what its own suffix array finds, and the bytes that other shards may have, by bucket and part of anchors."""
+        replies = t.to_pylist()
+        number, path = replies[0]["shard"], next(r["path"] for r in replies if r["path"] is not None)
+        asked = np.concatenate([np.zeros(0, np.uint64), *(_decoded(r["anchor"]) for r in replies if r["anchor"])])
+        parts = np.concatenate([np.zeros(0, np.int64), *(unpack_arrays(r["parts"])["parts"] for r in replies if r["anchor"])])
+        by = np.argsort(asked)
+        asked, parts = asked[by], parts[by]
         shard = Shard.load(path)
-        at = shard.heads[shard.find(anchor, span)]
-        bucket = (anchor >> np.uint64(16)).astype(np.int64) * buckets >> 32
-        rows = []
-        for k in np.unique(bucket):
-            x = np.flatnonzero(bucket == k)
-            first, size = shard.first[at[x]], shard.count[at[x]] + LENGTH - 1
-            inside = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            rows.append((int(k), number, path, pack_arrays(anchor=anchor[x], span=span[x], doc=shard.doc[at[x]], count=shard.count[at[x]], data=shard.data[inside])))
+        first, count, anchor, each, _ = shard.anchors()
+        index = np.searchsorted(each, anchor)
+        doc = shard.doc(first)
+        shared = np.zeros(len(each), bool)  # anchors of several documents of this shard
+        if len(each):
+            cut = np.searchsorted(anchor, each)
+            shared = np.minimum.reduceat(doc, cut) < np.maximum.reduceat(doc, cut)
+        at = np.minimum(np.searchsorted(asked, each), max(0, len(asked) - 1))
+        wanted = asked[at] == each if len(asked) else np.zeros(len(each), bool)
+        dealt = np.where(wanted, parts[at], 0) if len(asked) else np.zeros(len(each), np.int64)
+        use = (shared | wanted)[index]
+        on = np.zeros(len(shard.data) + 1, np.int8)
+        np.add.at(on, first[use], 1)
+        np.add.at(on, first[use] + count[use], -1)
+        on = np.cumsum(on[:-1], dtype=np.int8).astype(bool)  # runs do not overlap
+        least = _least_in_shard(shard.data, on, array_bytes)
+        place = np.flatnonzero(on)
+        own, lead = shard.doc(place), shard.doc(least)
+        gone = np.zeros(len(shard.data), bool)
+        gone[place[own > lead]] = True
+        outer = np.zeros(len(shard.data) + 1, np.int8)
+        ask = wanted[index]
+        np.add.at(outer, first[ask], 1)
+        np.add.at(outer, first[ask] + count[ask], -1)
+        outer = np.cumsum(outer[:-1], dtype=np.int8).astype(bool)
+        twin = (own == lead) & (place != least) & outer[place]
+        starts, sizes = _stretches(gone)
+        rows = [(-1, number, number, path, pack_arrays(start=starts, size=sizes, twin=place[twin], of=least[twin]))]
+        rep = np.zeros(len(shard.data) + 1, np.int64)
+        rep[place[(place == least) & outer[place]] + 1] = 1
+        rep = np.cumsum(rep)  # places before each that stand for their windows
+        some = np.flatnonzero(ask & (rep[first + count] > rep[first]) if len(first) else ask)
+        hot = dealt[index[some]] > 1
+        plain = some[~hot]
+        # of a run only what lies between its first and last standing window
+        mine = np.flatnonzero(np.diff(rep))
+        lo, hi = mine[rep[first[plain]]] if len(plain) else plain, mine[rep[first[plain] + count[plain]] - 1] if len(plain) else plain
+        pieces = [(_bucket(anchor[plain], buckets), np.zeros(len(plain), np.int64), lo, hi - lo + 1)]
+        if hot.any():
+            runs = some[hot]
+            spots = _spread(first[runs], count[runs])
+            of = np.repeat(np.arange(len(runs)), count[runs])
+            keep = rep[spots + 1] > rep[spots]
+            spots, of = spots[keep], runs[of[keep]]
+            part = (_window_hash(shard.data, spots) % dealt[index[of]].astype(np.uint64)).astype(np.int64)
+            pieces.append((_bucket(anchor[of], buckets), part, spots, np.ones(len(spots), np.int64)))
+        bucket, part, place, size = (np.concatenate(x) for x in zip(*pieces))
+        by = np.lexsort((place, part, bucket))
+        bucket, part, place, size = bucket[by], part[by], place[by], size[by]
+        for a, b in _runs_of(bucket * (1 << 24) + part):
+            x, n = place[a:b], size[a:b]
+            rows.append((int(bucket[a]), int(part[a]), number, None, pack_arrays(place=x.astype(np.int32 if len(shard.data) < 1 << 31 else np.int64), count=n.astype(np.uint8), data=shard.data[_spread(x, n + LENGTH - 1)])))
         return _table(rows, _SPANS)
 
     return run
 
 
+def _least_in_shard(data: np.ndarray, on: np.ndarray, array_bytes: int) -> np.ndarray:
+    """For every marked window, in order, the first place in the shard of an equal one."""
+    starts, sizes = _stretches(on)
+    arrays = []
+    group = np.cumsum(sizes + LENGTH - 1) // array_bytes  # stretches are whole; a longer one is an array of its own
+    for a, b in _runs_of(group):
+        first, size = starts[a:b], sizes[a:b]
+        text = data[_spread(first, size + LENGTH - 1)]
+        begin = np.r_[0, np.cumsum(size + LENGTH - 1)[:-1]]
+        arrays.append((text, _spread(begin, size), _spread(first, size)))
+    return np.concatenate([np.zeros(0, np.int64), *first_places(arrays)]) if arrays else np.zeros(0, np.int64)
+
+
 def _compare(array_bytes: int):
     def run(t: pa.Table) -> pa.Table:
-        """One bucket: suffix arrays over the runs' bytes; masks of the windows that earlier documents have."""
-        parts, runs = [], []
-        held: list[tuple[int, str, dict[str, np.ndarray]]] = []
+        """One part of a bucket: suffix arrays over the runs' bytes; masks of the windows that earlier shards have. What a shard found itself passes through."""
+        if t.column("bucket")[0].as_py() < 0:
+            return t.select(["shard", "path", "content"])
+        arrays, members = [], []
+        held: list[tuple[int, dict[str, np.ndarray]]] = []
 
         def close() -> None:
-            data = np.concatenate([z["data"] for _, _, z in held])
-            count = np.concatenate([z["count"] for _, _, z in held])
-            doc = np.concatenate([(np.int64(s) << 24) + z["doc"] for s, _, z in held])
+            count = np.concatenate([z["count"] for _, z in held]).astype(np.int64)
+            of = np.repeat([k for k, _ in held], [len(z["count"]) for _, z in held])
             start = np.r_[0, np.cumsum(count + LENGTH - 1)[:-1]]
-            run_of = np.repeat(np.arange(len(count)), count)
-            nth = np.arange(len(run_of)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
-            parts.append((data, start[run_of] + nth, doc[run_of]))
-            runs.append((list(held), run_of, nth, len(count)))
+            first = np.concatenate([z["place"] for _, z in held]).astype(np.int64)
+            arrays.append((np.concatenate([z["data"] for _, z in held]), _spread(start, count), np.repeat(of, count) << 40 | _spread(first, count)))
+            members.append([(k, z["place"], z["count"].astype(np.int64)) for k, z in held])
             held.clear()
 
-        for r in sorted(t.to_pylist(), key=lambda r: r["shard"]):
-            held.append((r["shard"], r["path"], unpack_arrays(r["content"])))
-            if sum(len(z["data"]) for _, _, z in held) >= array_bytes:
+        rows = sorted(t.select(["shard", "content"]).to_pylist(), key=lambda r: r["shard"])
+        for k, r in enumerate(rows):
+            held.append((k, unpack_arrays(r["content"])))
+            if sum(len(z["data"]) for _, z in held) >= array_bytes:
                 close()
         if held:
             close()
-        rows = []
-        for later, (members, run_of, nth, n) in zip(later_windows(parts), runs):
-            mask = np.zeros(n, np.uint64)
-            np.bitwise_or.at(mask, run_of[later], np.uint64(1) << nth[later].astype(np.uint64))
+        out = []
+        for first, (_, _, place), runs in zip(first_places(arrays), arrays, members):
+            later = (first >> 40) < (place >> 40)
             at = 0
-            for s, path, z in members:
-                m = mask[at : at + len(z["count"])]
-                at += len(m)
-                x = np.flatnonzero(m)
-                x = x[np.argsort(z["anchor"][x], kind="stable")]
-                if len(x):
-                    rows.append((s, path, MASKED, _coded(z["anchor"][x]), _six(z["span"][x]), m[x].tobytes()))
-        return _table(rows, _REPLIES)
+            for k, start, count in runs:
+                n = int(count.sum())
+                hit = later[at : at + n]
+                at += n
+                if hit.any():
+                    out.append((rows[k]["shard"], None, pack_arrays(place=_spread(start.astype(np.int64), count)[hit])))
+        return _table(out, _MASKS)
 
     return run
 
@@ -405,28 +489,16 @@ def _compare(array_bytes: int):
 def _finish(with_text: bool):
     def run(t: pa.Table) -> pa.Table:
         """One shard: what each of its documents keeps."""
-        shard = Shard.load(t.column("path")[0].as_py())
-        lead = shard.doc[shard.heads]
-        gone = shard.doc > lead[shard.group] if len(shard.heads) else np.zeros(0, bool)
-        anchor, span, _ = _gather(t, GONE)
-        if len(anchor):
-            whole = np.zeros(len(shard.heads), bool)
-            whole[shard.find(anchor, span)] = True
-            gone |= whole[shard.group]
+        replies = t.to_pylist()
+        own = next(r for r in replies if r["path"] is not None)
+        shard, mine = Shard.load(own["path"]), unpack_arrays(own["content"])
         n = len(shard.data)
-        window = np.zeros(n + 1, np.int32)
-        np.add.at(window, shard.first[gone], 1)
-        np.add.at(window, shard.first[gone] + shard.count[gone], -1)
-        starts = np.cumsum(window[:-1]) > 0
-        anchor, span, mask = _gather(t, MASKED)
-        if len(anchor):
-            masks = np.zeros(len(shard.heads), np.uint64)
-            masks[shard.find(anchor, span)] = mask
-            some = np.flatnonzero((masks[shard.group] > 0) & ~gone)
-            for k in range(LENGTH):
-                some = some[shard.count[some] > k]
-                hit = some[(masks[shard.group[some]] >> np.uint64(k) & np.uint64(1)).astype(bool)]
-                starts[shard.first[hit] + k] = True
+        starts = np.zeros(n + 1, bool)
+        for r in replies:
+            if r["path"] is None:
+                starts[unpack_arrays(r["content"])["place"]] = True
+        starts[mine["twin"][starts[mine["of"]]]] = True
+        starts[_spread(mine["start"], mine["size"])] = True
         cover = np.zeros(n + LENGTH + 1, np.int32)
         at = np.flatnonzero(starts)
         np.add.at(cover, at, 1)
@@ -450,16 +522,15 @@ def _finish(with_text: bool):
     return run
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, shard_bytes: int | None = None, array_bytes: int | None = None, bucket_records: int | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, shard_bytes: int | None = None, array_bytes: int | None = None, bucket_records: int | None = None, hot: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): what is left of every row's text; kept is null without with_text."""
-    shard_bytes, array_bytes, bucket_records = shard_bytes or SHARD_BYTES, array_bytes or ARRAY_BYTES, bucket_records or BUCKET
+    shard_bytes, array_bytes, bucket_records, hot = shard_bytes or SHARD_BYTES, array_bytes or ARRAY_BYTES, bucket_records or BUCKET, hot or HOT
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     ranges = max(1, -(-total // shard_bytes))
     buckets = max(1, -(-total // 14 // bucket_records))  # about one run for fourteen bytes
     folder = fresh_path(docs.sparkSession, "shards")
     records = _cut(docs, id_col, text_col, folder, shard_bytes, ranges, buckets)
-    replies = stash(records.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_settle, _ddl(_REPLIES)), "replies")
-    spans = replies.where(F.col("kind") == ASKED).repartition(ranges, "shard").groupBy("shard").applyInArrow(_send(buckets), _ddl(_SPANS))
-    masks = stash(spans.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_compare(array_bytes), _ddl(_REPLIES)), "masks")
-    rest = replies.where(F.col("kind") != ASKED).unionByName(masks)
-    return rest.repartition(ranges, "shard").groupBy("shard").applyInArrow(_finish(with_text), _RESULT)
+    replies = stash(records.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_settle(hot), _ddl(_REPLIES)), "replies")
+    spans = replies.repartition(ranges, "shard").groupBy("shard").applyInArrow(_match(buckets, array_bytes), _ddl(_SPANS))
+    masks = stash(spans.repartition(max(buckets, ranges), "bucket", "part").groupBy("bucket", "part").applyInArrow(_compare(array_bytes), _ddl(_MASKS)), "masks")
+    return masks.repartition(ranges, "shard").groupBy("shard").applyInArrow(_finish(with_text), _RESULT)
