@@ -87,11 +87,41 @@ def test_stale_pairs_equal_a_nested_loop(spark):
     assert {r["id"] for r in left.collect()} == {2, 4, 5}
 
 
-def test_possessive_chain():
-    toks = "what city does erin s manager s manager live in".split()
-    assert retrieve.possessive_chain(toks, "erin", ["city", "manager"], {"manager"}) == ["manager", "manager", "city"]
-    assert retrieve.possessive_chain("erin s boss s role now".split(), "erin", ["role", "manager"], {"manager"}) == ["manager", "role"]
-    assert retrieve.possessive_chain(["bob"], "erin", ["role"], set()) == []
+@pytest.mark.parametrize(
+    ("question", "entity", "predicates", "hops"),
+    [
+        ("What city does Erin's manager's manager's city have?", "erin", ["city", "manager"], ["manager", "manager", "city"]),
+        ("What city does Erin's manager's manager live in?", "erin", ["city", "manager"], ["manager", "manager", "city"]),
+        ("The role of Erin's boss's boss now?", "erin", ["role", "manager"], ["manager", "manager", "role"]),
+        ("Erin's boss's boss then", "erin", ["manager"], None),
+        ("Erin's boss's role", "erin", ["role", "manager"], None),
+        ("Erin's manager's manager's manager's job", "erin", ["role", "manager"], ["manager", "manager", "manager", "role"]),
+        ("Who is Bob", "erin", ["role"], None),
+        ("Who is Bob", None, ["role"], None),
+    ],
+)
+def test_chains_of_relations(spark, question, entity, predicates, hops):
+    df = spark.createDataFrame([(1, question, entity, predicates)], "query_id long, question string, entity string, predicates array<string>")
+    assert retrieve.plan_chains(df).first()["hops"] == hops
+
+
+def test_fuzzy_entities(spark):
+    import difflib
+
+    known = ["anna", "automobile", "building", "buildings", "machinery"]
+    asked = ["What about autoxmobile?", "machinerx or anna", "a buildin", "nothing", "machinerx machineri", None]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")
+    got = {r["query_id"]: r["entity"] for r in retrieve.fuzzy_entities(q, known).collect()}
+    assert got == {0: "automobile", 1: None, 2: None, 3: None, 4: "machinery", 5: None}
+    assert len(difflib.get_close_matches("buildin", known, n=2, cutoff=0.8)) == 2
+
+
+def test_paths_of_unlike_predicates(spark):
+    rows = [("n", 1, "a", "boss", "b", 0.0, 0.0), ("n", 2, "b", "city", "Oslo", 0.0, 0.0), ("n", 3, "b", "boss", "c", 0.0, 0.0), ("n", 4, "c", "role", "cook", 0.0, 0.0)]
+    v = temporal.assert_facts(spark.createDataFrame(rows, FACTS))
+    asked = [(1, "n", "a", None, ["boss", "city"]), (2, "n", "a", None, ["boss", "boss", "role"]), (3, "n", "a", None, ["boss", "role"]), (4, "n", "c", None, ["role"])]
+    got = temporal.paths(v, spark.createDataFrame(asked, "query_id long, namespace string, subject string, t double, hops array<string>")).collect()
+    assert sorted(map(tuple, got)) == [(1, "Oslo", [1, 2]), (2, "cook", [1, 3, 4]), (4, "cook", [4])]
 
 
 def test_long_context_stops_at_the_first_overflow(spark):
@@ -189,6 +219,58 @@ def test_store_end_to_end(spark, tmp_path):
     assert again.stats().count() <= 1
 
 
+@pytest.mark.parametrize("stop", ["put", "drop"])
+def test_a_stop_while_replacing_leaves_a_whole_state(spark, tmp_path, monkeypatch, stop):
+    """Whatever step a writer stops at, the state before or the new one is read, whole."""
+    f = store.Folder(spark, root(tmp_path))
+    for text in ("one", "two"):
+        f.replace("m", text)
+
+    def fail(*a):
+        raise OSError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(f, stop, fail)
+        with pytest.raises(OSError):
+            f.replace("m", "three")
+    assert f.read("m") == ("two" if stop == "put" else "three")
+    f.replace("m", "four")
+    assert f.read("m") == "four" and len(f._states("m")) <= 3
+
+
+def test_a_stop_between_snapshot_and_journal_doubles_nothing(spark, tmp_path, monkeypatch):
+    m = MemoryStore(spark, root(tmp_path))
+    for i in range(3):
+        m.write(observed(spark, [("n", i, float(i), f"text {i}", None)]))
+
+    def fail(*a):
+        raise OSError("stopped")
+
+    with monkeypatch.context() as c:
+        c.setattr(m.journal, "compact", fail)
+        with pytest.raises(OSError):
+            m.save()
+    again = MemoryStore(spark, root(tmp_path))
+    assert sorted(r["id"] for r in again.log().collect()) == [0, 1, 2]
+    again.write(observed(spark, [("n", 3, 3.0, "text 3", None)]))
+    again.save()
+    assert sorted(r["id"] for r in MemoryStore(spark, root(tmp_path)).log().collect()) == [0, 1, 2, 3] and again.journal.committed() == []
+
+
+def test_two_writers_share_a_journal(spark, tmp_path):
+    """Batches of writers that know nothing of each other all stay, under numbers of their own; an unfinished one is not read."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    a, b = (store.Journal(spark, root(tmp_path), "id long") for _ in "ab")
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda k: (a if k % 2 else b).append(spark.range(k, k + 1)), range(8)))
+    assert len(set(made)) == 8 and sorted(r["id"] for r in a.read().collect()) == list(range(8))
+    a.folder.claim("claim-99")
+    assert b.append(spark.range(50, 51)) == 100 and len(a.committed()) == 9
+    a.compact()
+    assert a.committed() == [] and a.append(spark.range(1)) == 101
+
+
 def test_refused_batch_leaves_no_trace(spark, tmp_path):
     m = MemoryStore(spark, root(tmp_path))
     with pytest.raises(PySparkException):

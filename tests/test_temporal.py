@@ -81,6 +81,13 @@ def test_at_most_one_open_version(spark):
     assert v.groupBy(*temporal.KEY).count().where(F.col("count") > 1).count() == 0
 
 
+def test_contradictions_are_of_the_open_fact(spark):
+    """A late telling does not become the open fact, so what repeats the open fact after it contradicts nothing."""
+    rows = [("n", 1, "Erin", "city", "Rome", 10.0, 1.0), ("n", 2, "Erin", "city", "Oslo", 5.0, 2.0), ("n", 3, "Erin", "city", "Rome", 30.0, 3.0), ("n", 4, "Erin", "city", "Bonn", 31.0, 4.0), ("n", 5, "Bob", "city", "A", 1.0, 1.0), ("n", 6, "Bob", "city", "b", 1.0, 2.0), ("n", 7, "Bob", "city", "B", 2.0, 3.0)]
+    got = {r["id"]: r["contradicts"] for r in temporal.contradictions(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True, 7: False}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert temporal.assert_facts(none).count() == temporal.assert_monotone(none).count() == 0

@@ -114,6 +114,14 @@ def test_definite_references(spark):
     assert {x for x in got if x[0] in (1, 2, 5, 7, 8)} == {(1, "Ann", "role", "director"), (2, "Ann", "city", "Oslo"), (7, "Cid", "project", "Apollo")}
 
 
+def test_definite_references_nest_to_any_depth(spark):
+    roles = ["a" * (k + 1) for k in range(13)]
+    said = [f"Ann is a {roles[0]}."] + [f"The {roles[k]} was promoted to {roles[k + 1]}." for k in range(12)] + ["The aaaaaaaaaaaaa moved to Oslo."]
+    df = spark.createDataFrame([("n", i, float(i), t) for i, t in enumerate(said)], "namespace string, text_id long, ts double, text string")
+    got = sorted((r["text_id"], r["subject"], r["object"]) for r in extract.extract_definite(df).collect())
+    assert got == [(k, "Ann", roles[k]) for k in range(13)] + [(13, "Ann", "Oslo")]
+
+
 def test_forgotten_names_stay_ambiguous(spark):
     make = lambda names: spark.createDataFrame([("n", x) for x in names], "namespace string, surface string")
     full, single, poisoned = resolve.forget(make(["bob jones", "bob stone"]), make(["erin", "al"]), make([" Bob Stone", "AL"]))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import event_date, strip_dates
 from tidemark.functions.text import canonical_predicate, clauses, clean_object, first_person, normalize, tokenize
+from tidemark.operators.ordered import fold
 
 MAX_FACTS = 8
 
@@ -30,7 +31,8 @@ LIKES, DISLIKES = ("enjoys", "favors", "likes", "loves", "prefers"), ("dislikes"
 BAD_SUBJECTS = (
     "i a an the it we they he she you there this that these those someone anyone everyone nobody"
 ).split()
-PRONOUN = r"(?i)^\s*(?:[A-Za-z][^,]*,\s+)?(their|his|her|its)\s+"
+LEAD, PRONOUNS = r"\s*(?:[A-Za-z][^,]*,\s+)?", "their|his|her|its"
+PRONOUN = rf"(?i)^({LEAD})(?:{PRONOUNS})\s+(.*)$"
 ELLIPSIS = r"(?i)^\s*(?:moved|relocated|lives|resides|reports|works|was\s+promoted|has\s+(?:moved|relocated))\b"
 DEFINITE = r"^\s*[Tt]he\s+([a-z]+)('s\b|\s)"
 
@@ -102,8 +104,7 @@ def extract_with_pronouns(texts: DataFrame, ellipsis: bool = False) -> DataFrame
     order = W.partitionBy("namespace").orderBy("ts", "text_id", "clause_no").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("last", F.last("fact.subject", ignorenulls=True).over(order))
     clause, last = F.col("clause"), F.col("last")
-    lead = F.regexp_extract(clause, r"(?i)^(\s*(?:[A-Za-z][^,]*,\s+)?)(?:their|his|her|its)\s+(.*)$", 1)
-    rest = F.regexp_extract(clause, r"(?i)^(\s*(?:[A-Za-z][^,]*,\s+)?)(?:their|his|her|its)\s+(.*)$", 2)
+    lead, rest = F.regexp_extract(clause, PRONOUN, 1), F.regexp_extract(clause, PRONOUN, 2)
     new = F.when(last.isNotNull() & clause.rlike(PRONOUN), F.concat(lead, last, F.lit("'s "), rest))
     if ellipsis:
         bare = F.ltrim(clause)
@@ -122,39 +123,44 @@ def definite_role(clause: Column) -> Column:
     return F.regexp_extract(clause, DEFINITE, 1)
 
 
-def role_holders(roles: DataFrame, asked: DataFrame) -> DataFrame:
-    """(ask, holder) for asked (ask, namespace, noun, seq): the one subject whose latest role before seq is the noun, if just one.
-
-    roles: (namespace, subject, object, seq) in the order of seq.
-    """
-    s = roles.withColumns({"s_key": normalize(F.col("subject")), "o_key": normalize(F.col("object"))})
-    s = s.withColumn("until", F.lead("seq").over(W.partitionBy("namespace", "s_key").orderBy("seq")))
-    on = [F.col("ns") == F.col("namespace"), F.col("noun") == F.col("o_key"), F.col("from_") < F.col("seq"), F.col("until").isNull() | (F.col("seq") <= F.col("until"))]
-    found = asked.join(s.select(F.col("namespace").alias("ns"), "s_key", "subject", "o_key", F.col("seq").alias("from_"), "until"), on)
-    return found.groupBy("ask").agg(F.count_distinct("s_key").alias("n"), F.max_by("subject", "from_").alias("holder")).where("n = 1").drop("n")
-
-
-def extract_definite(texts: DataFrame, passes: int = 6) -> DataFrame:
+def extract_definite(texts: DataFrame) -> DataFrame:
     """As extract, for texts (namespace, text_id, ts, text): "The manager ..." is told of the one who holds that role then.
 
-    Whether a clause has a holder depends on the facts of earlier ones, which may be told by role themselves. Each pass resolves
-    all clauses by the facts of the pass before; what a clause says is settled once everything before it is, so the result of
-    going through the texts in order is reached after as many passes as roles told of roles nest. Stops when nothing changes.
+    Whether a clause has a holder depends on the facts of earlier ones, which may be told by role themselves. What a clause says
+    does not depend on who the holder is but for the subject, so both readings are parsed first, and one pass over the clauses
+    that name or give a role, in order, finds the holders. Its state is a role for each subject of a namespace.
     """
-    order = W.partitionBy("namespace").orderBy("ts", "text_id", "clause_no")
-    rows = split_clauses(texts).withColumns({"seq": F.row_number().over(order), "noun": definite_role(F.col("clause"))}).persist()
-    asked = rows.where("noun <> ''").select(F.struct("namespace", "seq").alias("ask"), "namespace", "noun", "seq")
-    held, told = None, None
-    for _ in range(passes):
-        now = rows if held is None else rows.join(held.withColumnRenamed("holder", "who"), F.struct("namespace", "seq") == F.col("ask"), "left").drop("ask")
-        clause = F.col("clause") if held is None else resolve_definite(F.col("clause"), F.col("who"))
-        told = now.withColumn("fact", parse_clause(clause)).where("fact IS NOT NULL")
-        roles = told.where("fact.predicate = 'role'").select("namespace", "fact.subject", "fact.object", "seq")
-        new = role_holders(roles, asked).persist()
-        if (new.join(held, ["ask", "holder"], "full").count() if held is not None else -1) == (held.count() if held is not None else 0) == new.count():
-            break
-        held = new
-    return _bounded(told).select("namespace", "text_id", "clause_no", "fact.*")
+    somebody = "Xholder"
+    clause = F.col("clause")
+    rows = split_clauses(texts).withColumns({"noun": definite_role(clause), "plain": parse_clause(clause)})
+    rows = rows.withColumn("told", F.when(F.col("noun") != "", parse_clause(resolve_definite(clause, F.lit(somebody)))))
+    said = [F.col(f"{w}.{c}").alias(f"{w}_{c}") for w in ("plain", "told") for c in ("subject", "predicate")]
+    keys = [normalize(F.col(f"{w}.{c}")).alias(f"{w}_{k}") for w in ("plain", "told") for c, k in (("subject", "s_key"), ("object", "o_key"))]
+    role = (F.col("plain.predicate") == "role") | (F.col("noun") != "")
+    asked = rows.where(role).select("namespace", "ts", "text_id", "clause_no", "noun", *said, *keys)
+
+    def start() -> dict:
+        return {"role": {}, "name": {}, "held": {}}
+
+    def step(state: dict, row: dict) -> dict:
+        holders = state["held"].get(row["noun"], ()) if row["noun"] else ()
+        key = next(iter(holders)) if len(holders) == 1 else None
+        holder = None if key is None else state["name"][key]
+        which = "plain" if holder is None else "told"
+        if row[f"{which}_predicate"] == "role":
+            named = row[f"{which}_subject"] != somebody or which == "plain"
+            who = row[f"{which}_s_key"] if named else key
+            state["name"][who] = row[f"{which}_subject"] if named else holder
+            state["held"].get(state["role"].get(who), set()).discard(who)
+            state["role"][who] = row[f"{which}_o_key"]
+            state["held"].setdefault(row[f"{which}_o_key"], set()).add(who)
+        return {"holder": holder}
+
+    found = fold(asked, ["namespace"], ["ts", "text_id", "clause_no"], start, step, "holder string").where("holder IS NOT NULL").select("namespace", "text_id", "clause_no", "holder")
+    out = rows.join(found, ["namespace", "text_id", "clause_no"], "left")
+    told = F.when(F.col("told").isNotNull(), _fact(F.when(F.col("told.subject") == somebody, F.col("holder")).otherwise(F.col("told.subject")), F.col("told.predicate"), F.col("told.object")))
+    facts = out.withColumn("fact", F.when(F.col("holder").isNotNull(), told).otherwise(F.col("plain"))).where("fact IS NOT NULL").drop("plain", "told", "holder", "noun")
+    return _bounded(facts).select("namespace", "text_id", "clause_no", "fact.*")
 
 
 def date_facts(facts: DataFrame, clause: str = "clause", ts: str = "ts") -> DataFrame:

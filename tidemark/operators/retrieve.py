@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Collection, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import STOP_WORDS, recency, render_fact, render_preference, tokenize, words
+from tidemark.functions.text import recency, render_fact, render_preference, tokenize, words
 from tidemark.operators import temporal
 
 # Words of questions that name predicates, ask for preferences or for a past state, and the fusion weights.
@@ -77,72 +78,56 @@ def plan_preference(questions: DataFrame, entities: DataFrame, predicates: DataF
     return x.select("query_id", (asks & F.col("entity").isNotNull() & F.coalesce("stored", F.lit(False))).alias("preference"))
 
 
-def possessive_chain(question_tokens: Sequence[str], entity: str, predicates: Sequence[str], relations: Collection[str], keywords: Mapping[str, Sequence[str]] = KEYWORDS) -> list[str]:
-    """The predicates named one after another behind an entity ("x s manager s city"), up to the first attribute or other word."""
-    means: dict[str, str] = {}
-    for vocabulary in (lambda p: [w for w in p.split() if w not in STOP_WORDS], lambda p: keywords.get(p, ())):
-        for p in predicates:
-            for w in vocabulary(p):
-                means.setdefault(w, p)
-    if entity not in question_tokens:
-        return []
-    chain: list[str] = []
-    for w in question_tokens[list(question_tokens).index(entity) + 1 :]:
-        if w == "s":
-            continue
-        if w not in means:
-            break
-        chain.append(means[w])
-        if chain[-1] not in relations:
-            break
-    return chain
-
-
 def plan_chains(planned: DataFrame, relations: Collection[str] = RELATIONS) -> DataFrame:
     """(query_id, hops) for rows (query_id, question, entity, predicates): paths of two relations or more, of any depth.
 
-    One question at a time by nature, so a Python function; attributes named before the entity end the path.
+    The words behind the entity ("x's manager's city") each mean a predicate: the first planned one that has the word, else the
+    first that it is a keyword of. The path is those words' predicates up to the first attribute, or to a word that means
+    none; where only relations are named, the question's first attribute ends it.
     """
-    rels = set(relations)
-
-    @F.udf("array<string>")
-    def chain(tokens, entity, predicates):
-        run = possessive_chain(tokens, entity, predicates, rels) if entity else []
-        inner = [p for p in run if p in rels]
-        attrs = [p for p in predicates or [] if p not in rels]
-        if len(inner) < 2:
-            return None
-        return run if run[-1] not in rels else [*inner, attrs[0]] if attrs else None
-
-    return planned.select("query_id", chain(tokenize(F.col("question"), drop_stop=False), "entity", "predicates").alias("hops"))
+    rels = words(*relations)
+    toks = tokenize(F.col("question"), drop_stop=False)
+    behind = F.filter(F.when(F.array_position(toks, F.col("entity")) > 0, F.slice(toks, F.array_position(toks, F.col("entity")).cast("int") + 1, F.size(toks))), lambda w: w != "s")
+    by_name = F.flatten(F.transform("predicates", lambda p: F.transform(tokenize(p), lambda w: F.struct(w.alias("w"), p.alias("p")))))
+    every = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for p, kws in KEYWORDS.items() for w in kws))
+    by_keyword = F.flatten(F.transform("predicates", lambda p: F.filter(every, lambda e: e["p"] == p)))
+    x = planned.select("query_id", "predicates", behind.alias("behind"), F.concat(by_name, by_keyword).alias("means"))
+    x = x.withColumn("named", F.transform("behind", lambda w: F.try_element_at(F.filter("means", lambda e: e["w"] == w), F.lit(1))["p"]))
+    stop = F.array_position(F.transform("named", lambda p: p.isNull() | ~F.array_contains(rels, p)), True)  # 0: none
+    until = F.when(stop == 0, F.size("named")).when(F.element_at("named", F.greatest(stop, F.lit(1)).cast("int")).isNull(), stop - 1).otherwise(stop)
+    run = F.when(F.size("named") > 0, F.slice("named", 1, until.cast("int")))
+    x = x.withColumn("run", run)
+    inner, attr = F.filter("run", lambda p: F.array_contains(rels, p)), F.try_element_at(F.filter("predicates", lambda p: ~F.array_contains(rels, p)), F.lit(1))
+    whole = F.when(F.size(inner) < F.size("run"), F.col("run")).when(attr.isNotNull(), F.concat(inner, F.array(attr)))
+    return x.select("query_id", F.when(F.size(inner) >= 2, whole).alias("hops"))
 
 
 def fuzzy_entities(questions: DataFrame, entities: Sequence[str], cutoff: float = 0.8) -> DataFrame:
     """(query_id, entity): the one known entity that the question's longer words are close to; null if none or several are.
 
-    Closeness is difflib's ratio, which no built-in function has. entities must be a bounded list.
+    Closeness is difflib's ratio, which no built-in function has: it is worked out once for every distinct word of all questions,
+    in Arrow batches, and the questions meet their words by a join. entities must be a bounded list.
     """
+    from pyspark.sql.pandas.functions import ArrowUDFType
+
     known = sorted(entities)
 
-    @F.udf("string")
-    def close(tokens):
-        found = set()
-        for t in sorted(set(tokens)):
-            if len(t) >= 3 and t not in STOP_WORDS:
-                near = difflib.get_close_matches(t, known, n=2, cutoff=cutoff)
-                if len(near) > 1:
-                    return None
-                found.update(near)
-        return found.pop() if len(found) == 1 else None
+    def close(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for p in parts:
+            yield pa.array([difflib.get_close_matches(w, known, n=2, cutoff=cutoff) for w in p.to_pylist()], pa.list_(pa.string()))
 
-    return questions.select("query_id", close(tokenize(F.col("question"), drop_stop=False)).alias("entity"))
+    said = questions.select("query_id", F.explode(F.array_distinct(tokenize(F.col("question")))).alias("word")).where(F.length("word") >= 3)
+    near = said.select("word").distinct().select("word", F.arrow_udf(close, "array<string>", ArrowUDFType.SCALAR_ITER)(F.col("word")).alias("near")).where(F.size("near") > 0)
+    found = said.join(near, "word").groupBy("query_id").agg(F.max(F.size("near")).alias("most"), F.count_distinct(F.col("near")[0]).alias("n"), F.min(F.col("near")[0]).alias("entity"))
+    only = found.where((F.col("most") == 1) & (F.col("n") == 1)).select("query_id", "entity")
+    return questions.select("query_id").join(only, "query_id", "left")
 
 
 def structured_fetch(plans: DataFrame, versions: DataFrame) -> DataFrame:
     """(query_id, line_no, line, fact_id) for plans (query_id, namespace, entity, predicate, hops, as_of, preference).
 
-    Preferences of the entity, else the end of the path with every hop cited, else the one fact. All plans of one number of
-    hops are answered by one chain of joins.
+    Preferences of the entity, else the end of the path with every hop cited, else the one fact. All paths are answered by one
+    chain of joins, whatever predicates they follow.
     """
     asked = plans.where(F.col("entity").isNotNull())
     likes = asked.where("preference").select("query_id", F.col("namespace").alias("ns"), F.col("entity").alias("e"))
@@ -153,12 +138,10 @@ def structured_fetch(plans: DataFrame, versions: DataFrame) -> DataFrame:
     one = rest.where("hops IS NULL").select("query_id", "namespace", F.col("entity").alias("subject"), "predicate", F.col("as_of").alias("t"))
     single = temporal.as_of(versions, one).select("query_id", F.lit(1).alias("line_no"), render_fact(F.col("subject"), F.col("predicate"), F.col("object"), F.col("t")).alias("line"), F.col("id").alias("fact_id"))
     out = pref.unionByName(single)
-    for two in [r["hops"] for r in rest.where("hops IS NOT NULL").select("hops").distinct().limit(1_000).collect()]:  # distinct paths, few by the vocabulary
-        mine = rest.where(F.col("hops") == words(*two))
-        ends = temporal.path(versions, mine.select("query_id", "namespace", F.col("entity").alias("subject"), F.col("as_of").alias("t")), two).join(mine.select("query_id", "entity", "as_of"), "query_id")
-        line = render_fact(F.col("entity"), F.lit(two[-1]), F.col("object"), F.col("as_of"), words(*two))
-        out = out.unionByName(ends.select("query_id", line.alias("line"), F.posexplode("chain").alias("pos", "fact_id")).select("query_id", (F.col("pos") + 1).alias("line_no"), "line", "fact_id"))
-    return out
+    paths = rest.where("hops IS NOT NULL")
+    ends = temporal.paths(versions, paths.select("query_id", "namespace", F.col("entity").alias("subject"), F.col("as_of").alias("t"), "hops")).join(paths.select("query_id", "entity", "as_of", "hops"), "query_id")
+    line = render_fact(F.col("entity"), F.element_at("hops", -1), F.col("object"), F.col("as_of"), F.col("hops"))
+    return out.unionByName(ends.select("query_id", line.alias("line"), F.posexplode("chain").alias("pos", "fact_id")).select("query_id", (F.col("pos") + 1).alias("line_no"), "line", "fact_id"))
 
 
 def backstop(questions: DataFrame, versions: DataFrame, entities: DataFrame, most: int = MAX_ITEMS) -> DataFrame:

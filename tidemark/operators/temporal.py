@@ -29,7 +29,8 @@ def assert_monotone(assertions: DataFrame) -> DataFrame:
     """Versions for assertions whose valid_from never falls within a key: changes of the object, closed by the next one."""
     arrival = W.partitionBy(*KEY).orderBy("created_at", "id")
     before = F.lag("o_key").over(arrival)
-    changes = keyed(assertions).withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("o_key")))
+    rows = assertions if "o_key" in assertions.columns else keyed(assertions)
+    changes = rows.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("o_key")))
     return changes.select(
         "namespace", "id", "subject", "predicate", "object", "valid_from", F.lead("valid_from").over(arrival).alias("valid_to"),
         "created_at", F.lead("created_at").over(arrival).alias("expired_at"), F.lead("id").over(arrival).alias("superseded_by"),
@@ -39,8 +40,8 @@ def assert_monotone(assertions: DataFrame) -> DataFrame:
 def label_assertions(assertions: DataFrame) -> DataFrame:
     """Every assertion as what it does on arrival: noop (the open fact says so), hist (older than the open fact) or super.
 
-    hist rows get the open fact's id and start. Needed where valid_from may fall: whether a row supersedes depends on the
-    rows that did before it.
+    hist rows get the open fact's id and start, super rows the id of the one they supersede. Needed where valid_from may fall:
+    whether a row supersedes depends on the rows that did before it.
     """
 
     def step(state: dict, row: dict) -> dict:
@@ -48,26 +49,40 @@ def label_assertions(assertions: DataFrame) -> DataFrame:
             return {"label": "noop"}
         if state and row["valid_from"] < state["valid_from"]:
             return {"label": "hist", "open_id": state["id"], "open_from": state["valid_from"]}
+        before = state.get("id")
         state.update(object=row["o_key"], valid_from=row["valid_from"], id=row["id"])
-        return {"label": "super"}
+        return {"label": "super", "open_id": before}
 
-    return fold(keyed(assertions), list(KEY), ["created_at", "id"], dict, step, "label string, open_id long, open_from double")
+    return fold(assertions if "o_key" in assertions.columns else keyed(assertions), list(KEY), ["created_at", "id"], dict, step, "label string, open_id long, open_from double")
+
+
+def _by_order(assertions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The keyed assertions of keys whose valid_from never falls in arrival order, and those of the others."""
+    arrival = W.partitionBy(*KEY).orderBy("created_at", "id")
+    x = keyed(assertions).withColumn("__fall", F.coalesce(F.lag("valid_from").over(arrival) > F.col("valid_from"), F.lit(False)))
+    x = x.withColumn("__fall", F.max("__fall").over(W.partitionBy(*KEY)))
+    return x.where(~F.col("__fall")).drop("__fall"), x.where("__fall").drop("__fall")
 
 
 def assert_facts(assertions: DataFrame) -> DataFrame:
-    """Versions for assertions in any order of validity. Late ones become closed history under the fact that was open."""
-    labelled = label_assertions(assertions).where(F.col("label") != "noop")
+    """Versions for assertions in any order of validity. Late ones become closed history under the fact that was open.
+
+    Keys without late assertions need no fold: their versions are two window functions.
+    """
+    plain, late = _by_order(assertions)
+    labelled = label_assertions(late).where(F.col("label") != "noop")
     arrival = W.partitionBy(*KEY, "label").orderBy("created_at", "id")
     hist = F.col("label") == "hist"
 
     def after(col: str) -> Column:
         return F.lead(col).over(arrival)
 
-    return labelled.select(
+    folded = labelled.select(
         "namespace", "id", "subject", "predicate", "object", "valid_from",
         F.when(hist, F.col("open_from")).otherwise(after("valid_from")).alias("valid_to"), "created_at",
         F.when(~hist, after("created_at")).alias("expired_at"), F.when(hist, F.col("open_id")).otherwise(after("id")).alias("superseded_by"),
     )
+    return assert_monotone(plain).unionByName(folded)
 
 
 def is_open() -> Column:
@@ -119,6 +134,17 @@ def path(versions: DataFrame, asked: DataFrame, hops: Sequence[str]) -> DataFram
     return at.select("query_id", F.col("subject").alias("object"), "chain")
 
 
+def paths(versions: DataFrame, asked: DataFrame) -> DataFrame:
+    """As path, for rows (query_id, namespace, subject, t, hops) that each have their own predicates; as many joins as the longest has."""
+    at = asked.select("query_id", "namespace", "t", "hops", "subject", F.array().cast("array<long>").alias("chain"))
+    longest = asked.agg(F.max(F.size("hops"))).first()[0] or 0
+    for k in range(longest):
+        found = as_of(versions, at.where(F.size("hops") > k).select("query_id", "namespace", "subject", F.get("hops", F.lit(k)).alias("predicate"), "t")).select("query_id", "id", F.col("object").alias("next"))
+        at = at.join(found, "query_id", "left").where((F.size("hops") <= k) | F.col("id").isNotNull())
+        at = at.select("query_id", "namespace", "t", "hops", F.coalesce("next", "subject").alias("subject"), F.when(F.col("id").isNotNull(), F.concat("chain", F.array("id"))).otherwise(F.col("chain")).alias("chain"))
+    return at.select("query_id", F.col("subject").alias("object"), "chain")
+
+
 def history(versions: DataFrame, namespace: str, subject: str, predicate: str) -> DataFrame:
     """All versions of a key, oldest first."""
     rows = keyed(versions).where((F.col("namespace") == namespace) & (F.col("s_key") == normalize(F.lit(subject))) & (F.col("p_key") == normalize(F.lit(predicate))))
@@ -151,10 +177,12 @@ def forget(versions: DataFrame, subjects: DataFrame, predicate: str | None = Non
 
 
 def contradictions(assertions: DataFrame) -> DataFrame:
-    """assertions with contradicts: whether the key's open fact says otherwise on arrival (monotone assertions)."""
-    arrival = W.partitionBy(*KEY).orderBy("created_at", "id")
-    before = F.lag("o_key").over(arrival)
-    return keyed(assertions).withColumn("contradicts", F.coalesce(before != F.col("o_key"), F.lit(False))).drop("s_key", "p_key", "o_key")
+    """assertions with contradicts: whether the key's open fact says otherwise on arrival."""
+    plain, late = _by_order(assertions)
+    before = F.lag("o_key").over(W.partitionBy(*KEY).orderBy("created_at", "id"))
+    told = plain.withColumn("contradicts", F.coalesce(before != F.col("o_key"), F.lit(False)))
+    folded = label_assertions(late).withColumn("contradicts", (F.col("label") != "noop") & F.col("open_id").isNotNull()).drop("label", "open_id", "open_from")
+    return told.unionByName(folded).drop("s_key", "p_key", "o_key")
 
 
 def relation_predicates(versions: DataFrame, entities: DataFrame) -> DataFrame:

@@ -58,8 +58,8 @@ def current_facts(spark, sf):
 
 @register
 def as_of_lookup(spark, sf):
-    """What every order's customer number, as a user, was doing a month after a tenth of the events."""
-    asked = fx.events(spark, sf).where("id % 10 = 0").select(F.col("id").alias("query_id"), "namespace", "subject", "predicate", (F.col("valid_from") + 43_200.0).alias("t"))
+    """What every event's user was doing half a day after it."""
+    asked = fx.events(spark, sf).select(F.col("id").alias("query_id"), "namespace", "subject", "predicate", (F.col("valid_from") + 43_200.0).alias("t"))
     found = temporal.as_of(_versions(spark, sf), asked)
     line = text.render_fact(F.col("subject"), F.col("predicate"), F.col("object"), F.col("t"))
     return found.select("query_id", "subject", "object", "valid_from", F.col("id").alias("fact_id"), line.alias("line"))
@@ -105,6 +105,11 @@ def contradictions(spark, sf):
     return temporal.contradictions(fx.events(spark, sf)).select("id", "contradicts")
 
 
+@register
+def contradictions_retro(spark, sf):
+    return temporal.contradictions(fx.late_events(spark, sf)).select("id", "contradicts")
+
+
 @register
 def relation_predicates(spark, sf):
     return temporal.relation_predicates(fx.profiles(spark, sf), fx.entities(spark, sf))
@@ -216,7 +221,7 @@ def recency_decay(spark, sf):
 def fuzzy_entity(spark, sf):
     """Market segments, each with a letter too many."""
     c = fx.table(spark, sf, "customer")
-    names = [r[0] for r in c.select(F.lower("c_mktsegment")).distinct().limit(1_000).collect()]  # a handful at any scale
+    names = [r[0] for r in c.select(F.lower("c_mktsegment")).distinct().collect()]  # a handful at any scale
     asked = c.select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("What about "), F.substring("c_mktsegment", 1, 4), F.lit("x"), F.substr("c_mktsegment", F.lit(5))).alias("question"))
     return retrieve.fuzzy_entities(asked, names)
 
@@ -323,7 +328,8 @@ def knn_exact(spark, sf):
 @register
 def knn_filtered(spark, sf):
     records = fx.table(spark, sf, "embeddings").withColumns({"ts": F.col("vec_id").cast("double"), "tier": F.when(F.col("label") % 2 == 0, "episodic").otherwise("semantic"), "entities": F.array(F.concat(F.lit("E"), (F.col("label") % 3).cast("string")))})
-    return vector.knn(vector.visible(records, until=400.0, tier="episodic", entity="e0 ", window=(20.0, 380.0)), _asked_vectors(spark, sf), 5)
+    last = records.agg(F.max("ts")).first()[0] or 0.0
+    return vector.knn(vector.visible(records, until=0.8 * last, tier="episodic", entity="e0 ", window=(0.04 * last, 0.76 * last)), _asked_vectors(spark, sf), 5)
 
 
 @register
@@ -440,7 +446,7 @@ def plan_preference(spark, sf):
 
 @register
 def plan_chain(spark, sf):
-    q = fx.questions(spark, sf).where("query_id % 4 = 1").withColumn("question", F.regexp_replace("question", "manager", "manager's boss"))
+    q = fx.questions(spark, sf).withColumn("question", F.regexp_replace("question", "manager", "manager's boss"))
     p = q.join(retrieve.plan_entities(q, fx.entities(spark, sf)), "query_id").join(retrieve.plan_predicates(q, _vocabulary(spark, sf)), "query_id")
     return retrieve.plan_chains(p).select("query_id", F.array_join("hops", ">").alias("hops"))
 
@@ -452,7 +458,7 @@ def structured_fetch(spark, sf):
 
 @register
 def backstop_facts(spark, sf):
-    q = fx.questions(spark, sf).where("query_id % 4 = 3").withColumn("question", F.concat("question", F.lit(" And c7, c9?")))
+    q = fx.questions(spark, sf).withColumn("question", F.concat("question", F.lit(" And c7, c9?")))
     return retrieve.backstop(q, fx.profiles(spark, sf), fx.entities(spark, sf))
 
 
@@ -499,8 +505,9 @@ def context_payload(spark, sf):
 @register
 def window_query(spark, sf):
     q = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    records = vector.visible(fx.turns(spark, sf), window=(86_400.0, 20 * 86_400.0))
-    return vector.hybrid(records.select("id", "text"), q, 4)
+    turns = fx.turns(spark, sf)
+    last = turns.agg(F.max("ts")).first()[0] or 0.0
+    return vector.hybrid(vector.visible(turns, window=(0.1 * last, 0.6 * last)).select("id", "text"), q, 4)
 
 
 # Consolidation and erasure
@@ -574,7 +581,11 @@ def _state_folder(spark, what: str) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/tidemark-{what}-{uuid.uuid4().hex}"
 
 

@@ -46,7 +46,7 @@ prof AS (SELECT c_custkey * 4 AS id, 'c' || c_custkey AS subject, 'city' AS pred
   UNION ALL SELECT c_custkey * 4 + 2, 'c' || c_custkey, 'manager', 'c' || (c_custkey // 10) FROM cn WHERE c_custkey >= 10)"""
 _Q = """q AS (SELECT c_custkey * 4 + k AS query_id, CASE k WHEN 0 THEN 'What city does c' || c_custkey || ' live in?' WHEN 1 THEN 'What is the role of c' || c_custkey || '''s manager?'
     WHEN 2 THEN 'As of session 3, who was the boss of c' || c_custkey || '?' ELSE 'Tell me about c' || c_custkey || '.' END AS question
-  FROM customer, range(4) t(k) WHERE c_custkey % 50 = 0)"""
+  FROM customer, range(4) t(k))"""
 _NM = "'N' || translate(({})::VARCHAR, '0123456789', 'abcdefghij')"
 _A, _B = _NM.format("c_custkey"), _NM.format("c_custkey + 1")
 _SENT = f"""sent AS (SELECT 'n' || (c_custkey % 4) AS namespace, c_custkey AS text_id, c_custkey::DOUBLE AS ts, CASE c_custkey % 8
@@ -203,9 +203,7 @@ _OBS = """ob AS (SELECT *, id % 5 <> 0 AS has, CASE WHEN id % 11 = 0 THEN ' ' EL
     CASE WHEN id % 19 = 0 THEN 'no text' WHEN id % 17 = 0 THEN 'no finite time' WHEN id % 5 <> 0 AND id % 11 = 0 THEN 'fact is not whole'
       WHEN id % 5 <> 0 AND id % 13 = 0 THEN 'fact has no finite start' END AS problem FROM ev)"""
 
-ORACLE_SQL: dict[str, str] = {
-    "bitemporal_facts": f"WITH {_VER} SELECT * FROM ver",
-    "bitemporal_retro": """
+_LATE = """
 WITH RECURSIVE late AS (SELECT 'n' || (user_id % 4) AS namespace, event_id AS id, 'user' || user_id AS subject, event_type AS object,
     epoch(ts) - CASE WHEN event_id % 7 = 0 THEN 259200.0 ELSE 0.0 END AS valid_from, epoch(ts) AS created_at,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
@@ -213,13 +211,17 @@ st AS (SELECT subject, rn, id, 'super' AS label, id AS oid, object AS oo, valid_
   UNION ALL SELECT l.subject, l.rn, l.id, CASE WHEN l.object = s.oo THEN 'noop' WHEN l.valid_from < s.ovf THEN 'hist' ELSE 'super' END,
     CASE WHEN l.object <> s.oo AND l.valid_from >= s.ovf THEN l.id ELSE s.oid END, CASE WHEN l.object <> s.oo AND l.valid_from >= s.ovf THEN l.object ELSE s.oo END,
     CASE WHEN l.object <> s.oo AND l.valid_from >= s.ovf THEN l.valid_from ELSE s.ovf END, s.oid, s.ovf FROM st s JOIN late l ON l.subject = s.subject AND l.rn = s.rn + 1),
-x AS (SELECT l.*, s.label, s.pid, s.pvf FROM late l JOIN st s USING (id))
+x AS (SELECT l.*, s.label, s.pid, s.pvf FROM late l JOIN st s USING (id))"""
+
+ORACLE_SQL: dict[str, str] = {
+    "bitemporal_facts": f"WITH {_VER} SELECT * FROM ver",
+    "bitemporal_retro": f"""{_LATE}
 SELECT namespace, id, subject, 'state' AS predicate, object, valid_from, CASE WHEN label = 'hist' THEN pvf ELSE lead(valid_from) OVER w END AS valid_to, created_at,
   CASE WHEN label = 'super' THEN lead(created_at) OVER w END AS expired_at, CASE WHEN label = 'hist' THEN pid ELSE lead(id) OVER w END AS superseded_by
 FROM x WHERE label <> 'noop' WINDOW w AS (PARTITION BY subject, label ORDER BY created_at, id)""",
     "current_facts": f"WITH {_VER} SELECT namespace, id, subject, predicate, object, valid_from, created_at FROM ver WHERE valid_to IS NULL",
     "open_facts": f"WITH {_VER} SELECT namespace, id, object FROM ver WHERE valid_to IS NULL",
-    "as_of_lookup": f"""WITH {_VER}, a AS (SELECT id AS query_id, namespace, subject, valid_from + 43200.0 AS t FROM ev WHERE id % 10 = 0)
+    "as_of_lookup": f"""WITH {_VER}, a AS (SELECT id AS query_id, namespace, subject, valid_from + 43200.0 AS t FROM ev)
 SELECT query_id, v.subject, v.object, v.valid_from, v.id AS fact_id, v.subject || '''s state as of that time was ' || v.object || '.' AS line
 FROM a JOIN ver v ON a.namespace = v.namespace AND a.subject = v.subject AND v.valid_from <= t AND (v.valid_to IS NULL OR t < v.valid_to)""",
     "path_lookup": f"WITH {_PROF} SELECT CAST(substr(p.subject, 2) AS BIGINT) AS query_id, c.object FROM prof p JOIN prof c ON c.subject = p.object AND c.predicate = 'city' WHERE p.predicate = 'manager'",
@@ -230,6 +232,7 @@ JOIN prof m ON m.subject = p.object AND m.predicate = 'manager' JOIN prof r ON r
     "predicates_for": f"WITH {_PROF} SELECT subject, array_to_string(list(predicate ORDER BY predicate), ',') AS predicates FROM prof GROUP BY subject",
     "forget_facts": f"WITH {_PROF}, g AS (SELECT DISTINCT subject FROM prof WHERE id % 20 = 0) SELECT id, subject, predicate, object FROM prof WHERE subject NOT IN (SELECT * FROM g) AND object NOT IN (SELECT * FROM g)",
     "contradictions": f"WITH {_EV} SELECT id, coalesce(lag(object) OVER (PARTITION BY namespace, subject ORDER BY created_at, id) <> object, false) AS contradicts FROM ev",
+    "contradictions_retro": f"{_LATE} SELECT id, label <> 'noop' AND pid IS NOT NULL AS contradicts FROM x",
     "relation_predicates": f"WITH {_PROF} SELECT DISTINCT 'n0' AS namespace, predicate FROM prof WHERE object IN (SELECT subject FROM prof)",
     "tokenize_docs": f"SELECT doc_id, md5(array_to_string({_toks('text')}, ' ')) AS tokens_md5, len({_toks('text')})::INTEGER AS n FROM documents",
     "token_counts": f"SELECT doc_id, {_count('text')}::INTEGER AS tokens FROM documents",
@@ -284,7 +287,7 @@ GROUP BY a.k, a.who HAVING count(*) = 1""",
 LEFT JOIN (SELECT * FROM lent x WHERE NOT EXISTS (SELECT 1 FROM lone o WHERE o.namespace = x.namespace AND o.surface = x.word)) l ON l.namespace = s.namespace AND l.word = s.surface""",
     "entity_vocab": f"WITH {_NAMES} SELECT namespace, surface AS entity FROM surf WHERE contains(surface, ' ') UNION SELECT namespace, surface FROM lone UNION SELECT namespace, word FROM lent",
     "knn_exact": _knn(10),
-    "knn_filtered": _knn(5, "e.vec_id <= 380 AND e.vec_id >= 20 AND e.label % 2 = 0 AND e.label % 3 = 0"),
+    "knn_filtered": _knn(5, "e.vec_id <= 0.76::DOUBLE * (SELECT max(vec_id) FROM embeddings) AND e.vec_id >= 0.04::DOUBLE * (SELECT max(vec_id) FROM embeddings) AND e.label % 2 = 0 AND e.label % 3 = 0"),
     "nearest_prior": f"SELECT query_id, id, score FROM ({_knn(1, 'e.vec_id + 1 <= q.vec_id')})",
     "hybrid_search": f"WITH {_TURNS}, {_hybrid('turns')} SELECT query_id, rank, id, score FROM hr WHERE rank <= 8",
     "adaptive_gate": f"""
@@ -308,7 +311,7 @@ p AS (SELECT query_id, entity, rel, attr FROM ent JOIN hops USING (query_id))
 SELECT query_id, 1 AS line_no, subject || '''s current ' || predicate || ' is ' || object || '.' AS line, id AS fact_id FROM p JOIN prof ON subject = entity AND predicate = coalesce(attr, rel) WHERE rel IS NULL OR attr IS NULL
 UNION ALL SELECT query_id, h, entity || ' ' || rel || ' ' || attr || ' is ' || b.object || '.', CASE h WHEN 1 THEN a.id ELSE b.id END FROM p JOIN prof a ON a.subject = entity AND a.predicate = rel
   JOIN prof b ON b.subject = a.object AND b.predicate = attr, range(1, 3) r(h) WHERE rel IS NOT NULL AND attr IS NOT NULL""",
-    "backstop_facts": f"""WITH {_PROF}, {_Q}, m AS (SELECT DISTINCT query_id, unnest({_toks("question || ' And c7, c9?'", False)}) AS entity FROM q WHERE query_id % 4 = 3),
+    "backstop_facts": f"""WITH {_PROF}, {_Q}, m AS (SELECT DISTINCT query_id, unnest({_toks("question || ' And c7, c9?'", False)}) AS entity FROM q),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, entity ORDER BY predicate, id) AS turn FROM m JOIN prof ON subject = entity),
 l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn, entity, id)::INTEGER AS line_no FROM f)
 SELECT query_id, line_no, subject || '''s current ' || predicate || ' is ' || object || '.' AS line, id AS fact_id FROM l WHERE line_no <= 2""",
@@ -325,7 +328,7 @@ l AS (SELECT item_id AS query_id, 0 AS tier, 1.0::DOUBLE AS pos, 0 AS tie, 'item
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, pos, tie) AS n FROM l),
 c AS (SELECT query_id, string_agg('[' || n || '] ' || line, chr(10) ORDER BY n) AS context, count(*) AS items FROM n WHERE n <= 4 GROUP BY query_id)
 SELECT query_id, md5(context) AS context_md5, items, {_count('context')}::INTEGER AS tokens FROM c""",
-    "window_query": f"WITH {_TURNS}, recent AS (SELECT * FROM turns WHERE ts BETWEEN 86400.0 AND 1728000.0), {_hybrid('recent')} SELECT query_id, rank, id, score FROM hr WHERE rank <= 4",
+    "window_query": f"WITH {_TURNS}, recent AS (SELECT * FROM turns WHERE ts BETWEEN 0.1::DOUBLE * (SELECT max(ts) FROM turns) AND 0.6::DOUBLE * (SELECT max(ts) FROM turns)), {_hybrid('recent')} SELECT query_id, rank, id, score FROM hr WHERE rank <= 4",
     "consolidate_prune": f"WITH {_EPI} SELECT id, content FROM kept",
     "consolidate_merge": f"WITH {_EPI}, {_CLAIMS} SELECT namespace, content, support_count, last_seen_ts, supports, entities FROM claims",
     "near_dup_pairs": f"""WITH {_sparse('e', 'benchmark', 'item_id')} SELECT a.id AS a, b.id AS b, round(sum(a.weight * b.weight), 6) AS cosine FROM e a JOIN e b ON a.bucket = b.bucket AND a.id < b.id GROUP BY ALL HAVING cosine >= 0.1""",

@@ -39,10 +39,10 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four questions about every fiftieth customer."""
+    """Four questions about every customer."""
     who = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
     texts = [F.concat(F.lit("What city does "), who, F.lit(" live in?")), F.concat(F.lit("What is the role of "), who, F.lit("'s manager?")), F.concat(F.lit("As of session 3, who was the boss of "), who, F.lit("?")), F.concat(F.lit("Tell me about "), who, F.lit("."))]
-    rows = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select("c_custkey", F.posexplode(F.array(*texts)).alias("k", "question"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(F.array(*texts)).alias("k", "question"))
     return rows.select((F.col("c_custkey") * 4 + F.col("k")).alias("query_id"), F.lit("n0").alias("namespace"), "question")
 
 

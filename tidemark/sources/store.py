@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Mapping
+import uuid
+from collections.abc import Callable, Collection, Mapping
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,11 @@ FORMAT = 1
 
 
 class Folder:
-    """Small files in any file system that Spark knows, by its Hadoop client; renames make a new state visible at once."""
+    """Small files in any file system that Spark knows, by its Hadoop client.
+
+    A file's states are numbered files of their own, each made visible by one rename to a new name, and the latest counts. So
+    there is no moment without a whole state, whenever a writer stops.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -28,27 +33,47 @@ class Folder:
     def _fs(self) -> JavaObject:
         return self._path("x").getFileSystem(self.conf)
 
+    def names(self) -> list[str]:
+        fs, root = self._fs(), self.jvm.org.apache.hadoop.fs.Path(self.root)
+        return [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+
+    def _states(self, name: str) -> list[int]:
+        tails = [n[len(name) + 1 :] for n in self.names() if n.startswith(f"{name}.")]
+        return sorted(int(t) for t in tails if t.isdigit())
+
     def read(self, name: str) -> str | None:
-        fs, path = self._fs(), self._path(name)
-        if not fs.exists(path):
+        held = self._states(name)
+        if not held:
             return None
-        stream = fs.open(path)
+        stream = self._fs().open(self._path(f"{name}.{held[-1]}"))
         try:
             return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
-    def replace(self, name: str, text: str) -> None:
-        """Write beside the file and rename over it."""
-        fs, path, part = self._fs(), self._path(name), self._path(f".{name}.part")
+    def put(self, name: str, text: str) -> None:
+        """Write beside and rename to the name, which must be new."""
+        fs, path, part = self._fs(), self._path(name), self._path(f".{uuid.uuid4().hex}.part")
         out = fs.create(part, True)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        fs.delete(path, False)
         if not fs.rename(part, path):
-            raise OSError(f"{part} could not take the place of {path}")
+            raise OSError(f"{part} could not become {path}")
+
+    def replace(self, name: str, text: str) -> None:
+        """A new state; the one before stays until the next."""
+        held = self._states(name)
+        self.put(f"{name}.{held[-1] + 1 if held else 1}", text)
+        for old in held[:-1]:
+            self.drop(f"{name}.{old}")
+
+    def claim(self, name: str) -> bool:
+        """Make an empty file unless there is one; only one of several callers succeeds."""
+        fs, path = self._fs(), self._path(name)
+        fs.mkdirs(path.getParent())
+        return not fs.exists(path) and fs.createNewFile(path)
 
     def drop(self, name: str) -> None:
         self._fs().delete(self._path(name), True)
@@ -105,39 +130,50 @@ def check_vectors(records: DataFrame, dims: int, vector_col: str = "embedding")
 
 
 class Journal:
-    """Committed writes since the last snapshot, appended in batches, each visible only when its marker is."""
+    """Committed writes since the last snapshot, appended in batches, each visible only when its marker is.
+
+    A batch has a number that its writer claimed and a marker of its own, so writers share no state that one could overwrite
+    for another. A number whose writer stopped before the marker is never read.
+    """
 
     def __init__(self, spark: SparkSession, root: str, schema: str | T.StructType, compact_every: int = 256):
         self.spark, self.folder, self.schema, self.compact_every = spark, Folder(spark, root), schema, compact_every
 
-    def _state(self) -> dict:
-        text = self.folder.read("journal.json")
-        return json.loads(text) if text else {"next": 0, "batches": []}
+    def _numbers(self, kind: str) -> list[int]:
+        return sorted(int(n[len(kind) + 1 :]) for n in self.folder.names() if n.startswith(f"{kind}-"))
+
+    def committed(self) -> list[int]:
+        return self._numbers("done")
 
     def append(self, writes: DataFrame) -> int:
-        """Add a batch in order; returns its number."""
-        state = self._state()
-        seq = state["next"]
+        """Add a batch; returns its number."""
+        seq = max(self._numbers("claim"), default=-1) + 1
+        while not self.folder.claim(f"claim-{seq}"):
+            seq += 1
         writes.write.mode("overwrite").parquet(f"{self.folder.root}/batch={seq}")
-        self.folder.replace("journal.json", json.dumps({"next": seq + 1, "batches": [*state["batches"], seq]}))
+        self.folder.put(f"done-{seq}", "")
         return seq
 
-    def read(self) -> DataFrame:
-        """All committed writes with their batch number."""
-        paths = [f"{self.folder.root}/batch={b}" for b in self._state()["batches"]]
+    def read(self, skip: Collection[int] = ()) -> DataFrame:
+        """All committed writes with their batch number, but for the batches to skip."""
+        paths = [f"{self.folder.root}/batch={b}" for b in self.committed() if b not in set(skip)]
+        empty = self.spark.createDataFrame([], self.schema)
         if not paths:
-            return self.spark.createDataFrame([], self.schema).withColumn("batch", F.lit(0).cast("int"))
-        return self.spark.read.option("basePath", self.folder.root).schema(self.spark.createDataFrame([], self.schema).schema.add("batch", T.IntegerType())).parquet(*paths)
+            return empty.withColumn("batch", F.lit(0).cast("int"))
+        return self.spark.read.option("basePath", self.folder.root).schema(empty.schema.add("batch", T.IntegerType())).parquet(*paths)
 
     def due(self) -> bool:
-        return len(self._state()["batches"]) >= self.compact_every
-
-    def compact(self) -> None:
-        """Forget the batches that a snapshot now holds."""
-        state = self._state()
-        self.folder.replace("journal.json", json.dumps({"next": state["next"], "batches": []}))
-        for b in state["batches"]:
+        return len(self.committed()) >= self.compact_every
+
+    def compact(self, batches: Collection[int] | None = None) -> None:
+        """Forget the batches that a snapshot now holds; the last claim stays, so that no number is used again."""
+        held = self.committed()
+        last = max(self._numbers("claim"), default=-1)
+        for b in held if batches is None else [x for x in batches if x in held]:
+            self.folder.drop(f"done-{b}")
             self.folder.drop(f"batch={b}")
+            if b != last:
+                self.folder.drop(f"claim-{b}")
 
 
 def replay(snapshot: DataFrame | None, tail: DataFrame, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:

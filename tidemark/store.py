@@ -63,18 +63,26 @@ class MemoryStore:
 
     def log(self) -> DataFrame:
         """All accepted observations, those of forgotten subjects left out."""
-        held = self.snapshots.load().get("log")
-        tail = self.journal.read().drop("batch")
-        return tail if held is None else held.unionByName(tail)
+        return self._log()[0]
 
-    def _replace(self, log: DataFrame) -> None:
-        """Make a log the snapshot and empty the journal; in this order, so that a stop between them loses nothing."""
-        self.snapshots.save({"log": log.dropDuplicates(["namespace", "id"])})
-        self.journal.compact()
+    def _log(self) -> tuple[DataFrame, list[int]]:
+        """The log, and the journal's batches that it holds beside the snapshot's. Batches that the snapshot says it holds are not read twice."""
+        held = self.snapshots.load().get("log")
+        inside = (self.snapshots.manifest() or {}).get("settings", {}).get("batches", [])
+        batches = [b for b in self.journal.committed() if b not in inside]
+        tail = self.journal.read(skip=inside).drop("batch")
+        return (tail if held is None else held.unionByName(tail)), batches
+
+    def _replace(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Make the changed log the snapshot, with the batches that are in it, and drop those from the journal; a stop anywhere loses and doubles nothing."""
+        log, batches = self._log()
+        inside = (self.snapshots.manifest() or {}).get("settings", {}).get("batches", [])
+        self.snapshots.save({"log": change(log).dropDuplicates(["namespace", "id"])}, {"batches": sorted({*inside, *batches} & {*self.journal.committed()})})
+        self.journal.compact([*inside, *batches])
         self._changed()
 
     def compact(self) -> None:
-        self._replace(self.log())
+        self._replace(lambda log: log)
 
     def save(self) -> int:
         self.compact()
@@ -185,11 +193,11 @@ class MemoryStore:
             told = told.unionByName(extract.extract(texts).join(texts.select("text_id", "namespace"), "text_id").select("namespace", F.col("text_id").alias("id"), "subject", "object"))
         a = told.select("namespace", "id", F.explode(F.array(normalize(F.col("subject")), normalize(F.col("object")))).alias("k"))
         doomed = a.join(gone, ["namespace", "k"], "left_semi").select("namespace", "id").distinct()
-        self._replace(self.log().join(doomed, ["namespace", "id"], "left_anti"))
+        self._replace(lambda log: log.join(doomed, ["namespace", "id"], "left_anti"))
 
     def drop(self, namespace: str) -> None:
         """Everything of a tenant goes."""
-        self._replace(store.drop_namespace(self.log(), namespace))
+        self._replace(lambda log: store.drop_namespace(log, namespace))
 
     def stats(self) -> DataFrame:
         return metrics.store_stats(self.episodes(), self.facts())

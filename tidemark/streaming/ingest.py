@@ -32,8 +32,8 @@ def label_assertions(stream: DataFrame) -> DataFrame:
             elif open_ and r.valid_from < open_[2]:
                 labels.append(("hist", open_[0], open_[2]))
             else:
+                labels.append(("super", open_[0] if open_ else None, None))
                 open_ = [int(r.id), r.o_key, float(r.valid_from)]
-                labels.append(("super", None, None))
         if open_:
             state.update(tuple(open_))
         out = rows.drop(columns=["s_key", "p_key", "o_key"])
