@@ -168,8 +168,8 @@ def _true_nearest(index: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarra
     return out
 
 
-def _plan(index: DataFrame, queries: DataFrame, k: int, tables: int, goal: float) -> dict[int, tuple[int, int, int, np.ndarray]]:
-    """By dimensions: polytopes, leading polytopes, probes, and a sample of the vectors."""
+def _plan(index: DataFrame, queries: DataFrame, k: int, tables: int, goal: float) -> dict[int, tuple[int, int, int, np.ndarray, int]]:
+    """By dimensions: polytopes, leading polytopes, probes, a sample of the vectors, and how many of those there are."""
     n = {r["d"]: r["n"] for r in index.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     dims = F.size("v")
 
@@ -193,7 +193,7 @@ def _plan(index: DataFrame, queries: DataFrame, k: int, tables: int, goal: float
     for d, m in n.items():
         polytopes, lead = shape(m, d)
         q = asked.get(d, (None, np.zeros((0, d))))[1]
-        out[d] = (polytopes, lead, fit_probes(q, near.get(d, []), polytopes, tables, goal), np.array([r["v"] for r in sample.get(d, [])], float).reshape(-1, d))
+        out[d] = (polytopes, lead, fit_probes(q, near.get(d, []), polytopes, tables, goal), np.array([r["v"] for r in sample.get(d, [])], float).reshape(-1, d), m)
     return out
 
 
@@ -220,11 +220,11 @@ def _visits(queries: DataFrame, plan: dict, tables: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d, b, whole in _by_dims(batches, 1):
-            polytopes, lead, most, sample = sent.value[d]
+            polytopes, lead, most, sample, n = sent.value[d]
             rest = (2 * padded(d)) ** (polytopes - lead)
             for at in range(0, len(whole), 64):
                 x, part = whole[at : at + 64], b.slice(at, 64)
-                rank = k // 2 + 1  # one more for the query's own vector
+                rank = max(1, round(12 * k * len(sample) / n)) + 1  # about the 12 k-th of all; one more for the query's own vector
                 least = np.sort(x @ sample.T, axis=1)[:, -rank] - 1e-9 if len(sample) >= rank else np.full(len(x), -np.inf)
                 for t in range(tables):
                     code = np.sort(probes(x, t, polytopes, most), axis=1)

@@ -81,9 +81,8 @@ class Runs:
     """Maximal runs of windows of one document that share their anchor.
 
     A window's anchor is its gram of least hash, the leftmost of equal ones, so equal windows have it at the same place.
-    first, count: first window and number of windows; anchor: hash of the anchoring gram; span: hash of all the run's bytes
-    and the anchor's place in them. Two windows are equal only if their runs have equal anchors, and runs with equal anchor
-    and span hold the same windows.
+    first, count: first window and number of windows; anchor: hash of the anchoring gram. Two windows are equal only if their
+    runs have equal anchors.
     """
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -109,24 +108,20 @@ class Runs:
                 continue
             turn = np.cumsum(new)
             count = np.bincount(turn[ok], minlength=len(first) + 1)[1:]
-            a, end = place[first], first + count - 1 + LENGTH
-            span = (a - first).astype(np.uint64) * _C1 + (end - first).astype(np.uint64)
-            for p in (first, first + GRAM, end - 2 * GRAM, end - GRAM):
-                span = _mix(span * _C2 + gram[p])
-            parts.append((first + at, count, _mix(gram[a] * _C1), span))  # least hashes are small; buckets need even ones
-        cols = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-        self.first, self.count = cols[0], cols[1]
-        self.anchor, self.span = cols[2] >> np.uint64(16), cols[3] >> np.uint64(16)
+            parts.append((first + at, count, _mix(gram[place[first]] * _C1)))  # least hashes are small; buckets need even ones
+        none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        self.first, self.count, anchor = (np.concatenate(x) for x in zip(none, *parts))
+        self.anchor = anchor >> np.uint64(16)
 
 
 class Shard:
-    """One shard's texts with its runs, sorted by anchor, span and place."""
+    """One shard's texts; documents of one id count as one."""
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, ids: np.ndarray, known: np.ndarray):
         self.data, self.ends, self.ids, self.known = data, ends, ids, known
         self.starts = np.r_[0, ends[:-1]] if len(ends) else ends
         change = np.r_[False, (ids[1:] != ids[:-1]) | (known[1:] != known[:-1])] if len(ids) else np.zeros(0, bool)
-        self.number = np.cumsum(change)  # documents of one id count as one
+        self.number = np.cumsum(change)
 
     @classmethod
     def load(cls, path: str) -> Shard:
@@ -137,16 +132,12 @@ class Shard:
         return self.number[np.searchsorted(self.ends, place, side="right")] if len(place) else place
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs' first windows, counts and anchors in order of (anchor, span, place); the distinct anchors, and how many runs of unlike span each has."""
+        """Runs' first windows, counts and anchors in order of (anchor, place); the distinct anchors, and where each one's runs start."""
         runs = Runs(self.data, self.starts, self.ends)
-        order = np.lexsort((runs.first, runs.span, runs.anchor))
-        anchor, span = runs.anchor[order], runs.span[order]
-        new = np.ones(len(order), bool)
-        new[1:] = anchor[1:] != anchor[:-1]
-        unlike = new.copy()
-        unlike[1:] |= span[1:] != span[:-1]
-        at = np.flatnonzero(new)
-        return runs.first[order], runs.count[order], anchor, anchor[at], np.add.reduceat(unlike, at) if len(at) else at
+        order = np.argsort(runs.anchor, kind="stable")
+        anchor = runs.anchor[order]
+        cut = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(order) else order
+        return runs.first[order], runs.count[order], anchor, anchor[cut], cut
 
 
 def _coded(x: np.ndarray) -> bytes:
@@ -175,73 +166,86 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {dict(int64='long', int32='int').get(str(f.type), str(f.type))}" for f in schema)
 
 
-def refine(data: np.ndarray) -> np.ndarray:
-    """Larsson-Sadakane: all suffixes in order of their first LENGTH bytes, shorter ones first."""
+def refine(data: np.ndarray, window: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Larsson-Sadakane: the suffixes at the windows (or all) in order of their first LENGTH bytes, shorter ones first and equal
+    ones by place, and their ranks.
+
+    A round sorts those still tied by the rank of what follows what they are known to share, so it needs ranks only of the
+    windows and of the places that later rounds look at from there.
+    """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(LENGTH + 8, np.uint8)])
-    key = _words(padded)[:n].byteswap()
-    sa = np.argsort(key)
-    sorted_key = key[sa]
-    tied = np.r_[False, sorted_key[1:] == sorted_key[:-1]]  # slot i ties with slot i - 1
-    del key, sorted_key
+    need = [np.ones(n, bool) if window is None else np.bincount(window, minlength=n) > 0]
+    shifts = (8, 16, LENGTH - 32)
+    for shift in reversed(shifts):
+        later = need[-1].copy()
+        later[shift:] |= need[-1][:-shift]
+        need.append(later)
+    key = _words(np.concatenate([data, np.zeros(LENGTH + 8, np.uint8)]))[:n].byteswap()
+    sa = np.flatnonzero(need.pop())
+    order = np.argsort(key[sa])
+    sa, key = sa[order], key[sa[order]]
     rank = np.full(n + LENGTH, -1, np.int64)  # of a suffix: the first slot of its group; past the end below all
-    rank[sa] = np.maximum.accumulate(np.where(tied, 0, np.arange(n)))
-    for shift in (8, 16, LENGTH - 32):
-        both = tied.copy()
-        both[:-1] |= tied[1:]
-        slots = np.flatnonzero(both)
+    at = np.arange(len(sa))
+    rank[sa] = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0)) if n else at
+    del key, order, at
+    for shift in shifts:
+        sa = sa[need.pop()[sa]]
+        group = rank[sa]
+        tied = group[1:] == group[:-1]
+        slots = np.flatnonzero(np.r_[False, tied] | np.r_[tied, False]) if len(sa) else sa
         if not len(slots):
-            break
-        suffix = sa[slots]
-        both_ranks = rank[suffix] * (n + 1) + rank[suffix + shift] + 1
-        order = np.argsort(both_ranks)
-        sa[slots] = suffix[order]
-        both_ranks = both_ranks[order]
-        same = np.r_[False, both_ranks[1:] == both_ranks[:-1]]
-        tied[slots] = same
-        rank[sa[slots]] = np.maximum.accumulate(np.where(same, 0, slots))
-    return sa
+            continue
+        suffix, group = sa[slots], group[slots]
+        both = group * (n + 1) + rank[suffix + shift] + 1
+        order = np.argsort(both)
+        suffix, both = suffix[order], both[order]
+        at = np.arange(len(slots))
+        start = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], at, 0))
+        sub = np.maximum.accumulate(np.where(np.r_[True, both[1:] != both[:-1]], at, 0))
+        sa[slots] = suffix
+        rank[suffix] = group + sub - start
+    ranks = rank[sa]
+    order = np.argsort(ranks * (n + 1) + sa)
+    return sa[order], ranks[order]
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray, lanes: int = 16) -> np.ndarray:
-    """Kasai's common prefix of each suffix of sa with the one before it, up to LENGTH bytes.
+    """Kasai's common prefix of each of the suffixes sa with the one before it, up to LENGTH bytes.
 
-    A suffix shares with the one before it at least what the suffix a byte earlier shares with its own, less one, so only what
-    comes after that is compared. (Not so where that is all of LENGTH bytes, as nothing orders suffixes beyond those; there it
-    starts anew.) Places go in lanes: every `lanes`-th starts from nothing, all of those at once, and those after them take up
-    from there.
+    Where the neighbour of a suffix is one byte behind the neighbour of the suffix a byte earlier, they share what those share,
+    less one, so only what comes after that is compared. Places go in lanes: all that are first in theirs start from nothing,
+    at once, and those after them take up from there.
     """
     n = len(data)
     words = _words(np.concatenate([data, np.zeros(LENGTH + 16, np.uint8)]))
-    before = np.full(n, -1, np.int64)
+    before, out = np.full(n, -2, np.int64), np.zeros(n, np.int64)
     before[sa[1:]] = sa[:-1]
-    out = np.zeros(n, np.int64)
-    for lane in range(min(lanes, n)):
-        at = np.arange(lane, n, lanes)
-        if lane:
-            known = out[at - 1]
-            out[at] = np.where(known < LENGTH, np.maximum(known - 1, 0), 0)
-        out[at[before[at] < 0]] = 0
-        at = at[before[at] >= 0]
-        while len(at):
-            unlike = words[at + out[at]] ^ words[before[at] + out[at]]
+    place = np.sort(sa[1:])
+    turn = place % lanes
+    by = np.argsort(turn.astype(np.int8), kind="stable")
+    ends = np.searchsorted(turn[by], np.arange(lanes + 1))
+    for lane in range(lanes):
+        at = place[by[ends[lane] : ends[lane + 1]]]
+        other = before[at]
+        have = np.where(before[at - 1] + 1 == other, np.maximum(out[at - 1] - 1, 0), 0) if lane else np.zeros(len(at), np.int64)
+        rest = np.arange(len(at))
+        while len(rest):
+            a, b, k = at[rest], other[rest], have[rest]
+            unlike = words[a + k] ^ words[b + k]
             low = unlike & (~unlike + np.uint64(1))
-            out[at] = np.minimum(out[at] + np.where(unlike == 0, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8), LENGTH)
-            at = at[(unlike == 0) & (out[at] < LENGTH)]
+            have[rest] = k = np.minimum(k + np.where(unlike == 0, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8), LENGTH)
+            rest = rest[(unlike == 0) & (k < LENGTH)]
+        out[at] = have
     return out[sa]
 
 
 def equal_windows(data: np.ndarray, window: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix-array order of the windows (start positions), their classes of equal windows from 0 up, and each class's least place."""
-    sa = refine(data)
-    group = np.cumsum(common_prefixes(data, sa) < LENGTH)
+    sa, _ = refine(data, window)
     which = np.full(len(data), -1, np.int64)
     which[window] = np.arange(len(window))
     order = which[sa]
-    held = order >= 0
-    order, group = order[held], group[held]
-    new = np.ones(len(order), bool)
-    new[1:] = group[1:] != group[:-1]
+    new = common_prefixes(data, sa) < LENGTH
     return order, np.cumsum(new) - 1, np.minimum.reduceat(place[order], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
 
 
@@ -298,8 +302,8 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, folder: str, shard_bytes:
         numbers = np.array([0 if i is None else i for i in ids], np.int64)
         path = f"{folder}/{number}-{uuid.uuid4().hex}"
         put(path, pack_arrays(data=data, ends=ends, ids=numbers, known=known))
-        _, _, _, anchor, runs = Shard(data, ends, numbers, known).anchors()
-        runs = np.minimum(runs, 0xFFFF).astype(np.uint16)
+        _, _, every, anchor, at = Shard(data, ends, numbers, known).anchors()
+        runs = np.minimum(np.diff(np.r_[at, len(every)]), 0xFFFF).astype(np.uint16)
         cut = np.searchsorted(anchor, np.array([(k << 48) // buckets for k in range(buckets + 1)], np.uint64))
         home = hash_of(number) % buckets
         made = [(k, number, path if k == home else None, _coded(anchor[a:b]), pack_arrays(runs=runs[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a or k == home]
@@ -348,6 +352,14 @@ def _runs_of(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cut.tolist(), np.r_[cut[1:], len(x)].tolist()))
 
 
+def _marked(n: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of stretches that do not overlap."""
+    step = np.zeros(n + 1, np.int8)
+    step[first] = 1
+    step[first + count] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8).view(bool)
+
+
 def _stretches(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of set places."""
     edge = np.diff(np.r_[0, on.view(np.int8), 0])
@@ -377,42 +389,31 @@ def _match(buckets: int, array_bytes: int):
         by = np.argsort(asked)
         asked, parts = asked[by], parts[by]
         shard = Shard.load(path)
-        first, count, anchor, each, _ = shard.anchors()
-        index = np.searchsorted(each, anchor)
+        first, count, anchor, each, cut = shard.anchors()
+        index = np.repeat(np.arange(len(each)), np.diff(np.r_[cut, len(anchor)]))
         doc = shard.doc(first)
-        shared = np.zeros(len(each), bool)  # anchors of several documents of this shard
-        if len(each):
-            cut = np.searchsorted(anchor, each)
-            shared = np.minimum.reduceat(doc, cut) < np.maximum.reduceat(doc, cut)
+        shared = doc[cut] < doc[np.r_[cut[1:], len(doc)] - 1] if len(each) else np.zeros(0, bool)  # anchors of several documents of this shard
         at = np.minimum(np.searchsorted(asked, each), max(0, len(asked) - 1))
         wanted = asked[at] == each if len(asked) else np.zeros(len(each), bool)
         dealt = np.where(wanted, parts[at], 0) if len(asked) else np.zeros(len(each), np.int64)
-        use = (shared | wanted)[index]
-        on = np.zeros(len(shard.data) + 1, np.int8)
-        np.add.at(on, first[use], 1)
-        np.add.at(on, first[use] + count[use], -1)
-        on = np.cumsum(on[:-1], dtype=np.int8).astype(bool)  # runs do not overlap
+        many = np.diff(np.r_[cut, len(anchor)]) > 1  # the windows of a lone run are not in the shard a second time
+        use, ask = (shared | wanted & many)[index], wanted[index]
+        on, outer = _marked(len(shard.data), first[use], count[use]), _marked(len(shard.data), first[ask], count[ask])
         least = _least_in_shard(shard.data, on, array_bytes)
         place = np.flatnonzero(on)
         own, lead = shard.doc(place), shard.doc(least)
         gone = np.zeros(len(shard.data), bool)
         gone[place[own > lead]] = True
-        outer = np.zeros(len(shard.data) + 1, np.int8)
-        ask = wanted[index]
-        np.add.at(outer, first[ask], 1)
-        np.add.at(outer, first[ask] + count[ask], -1)
-        outer = np.cumsum(outer[:-1], dtype=np.int8).astype(bool)
         twin = (own == lead) & (place != least) & outer[place]
+        outer[place[place != least]] = False
         starts, sizes = _stretches(gone)
         rows = [(-1, number, number, path, pack_arrays(start=starts, size=sizes, twin=place[twin], of=least[twin]))]
-        rep = np.zeros(len(shard.data) + 1, np.int64)
-        rep[place[(place == least) & outer[place]] + 1] = 1
-        rep = np.cumsum(rep)  # places before each that stand for their windows
+        rep = np.r_[0, np.cumsum(outer)]  # places before each that stand for their windows
         some = np.flatnonzero(ask & (rep[first + count] > rep[first]) if len(first) else ask)
         hot = dealt[index[some]] > 1
         plain = some[~hot]
         # of a run only what lies between its first and last standing window
-        mine = np.flatnonzero(np.diff(rep))
+        mine = np.flatnonzero(outer)
         lo, hi = mine[rep[first[plain]]] if len(plain) else plain, mine[rep[first[plain] + count[plain]] - 1] if len(plain) else plain
         pieces = [(_bucket(anchor[plain], buckets), np.zeros(len(plain), np.int64), lo, hi - lo + 1)]
         if hot.any():
@@ -447,40 +448,57 @@ def _least_in_shard(data: np.ndarray, on: np.ndarray, array_bytes: int) -> np.nd
     return np.concatenate([np.zeros(0, np.int64), *first_places(arrays)]) if arrays else np.zeros(0, np.int64)
 
 
+def _alike(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each run of bytes the first one that is equal to it, byte for byte (or itself, where hashes of unlike ones collide)."""
+    words, last = _words(data), start + size - 8
+    steps = range(0, int(size.max(initial=0)), 8)
+    h = size.astype(np.uint64)
+    for k in steps:
+        h = _mix(h * _C2 + words[np.minimum(start + k, last)])
+    order = np.argsort(h, kind="stable")
+    head = order[np.maximum.accumulate(np.where(np.r_[True, h[order][1:] != h[order][:-1]], np.arange(len(h)), 0))] if len(h) else order
+    first = np.empty(len(h), np.int64)
+    first[order] = head
+    same = size == size[first]
+    for k in steps:
+        same &= words[np.minimum(start + k, last)] == words[np.minimum(start[first] + k, last[first])]
+    return np.where(same, first, np.arange(len(h)))
+
+
+def later_windows(data: np.ndarray, start: np.ndarray, count: np.ndarray, owner: np.ndarray, array_bytes: int) -> np.ndarray:
+    """For every window of runs, one after another, whether an earlier owner has it too. Runs come in the order of their owners.
+
+    Runs that are equal byte for byte enter the arrays once, for the first owner, and share what is found.
+    """
+    size = count + LENGTH - 1
+    first = _alike(data, start, size)
+    lead = first == np.arange(len(first))
+    arrays = []
+    for a, b in _runs_of(np.cumsum(size[lead]) // array_bytes):
+        at = np.flatnonzero(lead)[a:b]
+        begin = np.r_[0, np.cumsum(size[at])[:-1]]
+        arrays.append((data[_spread(start[at], size[at])], _spread(begin, count[at]), np.repeat(owner[at], count[at])))
+    found = np.concatenate([np.zeros(0, np.int64), *first_places(arrays)])
+    ends = np.cumsum(count[lead])
+    at = np.cumsum(lead) - 1  # which of the leading runs
+    return found[_spread((ends - count[lead])[at[first]], count)] < np.repeat(owner, count)
+
+
 def _compare(array_bytes: int):
     def run(t: pa.Table) -> pa.Table:
-        """One part of a bucket: suffix arrays over the runs' bytes; masks of the windows that earlier shards have. What a shard found itself passes through."""
+        """One part of a bucket: the windows that earlier shards have, by suffix arrays over the runs' bytes. What a shard found itself passes through."""
         if t.column("bucket")[0].as_py() < 0:
             return t.select(["shard", "path", "content"])
-        arrays, members = [], []
-        held: list[tuple[int, dict[str, np.ndarray]]] = []
-
-        def close() -> None:
-            count = np.concatenate([z["count"] for _, z in held]).astype(np.int64)
-            of = np.repeat([k for k, _ in held], [len(z["count"]) for _, z in held])
-            start = np.r_[0, np.cumsum(count + LENGTH - 1)[:-1]]
-            first = np.concatenate([z["place"] for _, z in held]).astype(np.int64)
-            arrays.append((np.concatenate([z["data"] for _, z in held]), _spread(start, count), np.repeat(of, count) << 40 | _spread(first, count)))
-            members.append([(k, z["place"], z["count"].astype(np.int64)) for k, z in held])
-            held.clear()
-
         rows = sorted(t.select(["shard", "content"]).to_pylist(), key=lambda r: r["shard"])
-        for k, r in enumerate(rows):
-            held.append((k, unpack_arrays(r["content"])))
-            if sum(len(z["data"]) for _, z in held) >= array_bytes:
-                close()
-        if held:
-            close()
-        out = []
-        for first, (_, _, place), runs in zip(first_places(arrays), arrays, members):
-            later = (first >> 40) < (place >> 40)
-            at = 0
-            for k, start, count in runs:
-                n = int(count.sum())
-                hit = later[at : at + n]
-                at += n
-                if hit.any():
-                    out.append((rows[k]["shard"], None, pack_arrays(place=_spread(start.astype(np.int64), count)[hit])))
+        held = [unpack_arrays(r["content"]) for r in rows]
+        data = np.concatenate([z["data"] for z in held])
+        count = np.concatenate([z["count"] for z in held]).astype(np.int64)
+        owner = np.repeat(np.arange(len(rows)), [len(z["count"]) for z in held])
+        start = np.r_[0, np.cumsum(count + LENGTH - 1)[:-1]]
+        later = later_windows(data, start, count, owner, array_bytes)
+        place = _spread(np.concatenate([z["place"] for z in held]).astype(np.int64), count)[later]
+        who = np.repeat(owner, count)[later]
+        out = [(rows[int(who[a])]["shard"], None, pack_arrays(place=place[a:b])) for a, b in _runs_of(who)]
         return _table(out, _MASKS)
 
     return run
