@@ -167,8 +167,8 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def refine(data: np.ndarray, window: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Larsson-Sadakane: the suffixes at the windows (or all) in order of their first LENGTH bytes, shorter ones first and equal
-    ones by place, and their ranks.
+    """Larsson-Sadakane: the suffixes at the windows (or all) in order of their first LENGTH bytes (what ends before is followed
+    by zeros), equal ones by place, and their ranks.
 
     A round sorts those still tied by the rank of what follows what they are known to share, so it needs ranks only of the
     windows and of the places that later rounds look at from there.
