@@ -1,15 +1,18 @@
 """PII surrogates: every detected entity is replaced by a keyed one of its kind; DataFrame and SQL functions only.
 
-Kinds: e-mail address, phone number, payment card, social security number, IBAN, IPv4 address, secret (a value after a word
-such as token or password, or a long hexadecimal string), and names of people after a title or "name:" / "my name is".
+Kinds: e-mail address, phone number, payment card, social security number, IBAN, IPv4 and IPv6 address, secret (a value after a
+word such as token or password, a key of a well-known form, or a long hexadecimal string), and names of people after a title or
+"name:" / "my name is". A name so found is replaced wherever its words stand capitalised in the same document. Names that no
+title ever introduces are not detected; that takes a model or a list.
 
 An entity's canonical form (case, spacing and punctuation removed) and the key fix its surrogate, so all mentions of an
 entity, in any document and written form, get the same one; each mention keeps its own case, spacing and punctuation. Digits
 become digits and letters letters of the same script; cards that pass the Luhn test and IBANs still pass theirs; an e-mail
 domain maps to one domain wherever it occurs; a person's given and family names map each on their own, the given name to one
-of the same gender and both to the same script. Surrogates are made once per distinct entity. Checks over all entities give a
-new try to any surrogate that another entity of the kind already has or that is itself an entity of the corpus, until none is
-left, so distinct entities stay distinct and no surrogate points at somebody else.
+of the same gender and both to the same script. Surrogates are made once per distinct entity, domains among them. Checks over
+all entities give a new try to any surrogate that another entity of the kind already has or that is itself an entity of the
+corpus, until none is left, so distinct entities stay distinct and no surrogate points at somebody else. After a few tries a
+surrogate grows, so a kind whose forms run out (six-digit phone numbers, say) gets longer ones and every entity is served.
 
 Texts without entities are passed on where they are. Those with entities meet their replacements by a digest of the text, so
 copies of a text share one row of replacements, and a hot copy group is an equi-join that Spark can split.
@@ -25,9 +28,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stash
+from tidemark.llm.common import partitions, stash
 
-_KEYED = r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+# Words before a secret, and how well-known kinds of keys begin.
+_SECRET_WORD = r"(?i:token|secret|password|passwd|pwd|passphrase|api[ _-]?key|access[ _-]?key)"
+_KEYED = rf"{_SECRET_WORD}(?:[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?|\s{{1,2}}(?i:is|was)\s{{1,2}}[\"']?(?=[^\s]{{0,64}}[0-9]))"
+_MARK = r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ)"
+_MARKED = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,64}|sk-[A-Za-z0-9_-]{20,128}|xox[abprs]-[A-Za-z0-9-]{10,128}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,512}\.[A-Za-z0-9_-]{10,512}\.[A-Za-z0-9_-]{5,512})(?![A-Za-z0-9])"
 
 
 def _either(*titles: str) -> str:
@@ -38,22 +45,29 @@ def _either(*titles: str) -> str:
 _TITLE_M = _either("Mr", "Sir", "Herr", "Señor", "Sr", "Г-н", "г-н", "господин", "Господин", "κ")
 _TITLE_F = _either("Mrs", "Ms", "Miss", "Mme", "Mlle", "Madame", "Frau", "Señora", "Sra", "Srta", "Г-жа", "г-жа", "госпожа", "Госпожа", "κα")
 _TITLE_X = f"(?:{_either('Dr', 'Prof')}|(?i:my name is|name:))"
-_PERSON = r"\p{Lu}\p{L}+(?:[ '-]\p{Lu}\p{L}+){0,3}"
+_NAME_WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{L}+"
+_PERSON = rf"{_NAME_WORD}(?:[ '’-]{_NAME_WORD}){{0,3}}"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _PATTERNS = {
-    "secret": rf"{_KEYED}[A-Za-z0-9_+/.-]{{7,}}[A-Za-z0-9_+/=-]|(?<![A-Za-z0-9])[A-Fa-f0-9]{{32,128}}(?![A-Za-z0-9])",
+    "secret": rf"{_KEYED}[A-Za-z0-9_+/.-]{{7,}}[A-Za-z0-9_+/=-]|(?<![A-Za-z0-9])[A-Fa-f0-9]{{32,128}}(?![A-Za-z0-9])|{_MARKED}",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
-    "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?={_HEX}::?{_HEX}:?)(?=[A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}))(?![\p{{L}}\p{{N}}:])",
+    "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])|(?=[0-9]{3} ?[0-9]{2} ?[0-9]{4})(?<=(?i:ssn|social security number|social security no)[:#. ]{1,3}(?:is )?)[0-9]{3} ?[0-9]{2} ?[0-9]{4}(?![\p{L}\p{N}-])",
     "card": r"(?<![\p{L}\p{N}+-])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![\p{L}\p{N}])"
+    r"|(?<![\p{L}\p{N}+./,_-])(?:[2-9][0-9]{9}|0[0-9]{1,4}/ ?[0-9]{5,8})(?![\p{L}\p{N}/_-])",
     "name": rf"(?=[MSHFDPmnNГгκΚ])(?<![\p{{L}}\p{{N}}])(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_X})\.? {_PERSON}",
 }
 ANY = "|".join(_PATTERNS.values())
+#: As ANY, and every capitalised word, which may be a name that was introduced elsewhere in the document.
+WORDS_TOO = rf"{ANY}|(?<![\p{{L}}\p{{N}}]){_NAME_WORD}(?![\p{{L}}\p{{N}}])"
 #: Every text with an entity matches one of these, which cost far less than the full pattern.
-QUICK = (r"[@=:]|[0-9]{3}|[0-9]\.", r"[0-9a-fA-F]{32}", rf"(?=[MSHFDPmnNГгκΚ])(?<![\p{{L}}\p{{N}}])(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_X})\.? \p{{Lu}}")
+QUICK = (r"[@=:]|[0-9]{3}|[0-9]\.", r"[0-9a-fA-F]{32}", rf"(?=[MSHFDPmnNГгκΚ])(?<![\p{{L}}\p{{N}}])(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_X})\.? \p{{Lu}}", rf"{_MARK}|{_SECRET_WORD}\s{{1,2}}(?i:is|was)\s")
 
-ROUNDS = 64
+#: Tries after which surrogates grow, by a character a try, and rounds without success that are taken for a fault.
+GROW, STALLED = 3, 32
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщыэюя"
 _GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
@@ -74,13 +88,15 @@ def _digits(c: Column) -> Column:
 
 
 def _prefix(m: Column) -> Column:
-    """What stands before the entity itself within a match: the word before a secret, the title before a name."""
-    title = rf"^(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_X})\.? "
-    return F.when(m.rlike(f"^{_KEYED}"), F.regexp_extract(m, f"^({_KEYED})", 1)).when(m.rlike(title), F.regexp_extract(m, f"^({title[1:]})", 1)).otherwise("")
+    """What stands before the entity itself within a match: the word before a secret, how a known key begins, the title before a name."""
+    title = rf"(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_X})\.? "
+    secret = F.regexp_extract(m, f"^((?:{_KEYED})?(?:{_MARK}(?=[A-Za-z0-9]))?)", 1)
+    return F.when(m.rlike(f"^(?:{_KEYED}|{_MARK}[A-Za-z0-9_-]{{10}})") & ~m.rlike("@"), secret).when(m.rlike(f"^{title}"), F.regexp_extract(m, f"^({title})", 1)).otherwise("")
 
 
 def _kind(m: Column) -> Column:
-    out = F.when(m.rlike(f"^{_KEYED}"), "secret")
+    out = F.when(m.rlike(f"^{_KEYED}"), "secret").when(m.rlike(rf"^{_NAME_WORD}$") & ~m.rlike(f"^(?:{_MARKED})$"), "word")
+    out = out.when(m.rlike("^[0-9]{3}[- ]?[0-9]{2}[- ]?[0-9]{4}$"), "ssn")  # without what stands before it
     for kind in _PATTERNS:
         out = out.when(m.rlike(_full(kind)), kind)
     return out
@@ -95,16 +111,22 @@ def _canon(kind: Column, body: Column) -> Column:
     return F.coalesce(number, F.when(kind == "iban", F.regexp_replace(body, " ", "")).otherwise(F.lower(body)))
 
 
-_TOKEN = r"\p{L}+"
+_TOKEN = r"(?:\p{Lu}['’])?\p{L}+"
+
+
+def _name_key(word: Column) -> Column:
+    return F.lower(F.translate(word, "’", "'"))
 
 
 def _parts(m: Column) -> Column:
-    """The entities of one match: array of (kind, canon, gender). A name has one for each of its words."""
+    """The entities of one match: array of (kind, canon, gender). A name has one for each of its words, an address one for its domain too."""
     kind, body = _kind(m), F.substr(m, F.length(_prefix(m)) + 1)
     words = F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0))
-    named = F.transform(words, lambda w, i: F.struct(_role(words, i).alias("kind"), F.lower(w).alias("canon"), F.when(_role(words, i) == "given", _gender(m)).alias("gender")))
-    plain = F.array(F.struct(kind.alias("kind"), _canon(kind, body).alias("canon"), F.lit(None).cast("string").alias("gender")))
-    return F.when(kind == "name", named).otherwise(plain)
+    named = F.transform(words, lambda w, i: F.struct(_role(words, i).alias("kind"), _name_key(w).alias("canon"), F.when(_role(words, i) == "given", _gender(m)).alias("gender")))
+    one = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"), F.lit(None).cast("string").alias("gender"))
+    plain = F.array(one(kind, _canon(kind, body)))
+    address = F.array(one(kind, _canon(kind, body)), one(F.lit("domain"), F.substring_index(F.lower(body), "@", -1)))
+    return F.when(kind == "name", named).when(kind == "email", address).otherwise(plain)
 
 
 def _role(words: Column, i: Column) -> Column:
@@ -189,36 +211,46 @@ def _name(kind: Column, script: Column, gender: Column, h: Column, tries: Column
         end = F.when(kind == "family", F.concat(_pick(consonants, v), _pick(family, _byte(h, F.lit(102))))).when(F.coalesce(gender, either) == "f", F.concat(_pick(consonants, v), _pick(female, _byte(h, F.lit(102))))).otherwise(_pick(male, v))
         made = F.concat(stem, end)
         out = made if out is None else F.when(script == name, made).otherwise(out)
-    return out
+    initial = F.when(F.col("canon").rlike("^.'"), F.concat(_like(F.substr(F.col("canon"), F.lit(1), F.lit(1)), h), F.lit("'"))).otherwise("")  # O'Brien
+    return F.concat(initial, out)
+
+
+def _grown(h: Column, tries: Column, alphabet: str) -> Column:
+    """What a surrogate has beyond its usual form: nothing for the first tries, then a character more for each."""
+    more = F.least(tries - GROW, F.lit(24))
+    return F.when(tries > GROW, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: _pick(alphabet, _byte(h, i + 60))), "")).otherwise("")
 
 
 def _surrogate(key: str) -> Column:
-    """The surrogate of a row (kind, canon, gender, tries)."""
-    kind, canon, tries = F.col("kind"), F.col("canon"), F.col("tries")
-    h = _digest(F.lit(key), kind, canon, tries.cast("string"))
-    domain = F.substring_index(canon, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    inner = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-    more = F.when(tries >= 4, F.pmod(_byte(h, F.lit(110)) * 256 + _byte(h, F.lit(111)), F.lit(10_000)).cast("string")).otherwise("")  # short names run out
-    email = F.concat(_like(F.substring_index(canon, "@", 1), h), more, F.lit("@"), _like(inner, _digest(F.lit(key), F.lit("domain"), domain)), top)
+    """The surrogate of a row (kind, canon, gender, tries, h), h being the keyed digest. An address keeps its domain, which has one of its own."""
+    kind, canon, tries, h = F.col("kind"), F.col("canon"), F.col("tries"), F.col("h")
+    digits, letters = _grown(h, tries, "0123456789"), _grown(h, tries, _LOWER)
+    email = F.concat(_like(F.substring_index(canon, "@", 1), h), digits, F.lit("@"), F.substring_index(canon, "@", -1))
+    top = F.substring_index(canon, ".", -1)
+    domain = F.concat(letters, _like(F.substr(canon, F.lit(1), F.length(canon) - F.length(top)), h), top)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(_byte(h, i), F.lit(254)) + 1).cast("string")), ".")
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _card(canon, h)).when(kind == "iban", _iban(canon, h))
-    out = out.when(kind.isin("given", "family"), _name(kind, script, F.col("gender"), h, tries))
-    return out.otherwise(_like(canon, h, canon.rlike("^[0-9a-f]+$")))
+    out = F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "ip", F.concat(ip, F.when(tries > GROW, F.lit(":")).otherwise(""), digits))
+    out = out.when(kind == "card", F.concat(_card(canon, h), digits)).when(kind == "iban", F.concat(_iban(canon, h), digits))
+    out = out.when(kind.isin("given", "family"), F.concat(_name(kind, script, F.col("gender"), h, tries), F.when(tries > 4 + GROW, letters).otherwise("")))
+    out = out.when(kind == "ipv6", F.concat(_like(canon, h, F.lit(True)), digits))
+    return out.otherwise(F.concat(_like(canon, h, canon.rlike("^[0-9a-f]+$")), F.when(kind == "secret", letters).otherwise(digits)))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, sur) for distinct entities (kind, canon, gender): no two of a kind alike, none an entity itself.
 
     Within a group of equal surrogates the smallest entity keeps it and the others try again; settled ones are not touched.
-    Fails after ROUNDS tries, which means that a kind has about as many entities as it can have.
+    Entities are spread over tasks, whatever files they come in. As surrogates grow with the tries, every entity gets one.
     """
+    spread = partitions(entities.sparkSession)
     todo = stash(entities.withColumn("tries", F.lit(0)), "entities")
     settled: DataFrame | None = None
     names = todo.select("kind", F.col("canon").alias("sur"))
-    for _ in range(ROUNDS):
-        made = stash(todo.withColumn("sur", _surrogate(key)), "surrogates")
+    left, stalled = todo.count(), 0
+    while left:
+        keyed = todo.repartition(spread, "kind", "canon").withColumn("h", _digest(F.lit(key), F.col("kind"), F.col("canon"), F.col("tries").cast("string")))
+        made = stash(keyed.withColumn("sur", _surrogate(key)).drop("h"), "surrogates")
         first = made.groupBy("kind", "sur").agg(F.min("canon").alias("canon"))
         free = first.join(names, ["kind", "sur"], "left_anti")
         if settled is not None:
@@ -226,21 +258,25 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         good = stash(free.select("kind", "canon", "sur"), "settled")
         settled = good if settled is None else settled.unionByName(good)
         rest = made.join(good, ["kind", "canon"], "left_anti").drop("sur").withColumn("tries", F.col("tries") + 1)
-        todo = stash(rest, "entities")
-        if not todo.limit(1).count():
-            return settled
-    raise RuntimeError("no distinct surrogates are left for some entities")
+        todo, before = stash(rest, "entities"), left
+        left = todo.count()
+        stalled = stalled + 1 if left == before else 0
+        if stalled >= STALLED:
+            raise RuntimeError("no distinct surrogates are made for some entities")
+    return todo.select("kind", "canon", F.lit("").alias("sur")) if settled is None else settled
 
 
 def _written(m: Column, found: Column) -> Column:
     """The replacement of one match. found: map from kind and canon to the surrogate."""
     kind, prefix = _kind(m), _prefix(m)
     body = F.substr(m, F.length(prefix) + 1)
-    sur = found[F.concat(kind, F.lit(":"), _canon(kind, body))]
-    digits = F.length(_digits(body))
+    plain = found[F.concat(kind, F.lit(":"), _canon(kind, body))]
+    domain = found[F.concat(F.lit("domain:"), F.substring_index(F.lower(body), "@", -1))]
+    sur = F.when(kind == "email", F.concat(F.substring_index(plain, "@", 1), F.lit("@"), domain)).otherwise(plain)
+    held, digits = F.length(_canon(kind, body)), F.length(_digits(body))  # what the surrogate has beyond the canonical form comes last
 
     def digit(i: Column) -> Column:
-        c, at = F.substr(body, i, F.lit(1)), F.length(_digits(F.substr(body, F.lit(1), i))) - digits + F.length(sur)
+        c, at = F.substr(body, i, F.lit(1)), F.length(_digits(F.substr(body, F.lit(1), i))) - digits + held
         return F.when(c.rlike("[0-9]") & (at > 0), F.substr(sur, at, F.lit(1))).otherwise(c)
 
     def cased(i: Column) -> Column:  # a surrogate may have grown; what the mention has no place for keeps its form
@@ -254,14 +290,25 @@ def _written(m: Column, found: Column) -> Column:
     words, gaps = F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0)), F.split(body, _TOKEN, -1)
 
     def word(w: Column, i: Column) -> Column:
-        s = found[F.concat(_role(words, i), F.lit(":"), F.lower(w))]
-        shaped = F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(s)).otherwise(F.concat(F.upper(F.substr(s, F.lit(1), F.lit(1))), F.substr(s, F.lit(2))))
-        return F.concat(F.element_at(gaps, i + 1), shaped)
+        return F.concat(F.element_at(gaps, i + 1), _shaped(w, found[F.concat(_role(words, i), F.lit(":"), _name_key(w))]))
 
-    out = F.when(kind.isin("phone", "card", "ssn"), F.array_join(F.transform(places, digit), ""))
-    out = out.when(kind == "iban", F.array_join(F.transform(places, spaced), ""))
+    beyond = F.substr(sur, held + 1)
+    out = F.when(kind.isin("phone", "card", "ssn"), F.concat(F.array_join(F.transform(places, digit), ""), beyond))
+    out = out.when(kind == "iban", F.concat(F.array_join(F.transform(places, spaced), ""), beyond))
     out = out.when(kind.isin("email", "secret"), F.array_join(F.transform(F.sequence(F.lit(1), F.length(sur)), cased), "")).when(kind == "name", F.array_join(F.transform(words, word), ""))
-    return F.concat(prefix, out.otherwise(sur))
+    return F.when(kind == "word", F.coalesce(_shaped(m, _known(m, found)), m)).otherwise(F.concat(prefix, out.otherwise(sur)))
+
+
+def _known(word: Column, found: Column) -> Column:
+    """The surrogate of a capitalised word if it is a name of the document."""
+    return F.coalesce(found[F.concat(F.lit("given:"), _name_key(word))], found[F.concat(F.lit("family:"), _name_key(word))])
+
+
+def _shaped(w: Column, s: Column) -> Column:
+    """A name's surrogate in the letter case of the word."""
+    first = lambda x: F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.substr(x, F.lit(2)))
+    lone = F.when(F.contains(s, F.lit("'")), F.concat(first(F.substring_index(s, "'", 1)), F.lit("'"), first(F.substring_index(s, "'", -1)))).otherwise(first(s))
+    return F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(s)).otherwise(lone)
 
 
 def has_pii(text: Column) -> Column:
@@ -281,7 +328,9 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = "tidemark")
     made = surrogates(parts.groupBy("kind", "canon").agg(F.min("gender").alias("gender")), key)
     each = parts.select("digest", "kind", "canon").distinct().join(made, ["kind", "canon"])
     maps = stash(each.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(":"), "canon").alias("k"), "sur"))).alias("found")), "replacements")
-    found, gaps = matches, F.split("text", ANY, -1)
+    gaps = F.split("text", WORDS_TOO, -1)
     pieces = F.zip_with(gaps, F.concat(F.transform("__m", lambda m: _written(m, F.col("found"))), F.array(F.lit(""))), lambda g, r: F.concat(g, r))
-    changed = with_pii.join(maps, "digest").withColumn("__m", found).select("row", F.array_join(pieces, "").alias("text"), F.size("__m").alias("n_entities"))
+    real = F.filter("__m", lambda m: (_kind(m) != "word") | _known(m, F.col("found")).isNotNull())
+    changed = with_pii.join(maps, "digest").withColumn("__m", F.regexp_extract_all("text", F.lit(WORDS_TOO), F.lit(0)))
+    changed = changed.select("row", F.array_join(pieces, "").alias("text"), F.size(real).alias("n_entities"))
     return rows.where(~has_pii(F.col("text"))).select("row", "text", F.lit(0).alias("n_entities")).unionByName(changed)
