@@ -43,7 +43,7 @@ from tidemark.llm.files import from_planes, get, pack_arrays, put, to_planes, un
 #: Bytes of a repeated string, and of the grams that anchor its windows.
 LENGTH, GRAM = 50, 24
 #: Text bytes of a shard, and of one suffix array; documents of a shard; anchors of a bucket.
-SHARD_BYTES, ARRAY_BYTES, SHARD_DOCS, BUCKET = 4 << 20, 4 << 20, 1 << 20, 1 << 19
+SHARD_BYTES, ARRAY_BYTES, SHARD_DOCS, BUCKET = 4 << 20, 1 << 20, 1 << 20, 1 << 19
 #: Runs that one anchor may have before its windows are dealt one by one.
 HOT = 1 << 16
 #: Windows handled at once, which bounds the memory of a task whatever a text's length.
@@ -184,7 +184,7 @@ def refine(data: np.ndarray, window: np.ndarray | None = None) -> tuple[np.ndarr
     sa = np.flatnonzero(need.pop())
     order = np.argsort(key[sa])
     sa, key = sa[order], key[sa[order]]
-    rank = np.full(n + LENGTH, -1, np.int64)  # of a suffix: the first slot of its group; past the end below all
+    rank = np.full(n + LENGTH, -1, np.int32 if n < 1 << 31 else np.int64)  # of a suffix: the first slot of its group; past the end below all
     at = np.arange(len(sa))
     rank[sa] = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0)) if n else at
     del key, order, at
@@ -196,7 +196,7 @@ def refine(data: np.ndarray, window: np.ndarray | None = None) -> tuple[np.ndarr
         if not len(slots):
             continue
         suffix, group = sa[slots], group[slots]
-        both = group * (n + 1) + rank[suffix + shift] + 1
+        both = group.astype(np.int64) * (n + 1) + rank[suffix + shift] + 1
         order = np.argsort(both)
         suffix, both = suffix[order], both[order]
         at = np.arange(len(slots))
@@ -205,7 +205,7 @@ def refine(data: np.ndarray, window: np.ndarray | None = None) -> tuple[np.ndarr
         sa[slots] = suffix
         rank[suffix] = group + sub - start
     ranks = rank[sa]
-    order = np.argsort(ranks * (n + 1) + sa)
+    order = np.argsort(ranks.astype(np.int64) * (n + 1) + sa)
     return sa[order], ranks[order]
 
 
@@ -218,7 +218,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, lanes: int = 16) -> np.nda
     """
     n = len(data)
     words = _words(np.concatenate([data, np.zeros(LENGTH + 16, np.uint8)]))
-    before, out = np.full(n, -2, np.int64), np.zeros(n, np.int64)
+    before, out = np.full(n, -2, np.int32 if n < 1 << 31 else np.int64), np.zeros(n, np.int8)
     before[sa[1:]] = sa[:-1]
     place = np.sort(sa[1:])
     turn = place % lanes
@@ -227,7 +227,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, lanes: int = 16) -> np.nda
     for lane in range(lanes):
         at = place[by[ends[lane] : ends[lane + 1]]]
         other = before[at]
-        have = np.where(before[at - 1] + 1 == other, np.maximum(out[at - 1] - 1, 0), 0) if lane else np.zeros(len(at), np.int64)
+        have = np.where(before[at - 1] + 1 == other, np.maximum(out[at - 1] - 1, 0), 0).astype(np.int64) if lane else np.zeros(len(at), np.int64)
         rest = np.arange(len(at))
         while len(rest):
             a, b, k = at[rest], other[rest], have[rest]
