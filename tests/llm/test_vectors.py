@@ -47,6 +47,30 @@ def test_exact_top_k(spark):
     assert sorted(map(tuple, got)) == want
 
 
+def test_pruned_segments_and_turns(spark, monkeypatch):
+    """Clustered ids, so that most segments are ruled out for most queries; every limit so small that all paths are taken."""
+    for name, n in (("TURN", 2), ("CHUNK", 2), ("SLICE", 2)):
+        monkeypatch.setattr(blockmax, name, n)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(y) for y in (i % 7 + 1) * rng.normal(size=6)]) for i in range(400)]
+    got = blockmax.top_k(table(spark, rows), F.col("id") % 20 == 0, k=5, block=8, segment=40, batch=3).collect()
+    want = best(usable(rows, True), 5, lambda a, b: sum(math.floor(64 * x) * math.floor(64 * y) for x, y in zip(a, b)))
+    assert sorted(map(tuple, got)) == want
+
+
+def test_wide_blocks_prune():
+    """Blocks are ruled out for values beyond doubles' exact sums too, and the result is that of whole numbers."""
+    x = np.sort(np.random.default_rng(3).integers(1, 1 << 40, (600, 1)), axis=0).astype(float) * np.ones((1, 3)) * 2.0**20
+    s = blockmax.Segment(np.arange(600), x, 20)
+    q = np.full((1, 3), 3.0 * 2**20)
+    place, score, scored = s.top(np.array([599]), q, 5)
+    whole = sorted(((-min((1 << 63) - 1, sum(int(v) * int(w) for v, w in zip(q[0], r))), j) for j, r in enumerate(x) if j != 599))[:5]
+    assert [(-int(a), int(b)) for a, b in zip(score[0], place[0])] == whole
+    small = blockmax.Segment(np.arange(600), x / 2.0**20 * 8, 20)
+    place, score, scored = small.top(np.array([-1]), np.full((1, 3), 2.0**12 + 1), 5)
+    assert blockmax.wide(np.full((1, 3), 2.0**12 + 1), small.x) and scored <= 3 and place[0].tolist() == [599, 598, 597, 596, 595]
+
+
 def test_block_bounds_prune():
     rng = np.random.default_rng(2)
     x = np.sort(rng.integers(0, 50, (4000, 1)), axis=0) * np.ones((1, 4))
