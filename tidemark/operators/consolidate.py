@@ -15,6 +15,10 @@ from tidemark.operators import temporal
 from tidemark.operators.ordered import fold
 
 
+#: What a claim takes over from the episode that speaks for it.
+LINK = ("ts", "fact_subject", "fact_predicate", "fact_object")
+
+
 def _fact_keys(episodes: DataFrame) -> DataFrame:
     return episodes.withColumns({k: normalize(F.col(c)) for k, c in (("s_key", "fact_subject"), ("p_key", "fact_predicate"), ("o_key", "fact_object"))})
 
@@ -26,6 +30,19 @@ def prune_outdated(episodes: DataFrame, versions: DataFrame) -> DataFrame:
     return linked.join(now, [*temporal.KEY, "o_key"], "left_semi").select(*episodes.columns)
 
 
+def consolidated(episodes: DataFrame, versions: DataFrame, embedding: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(claims, absorbed): what stands for several episodes from now on, and the episodes (namespace, id) that no longer stand for
+    themselves: those merged, and those that state what is no longer so."""
+    kept = prune_outdated(episodes, versions)
+    linked = episodes.where(F.col("fact_predicate").isNotNull()).select("namespace", "id")
+    free = episodes.where(F.col("fact_predicate").isNull())
+    clusters = leader_clusters(free.select("namespace", "ts", "id", embedding.alias("embedding")), threshold)
+    claims = merge_same_fact(kept).unionByName(merge_clusters(free, clusters))
+    merged = claims.select("namespace", F.explode("supports").alias("id"))
+    outdated = linked.join(kept.select("namespace", "id"), ["namespace", "id"], "left_anti")
+    return claims, merged.unionByName(outdated).distinct()
+
+
 def _representative(*cols: str) -> list[Column]:
     best = F.struct(-F.col("support_count"), F.col("id"))
     return [F.min_by(c, best).alias(c) for c in cols]
@@ -34,14 +51,15 @@ def _representative(*cols: str) -> list[Column]:
 def merge_same_fact(episodes: DataFrame) -> DataFrame:
     """Claims of current fact-linked episodes: one per key that several assert, in the words of the best supported.
 
-    (namespace, content, support_count, last_seen_ts, supports, entities); keys with one episode are no claims.
+    (namespace, content, support_count, last_seen_ts, supports, entities, and the ts and fact of the best supported); keys with one
+    episode are no claims.
     """
     rows = _fact_keys(episodes).groupBy("namespace", "s_key", "p_key")
     claims = rows.agg(
-        *_representative("content"), F.sum("support_count").alias("support"), F.max("last_seen_ts").alias("last_seen_ts"),
+        *_representative("content", *LINK), F.sum("support_count").alias("support"), F.max("last_seen_ts").alias("last_seen_ts"),
         F.array_sort(F.collect_list("id")).alias("supports"), F.array_sort(F.collect_set("fact_subject")).alias("entities"),
     ).where(F.size("supports") > 1)
-    return claims.select("namespace", "content", F.col("support").alias("support_count"), "last_seen_ts", "supports", "entities")
+    return claims.select("namespace", "content", F.col("support").alias("support_count"), "last_seen_ts", "supports", "entities", *LINK)
 
 
 def leader_clusters(rows: DataFrame, threshold: float) -> DataFrame:
@@ -73,9 +91,9 @@ def leader_clusters(rows: DataFrame, threshold: float) -> DataFrame:
 
 def merge_clusters(episodes: DataFrame, clusters: DataFrame) -> DataFrame:
     """Claims of free-text episodes that share a leader, like merge_same_fact."""
-    rows = episodes.join(clusters.select("id", "leader"), "id").groupBy("namespace", "leader")
-    claims = rows.agg(*_representative("content"), F.sum("support_count").alias("support"), F.max("last_seen_ts").alias("last_seen_ts"), F.array_sort(F.collect_list("id")).alias("supports"))
-    return claims.where(F.size("supports") > 1).select("namespace", "content", F.col("support").alias("support_count"), "last_seen_ts", "supports")
+    rows = episodes.join(clusters.select("namespace", "id", "leader"), ["namespace", "id"]).groupBy("namespace", "leader")
+    claims = rows.agg(*_representative("content", *LINK), F.sum("support_count").alias("support"), F.max("last_seen_ts").alias("last_seen_ts"), F.array_sort(F.collect_list("id")).alias("supports"))
+    return claims.where(F.size("supports") > 1).select("namespace", "content", F.col("support").alias("support_count"), "last_seen_ts", "supports", F.array().cast("array<string>").alias("entities"), *LINK)
 
 
 def summarise(claims: DataFrame, completions: DataFrame) -> DataFrame:

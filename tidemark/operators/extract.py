@@ -87,10 +87,27 @@ def _bounded(facts: DataFrame) -> DataFrame:
     return first.withColumn("n", F.row_number().over(W.partitionBy("text_id").orderBy("clause_no"))).where(F.col("n") <= MAX_FACTS).drop("n")
 
 
+def _plain(texts: DataFrame, preferences: bool = False) -> DataFrame:
+    return _bounded(split_clauses(texts).withColumn("fact", parse_clause(F.col("clause"), preferences)).where("fact IS NOT NULL"))
+
+
 def extract(texts: DataFrame, preferences: bool = False) -> DataFrame:
     """(text_id, clause_no, subject, predicate, object) of texts (text_id, text[, speaker]), clause by clause."""
-    facts = split_clauses(texts).withColumn("fact", parse_clause(F.col("clause"), preferences)).where("fact IS NOT NULL")
-    return _bounded(facts).select("text_id", "clause_no", "fact.*")
+    return _plain(texts, preferences).select("text_id", "clause_no", "fact.*")
+
+
+def read(texts: DataFrame, reading: str = "plain", preferences: bool = False, dates: bool = False) -> DataFrame:
+    """(namespace, text_id, ts, clause_no, subject, predicate, object, valid_from) of texts (namespace, text_id, ts, speaker, text).
+
+    reading: "plain", "pronouns", "ellipsis" or "definite"; a text of several namespaces' ids is told apart by both. valid_from is the text's
+    time or, with dates, the time that a clause states.
+    """
+    keyed = texts.withColumn("__id", F.col("text_id")).withColumn("text_id", F.struct("namespace", "text_id"))
+    ways = {"plain": lambda: _plain(keyed, preferences), "pronouns": lambda: _resolved(keyed, False, preferences), "ellipsis": lambda: _resolved(keyed, True, preferences), "definite": lambda: _definite(keyed, preferences)}
+    facts = ways[reading]().withColumn("clause", F.col("resolved") if reading in ("pronouns", "ellipsis") else F.col("clause"))
+    facts = facts.select("namespace", F.col("__id").alias("text_id"), "ts", "clause_no", "clause", "fact.*")
+    facts = date_facts(facts) if dates else facts.withColumn("valid_from", F.col("ts"))
+    return facts.drop("clause")
 
 
 def extract_with_pronouns(texts: DataFrame, ellipsis: bool = False) -> DataFrame:
@@ -100,7 +117,11 @@ def extract_with_pronouns(texts: DataFrame, ellipsis: bool = False) -> DataFrame
     namespace; a clause that resolves to it feeds the same name, so one pass over the order is enough. With ellipsis, clauses
     without a subject that start with a known verb take it too.
     """
-    rows = split_clauses(texts).withColumn("fact", parse_clause(F.col("clause")))
+    return _resolved(texts, ellipsis).select("namespace", "text_id", "clause_no", "fact.*", "resolved")
+
+
+def _resolved(texts: DataFrame, ellipsis: bool, preferences: bool = False) -> DataFrame:
+    rows = split_clauses(texts).withColumn("fact", parse_clause(F.col("clause"), preferences))
     order = W.partitionBy("namespace").orderBy("ts", "text_id", "clause_no").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("last", F.last("fact.subject", ignorenulls=True).over(order))
     clause, last = F.col("clause"), F.col("last")
@@ -109,8 +130,8 @@ def extract_with_pronouns(texts: DataFrame, ellipsis: bool = False) -> DataFrame
     if ellipsis:
         bare = F.ltrim(clause)
         new = F.coalesce(new, F.when(last.isNotNull() & clause.rlike(ELLIPSIS), F.concat(last, F.lit(" "), F.lower(F.substring(bare, 1, 1)), F.substr(bare, F.lit(2)))))
-    rows = rows.withColumn("resolved", F.coalesce(new, clause)).withColumn("fact", F.when(new.isNotNull(), parse_clause(F.col("resolved"))).otherwise(F.col("fact")))
-    return _bounded(rows.where("fact IS NOT NULL")).select("namespace", "text_id", "clause_no", "fact.*", "resolved")
+    rows = rows.withColumn("resolved", F.coalesce(new, clause)).withColumn("fact", F.when(new.isNotNull(), parse_clause(F.col("resolved"), preferences)).otherwise(F.col("fact")))
+    return _bounded(rows.where("fact IS NOT NULL"))
 
 
 def resolve_definite(clause: Column, holder: Column) -> Column:
@@ -130,10 +151,14 @@ def extract_definite(texts: DataFrame) -> DataFrame:
     does not depend on who the holder is but for the subject, so both readings are parsed first, and one pass over the clauses
     that name or give a role, in order, finds the holders. Its state is a role for each subject of a namespace.
     """
+    return _definite(texts).select("namespace", "text_id", "clause_no", "fact.*")
+
+
+def _definite(texts: DataFrame, preferences: bool = False) -> DataFrame:
     somebody = "Xholder"
     clause = F.col("clause")
-    rows = split_clauses(texts).withColumns({"noun": definite_role(clause), "plain": parse_clause(clause)})
-    rows = rows.withColumn("told", F.when(F.col("noun") != "", parse_clause(resolve_definite(clause, F.lit(somebody)))))
+    rows = split_clauses(texts).withColumns({"noun": definite_role(clause), "plain": parse_clause(clause, preferences)})
+    rows = rows.withColumn("told", F.when(F.col("noun") != "", parse_clause(resolve_definite(clause, F.lit(somebody)), preferences)))
     said = [F.col(f"{w}.{c}").alias(f"{w}_{c}") for w in ("plain", "told") for c in ("subject", "predicate")]
     keys = [normalize(F.col(f"{w}.{c}")).alias(f"{w}_{k}") for w in ("plain", "told") for c, k in (("subject", "s_key"), ("object", "o_key"))]
     role = (F.col("plain.predicate") == "role") | (F.col("noun") != "")
@@ -160,7 +185,7 @@ def extract_definite(texts: DataFrame) -> DataFrame:
     out = rows.join(found, ["namespace", "text_id", "clause_no"], "left")
     told = F.when(F.col("told").isNotNull(), _fact(F.when(F.col("told.subject") == somebody, F.col("holder")).otherwise(F.col("told.subject")), F.col("told.predicate"), F.col("told.object")))
     facts = out.withColumn("fact", F.when(F.col("holder").isNotNull(), told).otherwise(F.col("plain"))).where("fact IS NOT NULL").drop("plain", "told", "holder", "noun")
-    return _bounded(facts).select("namespace", "text_id", "clause_no", "fact.*")
+    return _bounded(facts)
 
 
 def date_facts(facts: DataFrame, clause: str = "clause", ts: str = "ts") -> DataFrame:

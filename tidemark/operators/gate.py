@@ -48,7 +48,8 @@ def gate_vectors(stream: DataFrame, config: GateConfig | None = None) -> DataFra
     """stream (namespace, ts, id, embedding) gated by novelty against what was stored before: decision, novelty, target.
 
     novelty is one less the highest cosine to a stored record, in [0, 1], and 1 for a zero vector or an empty store; target is
-    the stored record that a reinforced one is nearest to. What is held per namespace is what the gate stores.
+    the stored record that a reinforced one is nearest to. A column surprise, if there is one, raises novelty to itself. What is
+    held per namespace is what the gate stores.
     """
     config = config or GateConfig()
 
@@ -65,7 +66,7 @@ def gate_vectors(stream: DataFrame, config: GateConfig | None = None) -> DataFra
                 sims = s["x"][: s["n"]] @ v
                 best = int(sims.argmax())
                 target, novelty = s["ids"][best], 1.0 - min(1.0, max(0.0, float(sims[best])))
-        got = decide(s, config, novelty, bool(row.get("contradiction")))
+        got = decide(s, config, max(novelty, row.get("surprise") or 0.0), bool(row.get("contradiction")))
         if got["decision"] == "stored" and length > 0:
             if s["x"] is None:
                 s["x"] = np.zeros((64, len(v)))

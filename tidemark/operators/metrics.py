@@ -33,6 +33,15 @@ def write_metrics(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("namespace").agg(F.count("*").alias("writes"), *n.values(), F.avg((F.col("decision") == "discarded").cast("int")).alias("discard_rate"))
 
 
+def operations(decisions: DataFrame, records: DataFrame, versions: DataFrame, served: DataFrame | None = None) -> DataFrame:
+    """write_metrics with store_size and structured_facts and, given the contexts served (namespace, tokens), queries and their average tokens."""
+    out = write_metrics(decisions).join(records.groupBy("namespace").agg(F.count("*").alias("store_size")), "namespace", "full")
+    out = out.join(versions.groupBy("namespace").agg(F.count("*").alias("structured_facts")), "namespace", "full")
+    if served is not None:
+        out = out.join(served.groupBy("namespace").agg(F.count("*").alias("queries"), F.avg("tokens").alias("avg_context_tokens")), "namespace", "full")
+    return out.na.fill(0)
+
+
 def cost(embed_tokens: Column, served_tokens: Column, extract_calls: Column, prices: Pricing | None = None) -> Column:
     p = prices or Pricing()
     return embed_tokens / 1000.0 * p.embed_per_1k + served_tokens / 1000.0 * p.serve_per_1k + extract_calls * p.extract_call
@@ -69,11 +78,14 @@ def read_answers(contexts: DataFrame, probes: DataFrame) -> DataFrame:
     return hits.withColumn("n", rank).where("n = 1").select("query_id", F.col("candidate").alias("answer"))
 
 
-def harness_scores(results: DataFrame) -> DataFrame:
+def harness_scores(results: DataFrame, stored: float | None = None, written: float | None = None) -> DataFrame:
     """(category, probes, score) of results (category, gold, stale, answer, served_tokens): accuracy, for C2 not counting stale
-    answers, for C3 less half of the tokens relative to the most of any category."""
+    answers, for C3 less half of the tokens relative to the most of any category, for C4 less the share of what was written that
+    the store holds, where both numbers are given."""
     right = F.coalesce(F.lower("answer") == F.lower("gold"), F.lit(False)) & ~F.coalesce(F.lower("answer") == F.lower("stale"), F.lit(False))
     per = results.groupBy("category").agg(F.count("*").alias("probes"), F.avg(right.cast("int")).alias("accuracy"), F.avg("served_tokens").alias("tokens"))
     worst = results.groupBy("category").agg(F.avg("served_tokens").alias("t")).agg(F.max("t").alias("worst"))
     x = per.join(F.broadcast(worst))  # one row
-    return x.select("category", "probes", F.when(F.col("category") == "C3", F.col("accuracy") - 0.5 * F.col("tokens") / F.greatest("worst", F.lit(1.0))).otherwise(F.col("accuracy")).alias("score"))
+    size = stored / max(1.0, written) if stored is not None and written is not None else 0.0
+    score = F.when(F.col("category") == "C3", F.col("accuracy") - 0.5 * F.col("tokens") / F.greatest("worst", F.lit(1.0))).when(F.col("category") == "C4", F.col("accuracy") - size)
+    return x.select("category", "probes", score.otherwise(F.col("accuracy")).alias("score"))

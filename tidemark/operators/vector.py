@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,52 +14,97 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import normalize, tokenize
 
-#: Queries that are sent to every task at once; more are answered in turns of this many.
-QUERY_BATCH = 2_048
+#: Queries that a task holds at once, and records that one block of more queries than that streams past.
+QUERY_BATCH, SHARE = 2_048, 1 << 20
 W_SEM = W_LEX = 0.5
 
 
-def knn(records: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", causal: bool = False) -> DataFrame:
-    """(query_id, rank, id, score): the k records of highest cosine for every query (query_id, vector[, ts]), ties by id.
+def knn(records: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", causal: bool = False, newest: bool = False) -> DataFrame:
+    """(query_id, rank, id, score): the k records of highest cosine for every query (query_id, vector[, ts]), ties by id or, with
+    newest, to the latest ts and then the greatest id.
 
-    Records stream through in batches; a batch gives each query's best k, which are merged. With causal, only records whose
-    ts is not after the query's count. Scores are rounded to six places before they are ranked. Zero vectors score 0.
+    Up to QUERY_BATCH queries go to every task, past which records stream; more meet the records block by block (see `_blocks`).
+    A batch of records gives each query's best k, which are merged. With causal, only records whose ts is not after the query's
+    count. Scores are rounded to six places before they are ranked. Zero vectors score 0.
     """
-    cols = ["query_id", "vector"] + (["ts"] if causal else [])
-    asked = queries.select(*cols).orderBy("query_id")
-    total = asked.count()
-    if total > QUERY_BATCH:
-        turns = asked.withColumn("turn", F.floor((F.row_number().over(W.orderBy("query_id")) - 1) / QUERY_BATCH)).persist()
-        parts = [knn(records, turns.where(F.col("turn") == t), k, id_col, vector_col, causal) for t in range(-(-total // QUERY_BATCH))]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    rows = asked.collect()  # at most QUERY_BATCH
-    q = _unit(np.array([r["vector"] for r in rows], float)) if rows else np.zeros((0, 1))
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    when = np.array([r["ts"] for r in rows], float) if causal else None
-    sent = records.sparkSession.sparkContext.broadcast((ids, q, when))
+    timed = causal or newest
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("v"), (F.col("ts").cast("double") if causal else F.lit(0.0)).alias("ts"))
+    source = records.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), (F.col("ts").cast("double") if timed else F.lit(0.0)).alias("ts")).where("id IS NOT NULL AND v IS NOT NULL")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, m, at = sent.value
+    def score(q: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
+        s = np.round(_unit(np.array(q["v"], float)) @ _unit(np.array(b["v"], float)).T, 6) + 0.0
+        if causal:
+            s[np.asarray(q["ts"])[:, None] < np.asarray(b["ts"])[None, :]] = -np.inf
+        return s, np.asarray(b["ts"])
+
+    found = _past(source, asked, score, k, newest)
+    order = [F.col("score").desc(), F.col("ts").desc(), F.col("id").desc()] if newest else [F.col("score").desc(), "id"]
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _past(records: DataFrame, queries: DataFrame, score: Callable[[dict, dict], tuple[np.ndarray, np.ndarray]], k: int, newest: bool = False) -> DataFrame:
+    """(query_id, id, score, ts): for each batch of records (id, ...) that streams past a block of queries (query_id, ...), each query's best k.
+
+    score: scores of queries by records, both as columns of lists by name, -inf for those that do not count, and the records' times.
+    """
+    names, asks = records.columns, queries.columns
+
+    def best(q: dict, b: dict) -> pa.RecordBatch:
+        s, ts = score(q, b)
+        key, qid = np.asarray(b["id"], np.int64), np.asarray(q["query_id"], np.int64)
+        ties = (np.broadcast_to(-key, s.shape), np.broadcast_to(-ts, s.shape)) if newest else (np.broadcast_to(key, s.shape),)
+        top = np.lexsort((*ties, -s), axis=1)[:, :k]
+        value = np.take_along_axis(s, top, axis=1)
+        ok = ~np.isneginf(value)
+        return pa.record_batch([pa.array(np.broadcast_to(qid[:, None], top.shape)[ok]), pa.array(key[top][ok]), pa.array(value[ok]), pa.array(ts[top][ok])], names=["query_id", "id", "score", "ts"])
+
+    def parts(b: pa.RecordBatch) -> Iterator[dict]:
+        for at in range(0, b.num_rows, 2_048):
+            yield {n: b.column(n).slice(at, 2_048).to_pylist() for n in names}
+
+    ddl = "query_id long, id long, score double, ts double"
+    head = queries.limit(QUERY_BATCH + 1).collect()  # at most one more than a block
+    if len(head) <= QUERY_BATCH:
+        sent = records.sparkSession.sparkContext.broadcast({c: [r[c] for r in head] for c in asks})
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for x in parts(b) if sent.value["query_id"] else ():
+                    yield best(sent.value, x)
+
+        return records.mapInArrow(stream, ddl)
+    return _blocks(records, queries, parts, best, ddl)
+
+
+def _blocks(records: DataFrame, queries: DataFrame, parts: Callable, best: Callable, ddl: str) -> DataFrame:
+    """All blocks of queries past all parts of the records, for any number of either: a grid of tasks, each of which holds one
+    block of queries and lets its part of the records stream past. Rows are dealt by a hash of the id, so no counting window and
+    no loop on the driver is needed. A part has SHARE records, which bounds how often a query is copied."""
+    spread = [max(1, -(-df.count() // most)) for df, most in ((queries, QUERY_BATCH), (records, SHARE))]
+    asks, names = queries.columns, records.columns
+    both = lambda df, kind, mine, other: df.select(F.struct(*df.columns).alias(kind), *(F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int").alias(c) if c == mine else F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c) for c, n in zip(("block", "part"), spread)))
+    q = both(queries, "q", "block", "part").withColumn("r", F.lit(None).cast(records.select(F.struct(*names)).schema[0].dataType))
+    r = both(records, "r", "part", "block").withColumn("q", F.lit(None).cast(queries.select(F.struct(*asks)).schema[0].dataType))
+    cells = q.unionByName(r).withColumn("late", F.col("r").isNotNull()).repartition("block", "part").sortWithinPartitions("block", "part", "late").select("block", "part", "q", "r")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {c: [] for c in asks}
         for b in batches:
-            if not b.num_rows or not len(qid):
-                continue
-            key = np.asarray(b.column(0))
-            x = _unit(np.asarray(b.column(1).flatten()).astype(float).reshape(b.num_rows, -1))
-            s = np.round(m @ x.T, 6) + 0.0
-            if at is not None:
-                s[at[:, None] < np.asarray(b.column(2))[None, :]] = -np.inf
-            best = np.lexsort((np.broadcast_to(key, s.shape), -s), axis=1)[:, :k]
-            score = np.take_along_axis(s, best, axis=1)
-            ok = ~np.isneginf(score)
-            yield pa.record_batch([pa.array(np.broadcast_to(qid[:, None], best.shape)[ok]), pa.array(key[best][ok]), pa.array(score[ok])], names=["query_id", "id", "score"])
-
-    source = records.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), *([F.col("ts").cast("double")] if causal else [])).where("id IS NOT NULL AND v IS NOT NULL")
-    found = source.mapInArrow(run, "query_id long, id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+            cell = np.asarray(b.column(0)).astype(np.int64) << 32 | np.asarray(b.column(1))
+            cut = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else cell
+            for lo, hi in zip(cut, np.r_[cut[1:], len(cell)]):
+                if cell[lo] != at:
+                    at, held = cell[lo], {c: [] for c in asks}
+                x = b.slice(lo, hi - lo)
+                mine = x.filter(x.column(2).is_valid()).column(2)
+                for c in asks:
+                    held[c] += mine.field(c).to_pylist() if len(mine) else []
+                rest = x.filter(x.column(3).is_valid()).column(3)
+                if len(rest) and held["query_id"]:
+                    for part in parts(pa.RecordBatch.from_struct_array(rest)):
+                        yield best(held, part)
+
+    return cells.mapInArrow(stream, ddl)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -86,56 +131,36 @@ def hybrid(records: DataFrame, questions: DataFrame, k: int, dims: int = 256) ->
 
     The score is half the cosine of hashed token counts and half the overlap of token sets, rounded to six places; records that
     share neither a hash bucket nor a token with the question do not count. If both sides have a namespace, it must be the same.
-    Records stream through once and only a batch's best per question leave it; questions go in turns of QUERY_BATCH.
+    Records stream past blocks of questions, as in knn, and only a batch's best per question leave it.
     """
     tenants = "namespace" in records.columns and "namespace" in questions.columns
     extra = ["namespace"] if tenants else []
-    asked = questions.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("set"), tokenize(F.col("text")).alias("all"), *extra).orderBy("query_id")
-    total = asked.count()
-    if total > QUERY_BATCH:
-        turns = questions.withColumn("turn", F.floor((F.row_number().over(W.orderBy("query_id")) - 1) / QUERY_BATCH)).persist()
-        parts = [hybrid(records, turns.where(F.col("turn") == t), k, dims) for t in range(-(-total // QUERY_BATCH))]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    rows = asked.collect()  # at most QUERY_BATCH
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    vocabulary = {t: n for n, t in enumerate(sorted({t for r in rows for t in r["set"]}))}
-    has = np.zeros((len(rows), max(1, len(vocabulary))), np.float32)
-    for n, r in enumerate(rows):
-        has[n, [vocabulary[t] for t in r["set"]]] = 1
-    vec = _counts([r["all"] for r in rows], dims)
-    sent = records.sparkSession.sparkContext.broadcast((ids, vocabulary, has, vec, [r["namespace"] for r in rows] if tenants else None))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, words, q_has, q_vec, spaces = sent.value
-        size = q_has.sum(axis=1)[:, None]
-        for whole in batches:
-            for at in range(0, whole.num_rows if len(qid) else 0, 2_048):
-                b = whole.slice(at, 2_048)
-                key, lists = np.asarray(b.column(0)), b.column(1).to_pylist()
-                mine = np.zeros((b.num_rows, q_has.shape[1]), np.float32)
-                n = np.zeros(b.num_rows)
-                for i, ts in enumerate(lists):
-                    distinct = set(ts)
-                    n[i] = len(distinct)
-                    mine[i, [words[t] for t in distinct if t in words]] = 1
-                vec = _counts(lists, dims)
-                both = (q_has @ mine.T).astype(float)
-                union = size + n[None, :] - both
-                lex = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
-                shared = ((q_vec != 0).astype(np.float32) @ (vec != 0).T.astype(np.float32) > 0) | (both > 0)
-                s = np.where(shared, np.round(W_SEM * (_unit(q_vec) @ _unit(vec).T) + W_LEX * lex, 6) + 0.0, -np.inf)
-                if spaces is not None:
-                    s[np.array(spaces, object)[:, None] != np.array(b.column(2).to_pylist(), object)[None, :]] = -np.inf
-                best = np.lexsort((np.broadcast_to(key, s.shape), -s), axis=1)[:, :k]
-                score = np.take_along_axis(s, best, axis=1)
-                ok = ~np.isneginf(score)
-                yield pa.record_batch([pa.array(np.broadcast_to(qid[:, None], best.shape)[ok]), pa.array(key[best][ok]), pa.array(score[ok])], names=["query_id", "id", "score"])
-
+    asked = questions.select("query_id", tokenize(F.col("text")).alias("tokens"), *extra)
     source = records.select(F.col("id").cast("long").alias("id"), tokenize(F.col("text")).alias("tokens"), *extra).where("id IS NOT NULL")
-    return top(source.mapInArrow(run, "query_id long, id long, score double"), k).select("query_id", "rank", "id", "score")
+
+    def score(q: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
+        place: dict[str, int] = {}  # words of this part of the records, so the matrices are bounded by its texts
+        mine = [sorted({place.setdefault(t, len(place)) for t in ts}) for ts in b["tokens"]]
+        theirs = [{t for t in ts} for ts in q["tokens"]]
+        both = np.zeros((len(theirs), len(mine)))
+        holders: dict[int, list[int]] = {}
+        for i, ws in enumerate(mine):
+            for w in ws:
+                holders.setdefault(w, []).append(i)
+        for n, words in enumerate(theirs):
+            for t in words:
+                if t in place:
+                    both[n, holders[place[t]]] += 1
+        union = np.array([len(w) for w in theirs])[:, None] + np.array([len(w) for w in mine])[None, :] - both
+        lex = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+        q_vec, vec = _counts(q["tokens"], dims), _counts(b["tokens"], dims)
+        shared = ((q_vec != 0).astype(np.float32) @ (vec != 0).T.astype(np.float32) > 0) | (both > 0)
+        s = np.where(shared, np.round(W_SEM * (_unit(q_vec) @ _unit(vec).T) + W_LEX * lex, 6) + 0.0, -np.inf)
+        if tenants:
+            s[np.array(q["namespace"], object)[:, None] != np.array(b["namespace"], object)[None, :]] = -np.inf
+        return s, np.zeros(len(mine))
+
+    return top(_past(source, asked, score, k), k).select("query_id", "rank", "id", "score")
 
 
 def _counts(lists: list[list[str]], dims: int) -> np.ndarray:
@@ -152,6 +177,18 @@ def _counts(lists: list[list[str]], dims: int) -> np.ndarray:
     return out
 
 
+def embed_text(text: Column, dims: int = 256) -> Column:
+    """The dense unit vector of a text's signed hashed token counts, all zeros without tokens; in Arrow batches."""
+    from pyspark.sql.pandas.functions import ArrowUDFType
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for p in parts:
+            x = _unit(_counts(p.to_pylist(), dims))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dims), pa.array(x.ravel()))
+
+    return F.arrow_udf(run, "array<double>", ArrowUDFType.SCALAR_ITER)(tokenize(text))
+
+
 def top(found: DataFrame, k: int, score: str = "score", places: int = 6) -> DataFrame:
     """The k best per query_id by the rounded score, ties by id."""
     out = found.withColumn(score, F.round(score, places))

@@ -647,7 +647,7 @@ def growth_curve(spark, sf):
 
 @register
 def baseline_naive(spark, sf):
-    return vector.knn(fx.table(spark, sf, "embeddings").withColumn("ts", F.col("vec_id").cast("double")), _asked_vectors(spark, sf).withColumn("ts", F.col("ts") + 250.0), 4, causal=True)
+    return vector.knn(fx.table(spark, sf, "embeddings").withColumn("ts", F.col("vec_id").cast("double")), _asked_vectors(spark, sf).withColumn("ts", F.col("ts") + 250.0), 4, causal=True, newest=True)
 
 
 @register

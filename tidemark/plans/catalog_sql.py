@@ -137,10 +137,10 @@ fused AS (SELECT query_id, h.id, text, round(score + 0.5 * pow(0.5, greatest(0,
 _KNN = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
-def _knn(k: int, where: str = "true", extra: str = "true") -> str:
+def _knn(k: int, where: str = "true", extra: str = "true", ties: str = "id") -> str:
     return f"""
 WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({_KNN}, 6) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND {extra} WHERE {where}),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {ties})::INTEGER AS rank FROM s)
 SELECT query_id, rank, id, score FROM r WHERE rank <= {k}"""
 
 
@@ -298,6 +298,26 @@ g AS (SELECT namespace, 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::VARCHAR AS de
     least(0.95, greatest(0.35, g.nxt + 0.05::DOUBLE * ((g.stored + (c OR novelty >= g.nxt)::INT) / s.rn - 0.2::DOUBLE))), g.stored + (c OR novelty >= g.nxt)::INT
     FROM g JOIN s ON s.namespace = g.namespace AND s.rn = g.rn + 1)
 SELECT namespace, id, decision, round(theta, 9) AS theta FROM g WHERE rn > 0""",
+    "ingest_receipts": f"""
+WITH RECURSIVE {_EV}, {_OBS}, good AS (SELECT * FROM ob WHERE problem IS NULL),
+flags AS (SELECT id, coalesce(lag(object) OVER (PARTITION BY namespace, subject ORDER BY created_at, id) <> object, false) AS c FROM good WHERE has),
+s AS (SELECT namespace, id, {_hash("(subject || ' is ' || object)")} % 1000 / 1000.0::DOUBLE AS novelty, coalesce(c, false) AS c,
+    row_number() OVER (PARTITION BY namespace ORDER BY created_at, id) AS rn FROM good LEFT JOIN flags USING (id)),
+g AS (SELECT namespace, 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::VARCHAR AS decision, NULL::BOOLEAN AS contradiction, 0.5::DOUBLE AS nxt, 0::BIGINT AS stored FROM (SELECT DISTINCT namespace FROM s)
+  UNION ALL SELECT s.namespace, s.rn, s.id, CASE WHEN c OR novelty >= g.nxt THEN 'stored' WHEN 1 - novelty >= 0.7 THEN 'reinforced' ELSE 'discarded' END, c,
+    least(0.95, greatest(0.35, g.nxt + 0.05::DOUBLE * ((g.stored + (c OR novelty >= g.nxt)::INT) / s.rn - 0.2::DOUBLE))), g.stored + (c OR novelty >= g.nxt)::INT
+    FROM g JOIN s ON s.namespace = g.namespace AND s.rn = g.rn + 1)
+SELECT namespace, id, decision, contradiction FROM g WHERE rn > 0""",
+    "novelty": """
+WITH RECURSIVE s AS (SELECT 'l' || label AS namespace, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, embedding FROM embeddings),
+sims AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM s a JOIN s b ON a.namespace = b.namespace AND b.rn < a.rn),
+g AS (SELECT namespace, 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::DOUBLE AS novelty, NULL::BIGINT AS target, 0.5::DOUBLE AS theta, 0.5::DOUBLE AS nxt, 0::BIGINT AS stored, []::BIGINT[] AS ids FROM (SELECT DISTINCT namespace FROM s)
+  UNION ALL SELECT namespace, rn, id, novelty, target, nxt, least(0.95, greatest(0.35, nxt + 0.05::DOUBLE * ((stored + (novelty >= nxt)::INT) / rn - 0.2::DOUBLE))), stored + (novelty >= nxt)::INT,
+    CASE WHEN novelty >= nxt THEN list_append(ids, id) ELSE ids END FROM (
+    SELECT s.namespace, s.rn, s.id, g.nxt, g.stored, any_value(g.ids) AS ids, coalesce(1 - least(1.0, greatest(0.0, max(sim))), 1.0) AS novelty, arg_max(b, sim) AS target
+    FROM g JOIN s ON s.namespace = g.namespace AND s.rn = g.rn + 1 LEFT JOIN sims ON sims.a = s.id AND list_contains(g.ids, sims.b) GROUP BY ALL))
+SELECT namespace, id, CASE WHEN novelty >= theta THEN 'stored' WHEN 1 - novelty >= 0.7 THEN 'reinforced' ELSE 'discarded' END AS decision, round(novelty, 6) AS novelty,
+  CASE WHEN novelty < theta AND 1 - novelty >= 0.7 THEN target END AS target FROM g WHERE rn > 0""",
     "reinforcement": f"WITH {_DEC} SELECT namespace, CASE WHEN decision = 'reinforced' THEN target ELSE id END AS id, count(*) AS support_count, max(ts) AS last_seen_ts FROM dec WHERE decision <> 'discarded' GROUP BY namespace, 2",
     "predictive_surprise": "SELECT event_id, round(greatest(0.2, 1 - exp(avg(-((event_id + i) % 7) / 4.0))), 6) AS surprise FROM events, range(1, 6) r(i) WHERE i <= event_id % 5 + 1 AND i % 3 <> 0 GROUP BY event_id",
     "session_first_ts": f"WITH {_TURNS} SELECT namespace, CAST(substr(session_id, 2) AS INTEGER) AS session_no, min(ts) AS ts FROM turns GROUP BY ALL",
@@ -350,7 +370,7 @@ round(avg((decision = 'discarded')::INT), 9) AS discard_rate FROM dec GROUP BY n
     "pricing": f"SELECT conv_id, round(sum({_count('text')}) / 1000.0::DOUBLE * 0.0001::DOUBLE + sum({_count('text')}) / 4.0::DOUBLE / 1000.0::DOUBLE * 0.0025::DOUBLE + count(*) * 0.001::DOUBLE, 9) AS cost FROM conversations GROUP BY conv_id",
     "growth_curve": f"""WITH {_DEC}, g AS (SELECT id, count(*) OVER w AS seen, sum((decision = 'stored')::INT) OVER w AS st FROM dec WINDOW w AS (PARTITION BY namespace ORDER BY ts, id ROWS UNBOUNDED PRECEDING))
 SELECT id, seen, st::BIGINT AS stored_so_far, round(st / seen, 9) AS ratio FROM g""",
-    "baseline_naive": _knn(4, "e.vec_id <= q.vec_id + 250"),
+    "baseline_naive": _knn(4, "e.vec_id <= q.vec_id + 250", ties="id DESC"),
     "baseline_long_context": f"""WITH {_TURNS}, c AS (SELECT namespace, id, {_count('text')} AS tokens, sum({_count('text')}) OVER (PARTITION BY namespace ORDER BY ts DESC, id DESC ROWS UNBOUNDED PRECEDING) AS used FROM turns)
 SELECT namespace, id, tokens::INTEGER AS tokens FROM c WHERE used <= 800""",
     "reader": f"WITH {_PROBES} SELECT query_id, answer FROM answers",
