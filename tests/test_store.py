@@ -161,6 +161,53 @@ def test_short_snapshot_is_refused(spark, tmp_path):
         store.check_vectors(spark.createDataFrame([([1.0],)], "embedding array<double>"), 2).collect()
 
 
+@pytest.mark.parametrize("text", ["not json", "[]", '{"format": 1}', '{"format": 1, "version": "2", "tables": {}, "settings": {}}', '{"format": 1, "version": 2, "tables": [], "settings": {}}', '{"format": 1, "version": 2, "tables": {"log": {"rows": "x", "schema": {}}}, "settings": {}}', '{"format": 1, "version": 2, "tables": {"log": 5}, "settings": {}}'])
+def test_hostile_manifests_are_refused(spark, tmp_path, text):
+    s = store.SnapshotStore(spark, root(tmp_path))
+    s.folder.replace("manifest.json", text)
+    with pytest.raises(ValueError):
+        s.load()
+
+
+def test_providers(spark):
+    from tidemark.sources import providers
+
+    calls, failures = [], [TimeoutError("slow"), ConnectionError("gone")]
+
+    def call(texts):
+        calls.append(len(texts))
+        if failures:
+            raise failures.pop()
+        return [t.upper() for t in texts]
+
+    p = providers.Provider(call, "m", batch=2, wait=0.0)
+    assert p(["a", "b", "c"]) == ["A", "B", "C"] and calls == [2, 2, 2, 1]
+    with pytest.raises(ValueError, match="answers"):
+        providers.Provider(lambda t: t[1:], "m")(["a", "b"])
+    with pytest.raises(OSError):
+        providers.Provider(lambda t: (_ for _ in ()).throw(OSError("down")), "m", retries=1, wait=0.0)(["a"])
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "id long, text string")
+    scorer = providers.Provider(lambda texts: [[-0.5] * len(t) for t in texts], "m")
+    got = df.select("id", providers.completed(F.col("text"), providers.Provider(lambda t: [x + "!" for x in t], "m")).alias("c"), F.round(gate.predictive_surprise(providers.logprobs(F.col("text"), scorer)), 6).alias("s"), providers.embedded(F.col("text"), providers.Provider(lambda t: [[len(x)] for x in t], "m")).alias("e")).collect()
+    assert sorted((r["id"], r["c"], r["s"], r["e"]) for r in got) == [(1, "ab!", 0.393469, [2.0]), (2, None, 0.0, None), (3, "!", 0.0, [0.0])]
+
+
+def test_near_pairs_equal_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    rows, full = [], {}
+    for i in range(60):
+        at = rng.choice(30, rng.integers(1, 7), replace=False)
+        w = rng.normal(size=len(at))
+        w /= np.linalg.norm(w)
+        full[i] = np.zeros(30)
+        full[i][at] = w
+        rows += [(i, int(b), float(x)) for b, x in zip(at, w)]
+    df = spark.createDataFrame(rows, "id long, bucket int, weight double")
+    for t in (0.1, 0.6, 0.9):
+        want = {(a, b) for a in full for b in full if a < b and set(np.flatnonzero(full[a])) & set(np.flatnonzero(full[b])) and round(float(full[a] @ full[b]), 6) >= t}
+        assert {(r["a"], r["b"]) for r in consolidate.near_pairs(df, t).collect()} == want
+
+
 def test_cassette(spark):
     tape = spark.createDataFrame([("c", store.cassette_key("c", "hi"), "hello")], "kind string, key string, value string")
     rows = spark.createDataFrame([("hi",), ("new",)], "text string")

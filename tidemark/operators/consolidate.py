@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normalize
@@ -105,10 +106,15 @@ def summarise(claims: DataFrame, completions: DataFrame) -> DataFrame:
 def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, cosine): pairs of rows (id, bucket, weight) of sparse unit vectors at least this similar, a < b.
 
-    Pairs meet by a shared bucket; a vector's buckets are counted once, so every pair's products are summed where they meet.
+    With the buckets in one common order, rarest first, a pair whose first shared bucket lies where the rest of a vector is shorter than the
+    threshold can't reach it. So pairs meet by the buckets before that only, and their products are summed over all buckets after.
     """
-    left, right = rows.toDF("a", "bucket", "wa"), rows.toDF("b", "bucket", "wb")
-    found = left.join(right, "bucket").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    held = rows.groupBy("bucket").agg(F.count("*").alias("held"))
+    rest = F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("id").orderBy("held", "bucket").rowsBetween(0, W.unboundedFollowing))
+    least = max(0.0, threshold - 1e-6) ** 2 - 1e-9  # cosines are rounded to six places
+    head = rows.join(held, "bucket").withColumn("rest", rest).where(F.col("rest") >= least).select("id", "bucket")
+    met = head.toDF("a", "bucket").join(head.toDF("b", "bucket"), "bucket").where("a < b").select("a", "b").distinct()
+    found = met.join(rows.toDF("a", "bucket", "wa"), "a").join(rows.toDF("b", "bucket", "wb"), ["b", "bucket"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     return found.where(F.round("cosine", 6) >= threshold)
 
 

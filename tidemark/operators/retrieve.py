@@ -168,12 +168,18 @@ def stale_pairs(versions: DataFrame) -> DataFrame:
 def drop_stale(records: DataFrame, pairs: DataFrame) -> DataFrame:
     """records (id, text) whose words do not hold both sides of a stale pair.
 
-    Pairs meet records by their rarest-looking word, the longest, so there is no nested loop; only ids and words move.
+    Pairs meet records by the one of their words that fewest records hold, so there is no nested loop and no common word is a key;
+    a pair with a word that none holds meets nobody. Only ids and words move.
     """
-    need = F.array_distinct(F.concat("subject_tokens", "value_tokens"))
-    keyed = pairs.select(need.alias("need")).distinct().withColumn("pivot", F.array_sort("need", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))[0])
     toks = records.select("id", F.array_distinct(tokenize(F.col("text"))).alias("toks"))
-    hits = toks.select("id", F.explode("toks").alias("pivot")).join(keyed, "pivot").join(toks, "id").where(F.size(F.array_except("need", "toks")) == 0)
+    said = toks.select("id", F.explode("toks").alias("word"))
+    need = pairs.select(F.array_sort(F.array_distinct(F.concat("subject_tokens", "value_tokens"))).alias("need")).distinct()
+    wanted = need.select("need", F.explode("need").alias("word"))
+    heard = said.join(wanted.select("word").distinct(), "word", "left_semi")
+    held = heard.groupBy("word").agg(F.count("*").alias("held"))
+    keyed = wanted.join(held, "word", "left").groupBy("need").agg(F.min_by("word", F.struct(F.coalesce("held", F.lit(0)), "word")).alias("word"))
+    near = heard.join(keyed, "word").select("id", "need", F.explode("need").alias("word")).join(heard, ["id", "word"])
+    hits = near.groupBy("id", "need").agg(F.count("*").alias("n")).where(F.col("n") == F.size("need"))
     return records.join(hits.select("id").distinct(), "id", "left_anti")
 
 

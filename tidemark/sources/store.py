@@ -92,6 +92,10 @@ class SnapshotStore:
         m = json.loads(text)
         if not isinstance(m, dict) or m.get("format") != FORMAT:
             raise ValueError(f"not a snapshot of format {FORMAT}")
+        tables = m.get("tables")
+        whole = isinstance(m.get("version"), int) and isinstance(tables, dict) and isinstance(m.get("settings"), dict)
+        if not whole or not all(isinstance(t, dict) and isinstance(t.get("rows"), int) and isinstance(t.get("schema"), dict) for t in tables.values()):
+            raise ValueError("the snapshot's manifest is not whole")
         return m
 
     def save(self, tables: Mapping[str, DataFrame], settings: Mapping | None = None) -> int:
