@@ -96,6 +96,56 @@ def test_run_and_empty(spark, planted, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_run_against_a_plain_version(spark, planted):
+    """run() row for row: toxicity scored and near copies compared in plain Python over all pairs, the mix by its DuckDB SQL, pieces cut here.
+
+    Surrogate texts are those of the stage (test_pii has their plain version); all decisions on them are taken again.
+    """
+    import duckdb
+    import numpy as np
+
+    from tidemark.llm import toxicity
+
+    docs = spark.read.parquet(f"{planted}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{planted}/labels.parquet"), hold_out=False)
+    seen = np.zeros(1 << toxicity.BITS, np.int32)
+    rows = [r for r in docs.collect() if not words_of(r["text"]) or model.score(r["text"], seen) < 0.5]
+
+    def grams(text):
+        w = words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    worded = sorted((r["doc_id"], grams(r["text"])) for r in rows if words_of(r["text"]))
+    root = {i: i for i, _ in worded}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, a) in enumerate(worded):
+        for j, b in worded[:k]:
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    kept = {i for i, _ in worded if find(i) == i} | {r["doc_id"] for r in rows if not words_of(r["text"])}
+    clean = spark.createDataFrame([r for r in rows if r["doc_id"] in kept], docs.schema)
+    told = corpus_pipeline.pii_stage(spark, clean, planted).toPandas()
+    duck = duckdb.connect()
+    duck.register("documents", told)
+    copies = {r[0]: r[-1] for r in duck.sql(f"SELECT doc_id, copies FROM ({ORACLE_SQL['op1_mixing']})").fetchall()}
+    most, want = max(corpus_pipeline.packing.CAPACITIES), []
+    for i, t in zip(told.doc_id, told.text):
+        n = len(words_of(t)) + 1
+        want += [(int(i), p, p * most, min(most, n - p * most)) for p in range(-(-n // most))] * copies[i]
+    got = [tuple(r[c] for c in ("doc_id", "piece", "piece_start", "n_tokens")) for r in corpus_pipeline.run(spark, planted).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 300
+
+
 def test_the_rest_stands_alone(tmp_path):
     """Without this subpackage and the pipeline the entry module imports and keeps the other queries."""
     copy = tmp_path / "repo"

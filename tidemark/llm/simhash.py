@@ -4,7 +4,8 @@ Fingerprints are taken from whole texts (one pass, nothing shuffled). Only disti
 of copies of a text costs one trie leaf. Two fingerprints that differ in at most `budget` bits agree on at least one of
 `budget + 1` bit blocks, so each fingerprint is dealt once per block by that block's value; every block's fingerprints form
 one binary trie, whose node pairs are traversed together. A block value that holds more than HOT fingerprints is dealt again
-by blocks of its free bits, which is exact for the same reason, so no task holds an unbounded group. Tasks return spanning
+by blocks of its free bits, which is exact for the same reason, and what is still more than that in one place is cut into parts,
+every pair of parts a trie of its own, so no task holds more than two parts. Tasks return spanning
 links (a fingerprint and the smallest one its task connects it with), never all pairs; components follow from those.
 
 Defined cases: a null or word-less text has fingerprint zero and is linked like any other; texts with fewer words than the
@@ -253,8 +254,15 @@ def links(fps: DataFrame, budget: int = 2, hot: int | None = None) -> DataFrame:
             parts = F.array(*(F.struct(F.lit((k + 1) * 100 + j).alias("k"), mask_of(b).alias("w")) for j, b in enumerate(free)))
             kept = kept.unionByName(again.where(F.col("k") == k).select("v", "fp", F.explode(parts).alias("x")).select(F.col("x.k").alias("k"), "v", F.col("x.w").alias("w"), "fp"))
 
-    run = _join_buckets(3, 1, budget)
-    return kept.repartition(n, "k", "v", "w").sortWithinPartitions("k", "v", "w").mapInArrow(run, "a long, b long").distinct()
+        sizes = stash(kept.where("k >= 100").groupBy("k", "v", "w").count(), "buckets").withColumn("parts", F.ceil(F.col("count") / hot)).drop("count")
+        kept = kept.join(sizes, ["k", "v", "w"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
+        mine = F.pmod(F.xxhash64("fp"), F.col("parts"))
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.least(o, mine) * F.col("parts") + F.greatest(o, mine))
+        kept = kept.select("k", "v", "w", F.explode(pairs).alias("p"), "fp")
+    else:
+        kept = kept.select("k", "v", "w", F.lit(0).cast("long").alias("p"), "fp")
+    keys = ["k", "v", "w", "p"]
+    return kept.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_join_buckets(4, 1, budget), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

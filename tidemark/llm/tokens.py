@@ -19,6 +19,7 @@ ordered by text, and each is a document; long texts are encoded whole and may sp
 from __future__ import annotations
 
 import os
+import re
 import struct
 import sys
 import types
@@ -41,6 +42,8 @@ MAGIC = b"TMTOKEN1"
 CHUNK = 1 << 16
 #: Ids of a file, and bytes of text encoded at once.
 FILE_IDS, BATCH_BYTES = 1 << 25, 1 << 18
+#: Bytes of input, as the plan tells them, of a range of ids.
+RANGE_BYTES = 1 << 27
 _FOOTER = "<QQ8s"
 
 
@@ -145,10 +148,12 @@ class Encoder:
     the whole tokenizer, with a mark between them. Texts that hold the mark or might hold special tokens are encoded whole.
     """
 
-    MARK, SPECIAL, MOST, LONG, TOGETHER, TAIL = "\x01", b"<|", 1_200_000, 64, 256, b".,!?;:$%&*#|()-\""
+    MARK, MOST, LONG, TOGETHER, TAIL = "\x01", 1_200_000, 64, 256, b".,!?;:$%&*#|()-\""
 
     def __init__(self, tokenizer, by_word: bool):
         self.tokenizer, self.by_word = tokenizer, by_word
+        added = {a.content.encode().lower() for a in tokenizer.get_added_tokens_decoder().values()} - {b""}
+        self.special = re.compile(b"|".join(map(re.escape, sorted({*added, b"\x01"}))))  # as the tokenizer has them, in any case
         mark = self._ids([self.MARK])[0]
         self.mark, self.by_word = mark[:1], by_word and len(mark) == 1
         self.known: dict[bytes, bytes] = {b"": b""}
@@ -202,7 +207,7 @@ class Encoder:
         split: list[list[bytes] | None] = []
         for t in texts:
             raw = t.lower()  # A-Z only
-            split.append(None if self.SPECIAL in raw or b"\x01" in raw else raw.translate(_BLANK).split(b" "))
+            split.append(None if self.special.search(raw) else raw.translate(_BLANK).split(b" "))
         if len(self.known) > self.MOST:
             self.known = {b"": b""}
         new = set().union(*filter(None, split)).difference(self.known)
@@ -229,6 +234,12 @@ def worker_encoder(vocabulary: str, by_word: bool) -> Encoder:
 _BLANK = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
 
 
+def ranges(docs: DataFrame) -> int:
+    """Ranges of ids to encode: as many as the session shuffles into, and more for larger inputs, by the size that the plan tells without a job."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(docs.sparkSession), size // RANGE_BYTES if size < 1 << 58 else 0)  # a plan that knows no size says a huge one
+
+
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, by_word: bool = False, bits: bool = False, chunk: int = CHUNK, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode every text and write the files; returns the written table of files (part, serial, path, documents, ids, start)."""
     spark = docs.sparkSession
@@ -236,7 +247,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # the tokenizer's file, whatever the input
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
+    rows = rows.repartitionByRange(ranges(docs), "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
