@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -327,7 +328,7 @@ SIEVE = 1 << 24
 
 
 def _sieve(need: DataFrame) -> np.ndarray:
-    """A bit for each of SIEVE classes of nodes that holds one of need; fixed in size, and it passes every node of need."""
+    """A bit for each of SIEVE classes of numbers that holds one of need; fixed in size, and it passes every number of need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.zeros(SIEVE, bool)
@@ -341,18 +342,39 @@ def _sieve(need: DataFrame) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have this Jaccard similarity or more, by the whole sets."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    need = stash(need, "candidates")
-    bits = marks.sparkSession.sparkContext.broadcast(_sieve(need))
+def _node(h: np.ndarray) -> int:
+    """A set's name: a hash of its sorted shingles, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64))
+
+
+def _sets(rows: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """(node, s): the shingle sets of nodes (node, rep), made anew from the rows (text_hash, text) whose hash is a node's rep.
+
+    Sets are several times as large as what they come from, so they are not kept; texts that are nobody's rep cost one look at
+    a filter of fixed size, and of a task's copies one is made.
+    """
+    bits = rows.sparkSession.sparkContext.broadcast(_sieve(reps.select("rep")))
 
-    def pass_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[int] = set()
         for b in batches:
-            at = np.asarray(b.column(0)) & SIEVE - 1
-            yield b.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            at = np.asarray(b.column(0))
+            place = at & SIEVE - 1
+            on = np.flatnonzero(bits.value[place >> 3] >> (7 - (place & 7)) & 1)
+            fresh = [i for i in on.tolist() if int(at[i]) not in made and not made.add(int(at[i]))]
+            for start in range(0, len(fresh), 500):
+                sets = [shingles(b.column(1)[i].as_py(), words) for i in fresh[start : start + 500]]
+                yield pa.record_batch([pa.array([_node(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "s"])
+
+    found = rows.select("text_hash", "text").mapInArrow(run, "node long, s binary")
+    return stash(found.join(reps.select("node"), "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")), "candidate-sets")
 
-    sets = stash(marks.select("node", "shingles").mapInArrow(pass_, "node long, shingles binary").join(need, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")), "candidate-sets")
+
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have this Jaccard similarity or more, by the whole sets. nodes: (node, rep)."""
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    reps = stash(need.join(nodes.select("node", "rep"), "node").groupBy("node").agg(F.min("rep").alias("rep")), "candidates")
+    sets = _sets(rows, reps, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -371,26 +393,32 @@ def verified(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame
 COUNTERS, CHUNK = 1 << 20, 1 << 14
 
 
-def _commonness(marks: DataFrame) -> np.ndarray:
-    """How many rows hold a shingle of each of COUNTERS classes; fixed in size, added up on the executors."""
+class _Counts:
+    """How many texts of a task hold a shingle of each of COUNTERS classes."""
+
+    def __init__(self) -> None:
+        self.total = np.zeros(COUNTERS, np.int32)
+
+    def add(self, h: np.ndarray) -> None:
+        np.add.at(self.total, (h & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+
+    def chunks(self) -> Iterator[tuple[int, bytes]]:
+        for k, x in enumerate(self.total.reshape(-1, CHUNK)):
+            if x.any():
+                yield k, zstandard.compress(x.tobytes(), 1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            for x in b.column(0):
-                np.add.at(total, (np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        if total.any():
-            parts = total.reshape(-1, CHUNK)
-            yield pa.record_batch([pa.array(np.arange(len(parts))), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "counts"])
+
+def _commonness(counted: DataFrame) -> np.ndarray:
+    """The sum of all tasks' counts (chunk, counts); fixed in size, added up on the executors."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1)):
-                held[k] = held.get(k, 0) + np.frombuffer(x.as_buffer(), np.int64)
-        yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array([np.minimum(x, (1 << 31) - 1).astype(np.int32).tobytes() for x in held.values()], pa.binary())], names=["chunk", "counts"])
+                held[k] = held.get(k, 0) + np.frombuffer(zstandard.decompress(x.as_py()), np.int32).astype(np.int64)
+        yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([np.minimum(x, (1 << 31) - 1).astype(np.int32).tobytes() for x in held.values()], pa.binary())], names=["chunk", "counts"])
 
-    sums = marks.select("shingles").mapInArrow(count, "chunk long, counts binary").repartition(8, "chunk").mapInArrow(add, "chunk long, counts binary")
+    sums = counted.repartition(8, "chunk").mapInArrow(add, "chunk int, counts binary")
     out = np.zeros((COUNTERS // CHUNK, CHUNK), np.int32)
     for r in sums.toLocalIterator():
         out[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
@@ -449,23 +477,29 @@ def _pairs_of_runs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-def missed(marks: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): every pair of nodes of unlike roots that may have the similarity; none that has it is left out.
+def missed(rows: DataFrame, counted: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): every pair of nodes of unlike roots that may have the similarity; none that has it is left out. rows: (text_hash, text).
 
     With shingles in one common order, two sets of the similarity share one of their first `size - ceil(similarity * size) + 1`
     (prefix filtering). Rare shingles come first, so few unlike sets meet; nodes that one root holds already need no pair.
     """
-    counts = marks.sparkSession.sparkContext.broadcast(_commonness(marks))
+    counts = rows.sparkSession.sparkContext.broadcast(_commonness(counted))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[int] = set()
         for b in batches:
-            sizes, out = [], []
-            for x in b.column(1):
-                h = np.frombuffer(x.as_buffer(), np.uint64)
-                n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
-                sizes.append(len(h))
-                out.append(h[np.lexsort((h, counts.value[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:n]].tobytes())
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["node", "size", "first"])
+            for at in range(0, b.num_rows, 1_000):
+                name, sizes, out = [], [], []
+                for t, text in zip(b.column(0).slice(at, 1_000).to_pylist(), b.column(1).slice(at, 1_000)):
+                    if t in made:
+                        continue
+                    made.add(t)
+                    h = shingles(text.as_py(), words)
+                    n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
+                    name.append(_node(h))
+                    sizes.append(len(h))
+                    out.append(h[np.lexsort((h, counts.value[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:n]].tobytes())
+                yield pa.record_batch([pa.array(name, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["node", "size", "first"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -477,10 +511,10 @@ def missed(marks: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
                     cols = [np.concatenate(tokens), *(np.repeat(x, n) for x in (cls, node, size)), np.concatenate([np.arange(k) for k in n])]
                     yield pa.record_batch([pa.array(x) for x in cols], names=["token", "class", "node", "size", "pos"])
 
-    heads = marks.select("node", "shingles").mapInArrow(first, "node long, size long, first binary").groupBy("node").agg(F.first("size").alias("size"), F.first("first").alias("first"))
+    heads = rows.select("text_hash", "text").mapInArrow(first, "node long, size long, first binary").groupBy("node").agg(F.first("size").alias("size"), F.first("first").alias("first"))
     named = heads.join(roots, "node", "left").select(F.coalesce("root", "node").alias("class"), "node", "size", "first")
-    rows = named.mapInArrow(spread, "token long, class long, node long, size long, pos long")
-    return rows.repartition(partitions(marks.sparkSession), "token").sortWithinPartitions("token").mapInArrow(_pairs_of_runs(similarity), "a long, b long").distinct()
+    tokens = named.mapInArrow(spread, "token long, class long, node long, size long, pos long")
+    return tokens.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token").mapInArrow(_pairs_of_runs(similarity), "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block: int | None = None) -> DataFrame:
@@ -491,24 +525,34 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their size: fingerprints of distinct shingles have 256 bits here, as 64 cannot tell 0.8 from 0.5, and the budget of that similarity.
     Pairs meet in any of several deals, each a set of tries over the fingerprints that agree on some drawn bits. A trie of more
     than `block` fingerprints is dealt in blocks, every pair of blocks a trie of its own, so that no task holds more than two. What
-    fingerprints miss, or a refused link hid, comes from `missed`, which leaves out no pair between the groups so found.
+    fingerprints miss, or a refused link hid, comes from `missed`, which leaves out no pair between the groups so found. Shingle sets
+    are made from the texts wherever they are needed and not written, being larger than the texts.
     """
     block = HOT if block is None else block
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = ["id", "text_hash", "node", "fp", "chunk", "counts"], _Counts()
         for b in batches:
             for at in range(0, b.num_rows, 1_000):
                 part = b.slice(at, 1_000)
-                sets = [shingles(t.as_py(), words) for t in part.column(2)]
-                fp = np.stack([set_fingerprint(h, LANES) for h in sets]).view(np.int64)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(fp.ravel()), LANES).cast(pa.list_(pa.int64()))
-                raw = [h.tobytes() for h in sets]
-                node = np.array([xxhash.xxh64_intdigest(r, SEED) for r in raw], np.uint64).view(np.int64)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(node), lists, pa.array(raw, pa.binary())], names=["id", "text_hash", "node", "fp", "shingles"])
-
-    marks = stash(rows.mapInArrow(run, "id long, text_hash long, node long, fp array<long>, shingles binary"), "fingerprints")
-    nodes = stash(marks.groupBy("node", "fp").agg(F.min("id").alias("least")), "nodes")
+                node, fps = [], []
+                for t in part.column(2):
+                    h = shingles(t.as_py(), words)
+                    counts.add(h)
+                    node.append(_node(h))
+                    fps.append(set_fingerprint(h, LANES))
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(fps).view(np.int64)), LANES).cast(pa.list_(pa.int64()))
+                nothing = part.num_rows
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(node, pa.int64()), lists, pa.nulls(nothing, pa.int32()), pa.nulls(nothing, pa.binary())], names=names)
+        held = list(counts.chunks())
+        if held:
+            empty = [pa.nulls(len(held), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            yield pa.record_batch([*empty, pa.array([k for k, _ in held], pa.int32()), pa.array([x for _, x in held], pa.binary())], names=names)
+
+    found = stash(rows.mapInArrow(run, "id long, text_hash long, node long, fp array<long>, chunk int, counts binary"), "fingerprints")
+    marks, counted = found.where("chunk IS NULL").drop("chunk", "counts"), found.where("chunk IS NOT NULL").select("chunk", "counts")
+    nodes = stash(marks.groupBy("node", "fp").agg(F.min("id").alias("least"), F.min("text_hash").alias("rep")), "nodes")
     least = stash(nodes.groupBy("fp").agg(F.min("node").alias("node")), "distinct-fingerprints")
     drawn = np.random.default_rng(SEED)
     width, number = deals_for(least.count(), similarity)
@@ -533,10 +577,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = [least.select(F.col("fp").alias(f"fp_{x}"), F.col("node").alias(x)) for x in "ab"]
     near = found.select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(ends[0], "fp_a").join(ends[1], "fp_b").select("a", "b")
     alike = nodes.select("fp", F.col("node").alias("a")).join(least.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
-    edges = verified(stash(near.unionByName(alike), "proposed"), marks, similarity)
+    edges = verified(stash(near.unionByName(alike), "proposed"), rows, nodes, words, similarity)
     edges = stash(edges, "links")
-    more = stash(missed(marks, components(edges), similarity), "proposed")
-    roots = components(edges.unionByName(verified(more, marks, similarity)))
+    more = stash(missed(rows, counted, components(edges), words, similarity), "proposed")
+    roots = components(edges.unionByName(verified(more, rows, nodes, words, similarity)))
     joined = nodes.join(roots, "node", "left").select("node", "fp", "least", F.coalesce("root", "node").alias("root"))
     owner = joined.groupBy("root").agg(F.min("least").alias("component"))
     return marks.select("id", "text_hash", "node").join(joined.join(owner, "root").select("node", "fp", "component", "root"), "node").select("id", "text_hash", "fp", "component", "root")
