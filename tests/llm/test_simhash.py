@@ -153,4 +153,4 @@ def test_no_copy_at_the_similarity_is_lost(docs):
 def test_short_texts_are_no_copies_of_an_empty_one(docs):
     texts = (" ".join(f"{w}{i}" for w in "abcdef") for i in range(20_000))
     rare = next(t for t in texts if sum(int(x).bit_count() for x in simhash.fingerprint(t.encode(), 5, simhash.LANES)) <= 44)
-    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs([(1, ""), (2, None), (3, rare)])).collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs([(1, ""), (2, None), (3, rare)])).collect()) == [1, 2, 3]
