@@ -69,12 +69,6 @@ class Folder:
         for old in held[:-1]:
             self.drop(f"{name}.{old}")
 
-    def claim(self, name: str) -> bool:
-        """Make an empty file unless there is one; only one of several callers succeeds."""
-        fs, path = self._fs(), self._path(name)
-        fs.mkdirs(path.getParent())
-        return not fs.exists(path) and fs.createNewFile(path)
-
     def drop(self, name: str) -> None:
         self._fs().delete(self._path(name), True)
 
@@ -136,48 +130,50 @@ def check_vectors(records: DataFrame, dims: int, vector_col: str = "embedding")
 class Journal:
     """Committed writes since the last snapshot, appended in batches, each visible only when its marker is.
 
-    A batch has a number that its writer claimed and a marker of its own, so writers share no state that one could overwrite
-    for another. A number whose writer stopped before the marker is never read.
+    A batch is named by a number and its writer's own mark and has a marker file of its own, so writers share nothing that one could
+    overwrite for another, whatever the file system promises. Batches of one moment may share a number; what a writer did not
+    finish is never read.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: str | T.StructType, compact_every: int = 256):
         self.spark, self.folder, self.schema, self.compact_every = spark, Folder(spark, root), schema, compact_every
 
-    def _numbers(self, kind: str) -> list[int]:
-        return sorted(int(n[len(kind) + 1 :]) for n in self.folder.names() if n.startswith(f"{kind}-"))
+    def committed(self) -> list[str]:
+        """Names of the batches, number and mark, in order."""
+        held = [n.removeprefix("done-") for n in self.folder.names() if n.startswith("done-")]
+        return sorted(held, key=lambda b: (int(b.partition("-")[0]), b))
 
-    def committed(self) -> list[int]:
-        return self._numbers("done")
+    def _path(self, batch: str) -> str:
+        number, _, mark = batch.partition("-")
+        return f"batch={number}/writer={mark}"
 
     def append(self, writes: DataFrame) -> int:
-        """Add a batch; returns its number."""
-        seq = max(self._numbers("claim"), default=-1) + 1
-        while not self.folder.claim(f"claim-{seq}"):
-            seq += 1
-        writes.write.mode("overwrite").parquet(f"{self.folder.root}/batch={seq}")
-        self.folder.put(f"done-{seq}", "")
+        """Add a batch after all that are there; returns its number."""
+        held = self.committed()
+        seq = int(held[-1].partition("-")[0]) + 1 if held else 0
+        name = f"{seq}-{uuid.uuid4().hex}"
+        writes.write.parquet(f"{self.folder.root}/{self._path(name)}")
+        self.folder.put(f"done-{name}", "")
         return seq
 
-    def read(self, skip: Collection[int] = ()) -> DataFrame:
-        """All committed writes with their batch number, but for the batches to skip."""
-        paths = [f"{self.folder.root}/batch={b}" for b in self.committed() if b not in set(skip)]
+    def read(self, skip: Collection[str] = ()) -> DataFrame:
+        """All committed writes with their batch's number, but for the batches to skip."""
+        paths = [f"{self.folder.root}/{self._path(b)}" for b in self.committed() if b not in set(skip)]
         empty = self.spark.createDataFrame([], self.schema)
         if not paths:
             return empty.withColumn("batch", F.lit(0).cast("int"))
-        return self.spark.read.option("basePath", self.folder.root).schema(empty.schema.add("batch", T.IntegerType())).parquet(*paths)
+        schema = T.StructType([*empty.schema.fields, T.StructField("batch", T.IntegerType()), T.StructField("writer", T.StringType())])
+        return self.spark.read.option("basePath", self.folder.root).schema(schema).parquet(*paths).drop("writer")
 
     def due(self) -> bool:
         return len(self.committed()) >= self.compact_every
 
-    def compact(self, batches: Collection[int] | None = None) -> None:
-        """Forget the batches that a snapshot now holds; the last claim stays, so that no number is used again."""
+    def compact(self, batches: Collection[str] | None = None) -> None:
+        """Forget the batches that a snapshot now holds, the marker of each first."""
         held = self.committed()
-        last = max(self._numbers("claim"), default=-1)
         for b in held if batches is None else [x for x in batches if x in held]:
             self.folder.drop(f"done-{b}")
-            self.folder.drop(f"batch={b}")
-            if b != last:
-                self.folder.drop(f"claim-{b}")
+            self.folder.drop(self._path(b))
 
 
 def replay(snapshot: DataFrame | None, tail: DataFrame, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:

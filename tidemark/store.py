@@ -8,6 +8,7 @@ are derived by the operators; a snapshot keeps the log and what consolidation ma
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -54,17 +55,24 @@ class MemoryStore:
         schema = spark.createDataFrame([], observations.OBSERVATION).schema
         self.journal = store.Journal(spark, f"{root.rstrip('/')}/journal", schema)
         self._derived: dict[str, DataFrame] = {}
+        self.folder = store.Folder(spark, f"{root.rstrip('/')}/derived")
+        self._before, self._now = uuid.uuid4().hex, uuid.uuid4().hex
+        self._tables: dict[str, DataFrame] = {}
+        self._version: int | None = None
 
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A derived table, kept by the executors until the log changes."""
+        """A derived table, written beside the log until that changes: what builds on it has a short plan, and a lost executor costs nothing."""
         if name not in self._derived:
-            self._derived[name] = make().persist()
+            df, path = make(), f"{self.folder.root}/{self._now}/{name}"
+            df.write.parquet(path)
+            self._derived[name] = self.spark.read.schema(df.schema).parquet(path)
         return self._derived[name]
 
     def _changed(self) -> None:
-        for df in self._derived.values():
-            df.unpersist()
+        """The log has changed. The tables before stay for one more change, as results may still be read from them."""
+        self.folder.drop(self._before)
         self._derived.clear()
+        self._before, self._now = self._now, uuid.uuid4().hex
 
     # Writing
 
@@ -82,24 +90,33 @@ class MemoryStore:
         """All accepted observations, those of forgotten subjects left out."""
         return self._log()[0]
 
-    def _log(self) -> tuple[DataFrame, list[int]]:
+    def _snapshot(self) -> tuple[dict[str, DataFrame], list[str]]:
+        """The current snapshot's tables, checked once for every version, and the journal's batches that are in it."""
+        m = self.snapshots.manifest()
+        if m is None:
+            return {}, []
+        if self._version != m["version"]:
+            self._tables, self._version = self.snapshots.load(), m["version"]
+        return self._tables, m["settings"].get("batches", [])
+
+    def _log(self) -> tuple[DataFrame, list[str]]:
         """The log, and the journal's batches that it holds beside the snapshot's. Batches that the snapshot says it holds are not read twice."""
-        held = self.snapshots.load().get("log")
-        inside = (self.snapshots.manifest() or {}).get("settings", {}).get("batches", [])
+        tables, inside = self._snapshot()
+        held = tables.get("log")
         batches = [b for b in self.journal.committed() if b not in inside]
         tail = self.journal.read(skip=inside).drop("batch")
         return (tail if held is None else held.unionByName(tail)), batches
 
     def _kept(self) -> tuple[DataFrame, DataFrame]:
         """What consolidation made: claims, and the episodes (namespace, id) that they stand for or that are outdated."""
-        held = self.snapshots.load()
+        held, _ = self._snapshot()
         none = lambda ddl: self.spark.createDataFrame([], ddl)
         return held.get("claims", none(CLAIMS)), held.get("absorbed", none("namespace string, id long"))
 
     def _replace(self, change: Callable[[DataFrame], DataFrame], kept: tuple[DataFrame, DataFrame] | None = None, **more: DataFrame) -> None:
         """Make the changed log the snapshot, with the batches that are in it, and drop those from the journal; a stop anywhere loses and doubles nothing."""
         log, batches = self._log()
-        inside = (self.snapshots.manifest() or {}).get("settings", {}).get("batches", [])
+        inside = self._snapshot()[1]
         claims, absorbed = kept or self._kept()
         tables = {"log": change(log).dropDuplicates(["namespace", "id"]), "claims": claims, "absorbed": absorbed, **more}
         self.snapshots.save(tables, {"batches": sorted({*inside, *batches} & {*self.journal.committed()})})
@@ -241,7 +258,7 @@ class MemoryStore:
         self._replace(lambda log: log, (still.select(cols).unionByName(new.select(cols)), absorbed.unionByName(gone.where("id >= 0")).distinct()), report=rep)
         for df in (episodes, flat):
             df.unpersist()
-        return self.snapshots.load()["report"]
+        return self._snapshot()[0]["report"]
 
     def _summarised(self, claims: DataFrame, episodes: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.functions import ArrowUDFType
