@@ -389,18 +389,24 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, si
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-#: Counters of shingles; they only order shingles by how common they look, which any order may do.
-COUNTERS, CHUNK = 1 << 20, 1 << 14
+#: Fewest and most counters of shingles, a byte each; they only order shingles by how common they look, which any order may do.
+COUNTERS, CHUNK = (1 << 20, 1 << 25), 1 << 18
+
+
+def counters_for(text_bytes: int) -> int:
+    """About one for every shingle of the input, up to the most that every task can hold; beyond that rare shingles look less rare."""
+    return min(COUNTERS[1], max(COUNTERS[0], 1 << max(0, text_bytes // 6).bit_length()))
 
 
 class _Counts:
-    """How many texts of a task hold a shingle of each of COUNTERS classes."""
+    """How many texts of a task hold a shingle of each class, up to 255."""
 
-    def __init__(self) -> None:
-        self.total = np.zeros(COUNTERS, np.int32)
+    def __init__(self, cells: int) -> None:
+        self.total = np.zeros(cells, np.uint8)
 
     def add(self, h: np.ndarray) -> None:
-        np.add.at(self.total, (h & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        at = (h & np.uint64(len(self.total) - 1)).astype(np.int64)
+        self.total[at] = np.minimum(self.total[at], 254) + 1
 
     def chunks(self) -> Iterator[tuple[int, bytes]]:
         for k, x in enumerate(self.total.reshape(-1, CHUNK)):
@@ -408,20 +414,22 @@ class _Counts:
                 yield k, zstandard.compress(x.tobytes(), 1)
 
 
-def _commonness(counted: DataFrame) -> np.ndarray:
-    """The sum of all tasks' counts (chunk, counts); fixed in size, added up on the executors."""
+def _commonness(counted: DataFrame, cells: int) -> np.ndarray:
+    """The sums of all tasks' counts (chunk, counts), up to 255; bounded in size, added up on the executors."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1)):
-                held[k] = held.get(k, 0) + np.frombuffer(zstandard.decompress(x.as_py()), np.int32).astype(np.int64)
-        yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([np.minimum(x, (1 << 31) - 1).astype(np.int32).tobytes() for x in held.values()], pa.binary())], names=["chunk", "counts"])
+                more = np.frombuffer(zstandard.decompress(x.as_py()), np.uint8)
+                held[k] = np.minimum(held[k].astype(np.uint16) + more, 255).astype(np.uint8) if k in held else more
+        for k, x in held.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["chunk", "counts"])
 
     sums = counted.repartition(8, "chunk").mapInArrow(add, "chunk int, counts binary")
-    out = np.zeros((COUNTERS // CHUNK, CHUNK), np.int32)
+    out = np.zeros((cells // CHUNK, CHUNK), np.uint8)
     for r in sums.toLocalIterator():
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
     return out.ravel()
 
 
@@ -477,13 +485,13 @@ def _pairs_of_runs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-def missed(rows: DataFrame, counted: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
+def missed(rows: DataFrame, counted: DataFrame, cells: int, roots: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b): every pair of nodes of unlike roots that may have the similarity; none that has it is left out. rows: (text_hash, text).
 
     With shingles in one common order, two sets of the similarity share one of their first `size - ceil(similarity * size) + 1`
     (prefix filtering). Rare shingles come first, so few unlike sets meet; nodes that one root holds already need no pair.
     """
-    counts = rows.sparkSession.sparkContext.broadcast(_commonness(counted))
+    counts = rows.sparkSession.sparkContext.broadcast(_commonness(counted, cells))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: set[int] = set()
@@ -498,7 +506,7 @@ def missed(rows: DataFrame, counted: DataFrame, roots: DataFrame, words: int, si
                     n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
                     name.append(_node(h))
                     sizes.append(len(h))
-                    out.append(h[np.lexsort((h, counts.value[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:n]].tobytes())
+                    out.append(h[np.lexsort((h, counts.value[(h & np.uint64(cells - 1)).astype(np.int64)]))[:n]].tobytes())
                 yield pa.record_batch([pa.array(name, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["node", "size", "first"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -530,9 +538,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     block = HOT if block is None else block
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    cells = counters_for(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = ["id", "text_hash", "node", "fp", "chunk", "counts"], _Counts()
+        names, counts = ["id", "text_hash", "node", "fp", "chunk", "counts"], _Counts(cells)
         for b in batches:
             for at in range(0, b.num_rows, 1_000):
                 part = b.slice(at, 1_000)
@@ -579,7 +588,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike = nodes.select("fp", F.col("node").alias("a")).join(least.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
     edges = verified(stash(near.unionByName(alike), "proposed"), rows, nodes, words, similarity)
     edges = stash(edges, "links")
-    more = stash(missed(rows, counted, components(edges), words, similarity), "proposed")
+    more = stash(missed(rows, counted, cells, components(edges), words, similarity), "proposed")
     roots = components(edges.unionByName(verified(more, rows, nodes, words, similarity)))
     joined = nodes.join(roots, "node", "left").select("node", "fp", "least", F.coalesce("root", "node").alias("root"))
     owner = joined.groupBy("root").agg(F.min("least").alias("component"))
