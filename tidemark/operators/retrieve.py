@@ -1,4 +1,7 @@
-"""Planning and answering batches of questions over facts and records: every step is a table keyed by query_id."""
+"""Planning and answering batches of questions over facts and records: every step is a table keyed by query_id.
+
+Questions, facts and entities all grow, so they meet by merge joins and none is sent to every task (operators/joins.py).
+"""
 
 from __future__ import annotations
 
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import recency, render_fact, render_preference, tokenize, words
 from tidemark.operators import temporal
+from tidemark.operators.joins import meet
 
 # Words of questions that name predicates, ask for preferences or for a past state, and the fusion weights.
 KEYWORDS = {
@@ -35,7 +39,7 @@ MAX_ITEMS, CANDIDATES = 4, 8
 def plan_entities(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """(query_id, entity): the first known entity (namespace, entity), in order, that is a word of the question."""
     said = questions.select("query_id", "namespace", F.explode(F.array_distinct(tokenize(F.col("question"), drop_stop=False))).alias("entity"))
-    return said.join(entities, ["namespace", "entity"]).groupBy("query_id").agg(F.min("entity").alias("entity"))
+    return meet(said, entities, ["namespace", "entity"]).groupBy("query_id").agg(F.min("entity").alias("entity"))
 
 
 def plan_predicates(questions: DataFrame, predicates: DataFrame) -> DataFrame:
