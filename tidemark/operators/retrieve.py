@@ -46,12 +46,13 @@ def plan_predicates(questions: DataFrame, predicates: DataFrame) -> DataFrame:
     """(query_id, predicates): stored predicates (namespace, predicate) whose content words are all in the question, in order,
     then those that a keyword stands for. The stored vocabulary meets questions by its first content word, then by all."""
     toks = F.array_distinct(tokenize(F.col("question"), drop_stop=False))
-    asked = questions.select("query_id", "namespace", toks.alias("toks"))
     stored = predicates.select("namespace", "predicate", F.array_distinct(tokenize(F.col("predicate"))).alias("need")).where(F.size("need") > 0).withColumn("pivot", F.col("need")[0])
-    hits = asked.select("query_id", "namespace", F.explode("toks").alias("pivot")).join(stored, ["namespace", "pivot"]).join(asked.select("query_id", "toks"), "query_id")
-    found = hits.where(F.size(F.array_except("need", "toks")) == 0).groupBy("query_id").agg(F.array_sort(F.collect_set("predicate")).alias("stored"))
+    near = meet(questions.select("query_id", "namespace", F.explode(toks).alias("pivot")), stored, ["namespace", "pivot"])
+    near = near.groupBy("query_id").agg(F.collect_list(F.struct("predicate", "need")).alias("near"))
+    asked = questions.select("query_id", "question").join(near.hint("merge"), "query_id", "left").select("query_id", "near", toks.alias("toks"))
+    held = F.filter(F.coalesce("near", F.array().cast("array<struct<predicate:string,need:array<string>>>")), lambda p: F.size(F.array_except(p["need"], F.col("toks"))) == 0)
     by_word = F.array(*(F.when(F.arrays_overlap("toks", words(*kws)), F.lit(p)) for p, kws in KEYWORDS.items()))
-    out = asked.join(found, "query_id", "left").withColumn("stored", F.coalesce("stored", F.array().cast("array<string>")))
+    out = asked.withColumn("stored", F.array_sort(F.array_distinct(F.transform(held, lambda p: p["predicate"]))))
     return out.select("query_id", F.concat("stored", F.array_except(F.array_compact(by_word), "stored")).alias("predicates"))
 
 
