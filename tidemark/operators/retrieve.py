@@ -77,10 +77,11 @@ def plan_as_of(questions: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def plan_preference(questions: DataFrame, entities: DataFrame, predicates: DataFrame) -> DataFrame:
     """(query_id, preference): whether the question asks what a known entity likes, and preferences are stored."""
-    stored = predicates.where(F.col("predicate").startswith("preference:")).select("namespace").distinct().withColumn("stored", F.lit(True))
+    stored = predicates.where(F.col("predicate").startswith("preference:")).select("namespace").distinct()
     asks = F.arrays_overlap(tokenize(F.col("question"), drop_stop=False), words(*PREFERENCE_WORDS))
-    x = questions.join(stored, "namespace", "left").join(plan_entities(questions, entities), "query_id", "left")
-    return x.select("query_id", (asks & F.col("entity").isNotNull() & F.coalesce("stored", F.lit(False))).alias("preference"))
+    known = plan_entities(questions.where(asks), entities.join(stored, "namespace", "left_semi"))
+    x = questions.select("query_id").join(known.hint("merge"), "query_id", "left")
+    return x.select("query_id", F.col("entity").isNotNull().alias("preference"))
 
 
 def plan_chains(planned: DataFrame, relations: Collection[str] = RELATIONS) -> DataFrame:
