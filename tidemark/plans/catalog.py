@@ -447,7 +447,7 @@ def plan_preference(spark, sf):
 @register
 def plan_chain(spark, sf):
     q = fx.questions(spark, sf).withColumn("question", F.regexp_replace("question", "manager", "manager's boss"))
-    p = q.join(retrieve.plan_entities(q, fx.entities(spark, sf)), "query_id").join(retrieve.plan_predicates(q, _vocabulary(spark, sf)), "query_id")
+    p = q.join(retrieve.plan_entities(q, fx.entities(spark, sf)).hint("merge"), "query_id").join(retrieve.plan_predicates(q, _vocabulary(spark, sf)).hint("merge"), "query_id")
     return retrieve.plan_chains(p).select("query_id", F.array_join("hops", ">").alias("hops"))
 
 
