@@ -57,7 +57,7 @@ def plan_predicates(questions: DataFrame, predicates: DataFrame) -> DataFrame:
 
 
 def plan_hops(predicates: DataFrame, relations: DataFrame | None = None) -> DataFrame:
-    """(query_id, predicate, hops) of (query_id, namespace, predicates): a relation and an attribute make a path of two."""
+    """(query_id, predicate, hops) of (query_id, predicates), with relations also namespace: a relation and an attribute make a path of two."""
     known = predicates.withColumn("rels", words(*RELATIONS))
     if relations is not None:
         held = relations.groupBy("namespace").agg(F.collect_set("predicate").alias("more"))

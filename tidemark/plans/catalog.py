@@ -421,9 +421,10 @@ def plan_predicate(spark, sf):
 def _plans(spark, sf):
     q, e = fx.questions(spark, sf), fx.entities(spark, sf)
     preds = retrieve.plan_predicates(q, _vocabulary(spark, sf))
-    hops = retrieve.plan_hops(preds.join(q.select("query_id", "namespace"), "query_id"))
     sessions = gate.session_first_ts(fx.turns(spark, sf))
-    out = q.join(retrieve.plan_entities(q, e), "query_id", "left").join(hops, "query_id", "left").join(retrieve.plan_as_of(q, sessions), "query_id", "left")
+    out = q
+    for part in (retrieve.plan_entities(q, e), retrieve.plan_hops(preds), retrieve.plan_as_of(q, sessions)):
+        out = out.join(part.hint("merge"), "query_id", "left")
     return out.withColumn("preference", F.lit(False))
 
 
