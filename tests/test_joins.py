@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from support import SF
 
-from tidemark.operators import joins
+from tidemark.operators import joins, retrieve, temporal
 from tidemark.plans.catalog import QUERIES
 
 
@@ -36,7 +36,7 @@ def test_meet_is_a_join(spark, monkeypatch, frequent):
     assert Counter(map(tuple, got.collect())) == Counter(want)
 
 
-@pytest.mark.parametrize("name", ["plan_entity", "plan_predicate", "plan_preference", "plan_chain", "plan_hops"])
+@pytest.mark.parametrize("name", ["plan_entity", "plan_predicate", "plan_preference", "plan_chain", "plan_hops", "structured_fetch"])
 def test_questions_and_entities_are_not_broadcast(name, spark, monkeypatch):
     monkeypatch.setattr(joins, "FREQUENT", 9)
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")  # only what is planned, not what turns out small
@@ -44,3 +44,12 @@ def test_questions_and_entities_are_not_broadcast(name, spark, monkeypatch):
         assert max(sent(QUERIES[name](spark, SF)), default=0) < spark.read.parquet(f"{SF}/customer.parquet").count()
     finally:
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_one_fact_and_paths_come_from_one_chain_of_joins(spark):
+    rows = [("n", 1, "Ann", "boss", "Bo", 0.0, 0.0), ("n", 2, "bo", "city", "Oslo", 0.0, 0.0), ("n", 3, "bo", "city", "Rome", 5.0, 5.0)]
+    v = temporal.assert_facts(spark.createDataFrame(rows, "namespace string, id long, subject string, predicate string, object string, valid_from double, created_at double"))
+    plans = [(1, "n", "ann", "boss", None, None), (2, "n", "ann", "city", ["boss", "city"], None), (3, "n", "ann", "city", ["boss", "city"], 1.0), (4, "n", "ann", "city", None, None), (5, "m", "ann", "boss", None, None)]
+    plans = spark.createDataFrame([(*p, False) for p in plans], "query_id long, namespace string, entity string, predicate string, hops array<string>, as_of double, preference boolean")
+    got = sorted(map(tuple, retrieve.structured_fetch(plans, v).collect()))
+    assert got == [(1, 1, "Ann's current boss is Bo.", 1), (2, 1, "ann boss city is Rome.", 1), (2, 2, "ann boss city is Rome.", 3), (3, 1, "ann boss city is Oslo.", 1), (3, 2, "ann boss city is Oslo.", 2)]

@@ -132,22 +132,21 @@ def fuzzy_entities(questions: DataFrame, entities: Sequence[str], cutoff: float
 def structured_fetch(plans: DataFrame, versions: DataFrame) -> DataFrame:
     """(query_id, line_no, line, fact_id) for plans (query_id, namespace, entity, predicate, hops, as_of, preference).
 
-    Preferences of the entity, else the end of the path with every hop cited, else the one fact. All paths are answered by one
-    chain of joins, whatever predicates they follow.
+    Preferences of the entity, else the end of the path with every hop cited, else the one fact, which is a path of one. All are
+    answered by one chain of joins, whatever predicates they follow.
     """
     asked = plans.where(F.col("entity").isNotNull())
     likes = asked.where("preference").select("query_id", F.col("namespace").alias("ns"), F.col("entity").alias("e"))
     stored = temporal.keyed(temporal.open_facts(versions)).where(F.col("predicate").startswith("preference:"))
-    pref = likes.join(stored, (F.col("ns") == F.col("namespace")) & (F.col("e") == F.col("s_key")))
+    pref = likes.join(stored.hint("merge"), (F.col("ns") == F.col("namespace")) & (F.col("e") == F.col("s_key")))
     pref = pref.select("query_id", F.row_number().over(W.partitionBy("query_id").orderBy("predicate", "id")).alias("line_no"), render_preference(F.col("subject"), F.col("predicate"), F.col("object")).alias("line"), F.col("id").alias("fact_id"))
     rest = asked.where(~F.coalesce("preference", F.lit(False)) & F.col("predicate").isNotNull())
-    one = rest.where("hops IS NULL").select("query_id", "namespace", F.col("entity").alias("subject"), "predicate", F.col("as_of").alias("t"))
-    single = temporal.as_of(versions, one).select("query_id", F.lit(1).alias("line_no"), render_fact(F.col("subject"), F.col("predicate"), F.col("object"), F.col("t")).alias("line"), F.col("id").alias("fact_id"))
-    out = pref.unionByName(single)
-    paths = rest.where("hops IS NOT NULL")
-    ends = temporal.paths(versions, paths.select("query_id", "namespace", F.col("entity").alias("subject"), F.col("as_of").alias("t"), "hops")).join(paths.select("query_id", "entity", "as_of", "hops"), "query_id")
-    line = render_fact(F.col("entity"), F.element_at("hops", -1), F.col("object"), F.col("as_of"), F.col("hops"))
-    return out.unionByName(ends.select("query_id", line.alias("line"), F.posexplode("chain").alias("pos", "fact_id")).select("query_id", (F.col("pos") + 1).alias("line_no"), "line", "fact_id"))
+    rest = rest.select("query_id", "namespace", F.col("entity").alias("subject"), F.col("as_of").alias("t"), F.coalesce("hops", F.array("predicate")).alias("hops"), F.col("hops").isNull().alias("single"))
+    ends = temporal.follow(versions, rest)
+    one = render_fact(F.col("at.subject"), F.col("at.predicate"), F.col("at.object"), F.col("t"))
+    line = F.when(F.col("single"), one).otherwise(render_fact(F.col("subject"), F.element_at("hops", -1), F.col("at.object"), F.col("t"), F.col("hops")))
+    lines = ends.where(F.size("chain") > 0).select("query_id", line.alias("line"), F.posexplode("chain").alias("pos", "fact_id"))
+    return pref.unionByName(lines.select("query_id", (F.col("pos") + 1).alias("line_no"), "line", "fact_id"))
 
 
 def backstop(questions: DataFrame, versions: DataFrame, entities: DataFrame, most: int = MAX_ITEMS) -> DataFrame:

@@ -136,13 +136,31 @@ def path(versions: DataFrame, asked: DataFrame, hops: Sequence[str]) -> DataFram
 
 def paths(versions: DataFrame, asked: DataFrame) -> DataFrame:
     """As path, for rows (query_id, namespace, subject, t, hops) that each have their own predicates; as many joins as the longest has."""
-    at = asked.select("query_id", "namespace", "t", "hops", "subject", F.array().cast("array<long>").alias("chain"))
+    return follow(versions, asked).select("query_id", F.col("at.object").alias("object"), "chain")
+
+
+def follow(versions: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of asked, one per query_id, whose whole path is there, with chain, the version ids of every hop, and at, the last version.
+
+    Every hop is one merge join and one aggregation: rows carry what they need. A row whose path has ended keeps a key of its
+    own, which meets nobody, so such rows do not gather in one task.
+    """
+    kept = [c for c in asked.columns if c != "query_id"]
+    last = "struct<id:long,subject:string,predicate:string,object:string>"
+    rows = asked.withColumns({"chain": F.array().cast("array<long>"), "at": F.struct(F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("predicate"), F.col("subject").alias("object")).cast(last)})
+    held = keyed(versions).select("s_key", "p_key", F.col("namespace").alias("v_ns"), "valid_from", "valid_to", "created_at", "expired_at", F.struct("id", "subject", "predicate", "object").cast(last).alias("v"))
     longest = asked.agg(F.max(F.size("hops"))).first()[0] or 0
     for k in range(longest):
-        found = as_of(versions, at.where(F.size("hops") > k).select("query_id", "namespace", "subject", F.get("hops", F.lit(k)).alias("predicate"), "t")).select("query_id", "id", F.col("object").alias("next"))
-        at = at.join(found, "query_id", "left").where((F.size("hops") <= k) | F.col("id").isNotNull())
-        at = at.select("query_id", "namespace", "t", "hops", F.coalesce("next", "subject").alias("subject"), F.when(F.col("id").isNotNull(), F.concat("chain", F.array("id"))).otherwise(F.col("chain")).alias("chain"))
-    return at.select("query_id", F.col("subject").alias("object"), "chain")
+        due = F.size("hops") > k
+        q = rows.withColumns({"q_s": F.when(due, normalize(F.col("at.object"))).otherwise(F.concat(F.lit("\0"), F.col("query_id").cast("string"))), "q_p": F.when(due, normalize(F.get("hops", F.lit(k)))).otherwise(F.lit("\0"))})
+        on = (F.col("q_ns") == F.col("v_ns")) & (F.col("q_s") == F.col("s_key")) & (F.col("q_p") == F.col("p_key"))
+        on = on & F.when(F.col("q_t").isNull(), is_open()).otherwise(holds_at(F.col("q_t")))
+        met = q.withColumns({"q_ns": F.col("namespace"), "q_t": F.col("t")}).join(held.hint("merge"), on, "left")
+        best = F.max_by("v", F.when(F.col("v").isNotNull(), F.struct("valid_from", "created_at", F.col("v.id"))))
+        one = met.groupBy("query_id").agg(best.alias("v"), F.first(F.struct(*kept, "chain", "at")).alias("r")).select("query_id", "r.*", "v")
+        one = one.where((F.size("hops") <= k) | F.col("v").isNotNull())
+        rows = one.withColumns({"chain": F.when(F.col("v").isNotNull(), F.concat("chain", F.array("v.id"))).otherwise(F.col("chain")), "at": F.coalesce("v", "at")}).drop("v")
+    return rows
 
 
 def history(versions: DataFrame, namespace: str, subject: str, predicate: str) -> DataFrame:
