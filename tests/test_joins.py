@@ -36,7 +36,7 @@ def test_meet_is_a_join(spark, monkeypatch, frequent):
     assert Counter(map(tuple, got.collect())) == Counter(want)
 
 
-@pytest.mark.parametrize("name", ["plan_entity", "plan_predicate", "plan_preference", "plan_chain", "plan_hops", "structured_fetch"])
+@pytest.mark.parametrize("name", ["plan_entity", "plan_predicate", "plan_preference", "plan_chain", "plan_hops", "structured_fetch", "backstop_facts"])
 def test_questions_and_entities_are_not_broadcast(name, spark, monkeypatch):
     monkeypatch.setattr(joins, "FREQUENT", 9)
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")  # only what is planned, not what turns out small

@@ -151,12 +151,14 @@ def structured_fetch(plans: DataFrame, versions: DataFrame) -> DataFrame:
 
 def backstop(questions: DataFrame, versions: DataFrame, entities: DataFrame, most: int = MAX_ITEMS) -> DataFrame:
     """(query_id, line_no, line, fact_id): facts of every entity that a question names, a predicate of each in turn, up to half of the lines."""
-    said = questions.select("query_id", "namespace", F.explode(F.array_distinct(tokenize(F.col("question"), drop_stop=False))).alias("entity")).join(entities, ["namespace", "entity"])
-    facts = temporal.keyed(temporal.open_facts(versions)).select(F.col("namespace").alias("ns"), "s_key", "subject", "predicate", "object", "id")
-    held = said.join(facts, (F.col("ns") == F.col("namespace")) & (F.col("s_key") == F.col("entity")))
-    turn = held.withColumn("turn", F.row_number().over(W.partitionBy("query_id", "entity").orderBy("predicate", "id")))
+    half = (most + 1) // 2
+    said = questions.select("query_id", "namespace", F.explode(F.array_distinct(tokenize(F.col("question"), drop_stop=False))).alias("entity"))
+    facts = temporal.keyed(temporal.open_facts(versions)).select("namespace", F.col("s_key").alias("entity"), "subject", "predicate", "object", "id")
+    turn = F.row_number().over(W.partitionBy("namespace", "entity").orderBy("predicate", "id"))
+    first = facts.join(entities.hint("merge"), ["namespace", "entity"], "left_semi").withColumn("turn", turn).where(F.col("turn") <= half)  # no line has a later turn
+    held = meet(said, first, ["namespace", "entity"])
     line = F.row_number().over(W.partitionBy("query_id").orderBy("turn", "entity", "id"))
-    rows = turn.withColumn("line_no", line).where(F.col("line_no") <= (most + 1) // 2)
+    rows = held.withColumn("line_no", line).where(F.col("line_no") <= half)
     return rows.select("query_id", "line_no", render_fact(F.col("subject"), F.col("predicate"), F.col("object"), F.lit(None)).alias("line"), F.col("id").alias("fact_id"))
 
 
