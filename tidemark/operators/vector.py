@@ -16,6 +16,7 @@ from tidemark.functions.text import normalize, tokenize
 
 #: Queries that a task holds at once, and records that one block of more queries than that streams past.
 QUERY_BATCH, SHARE = 2_048, 1 << 20
+FOUND = "query_id long, id long, score double, ts double"
 W_SEM = W_LEX = 0.5
 
 
@@ -47,7 +48,23 @@ def _past(records: DataFrame, queries: DataFrame, score: Callable[[dict, dict],
 
     score: scores of queries by records, both as columns of lists by name, -inf for those that do not count, and the records' times.
     """
-    names, asks = records.columns, queries.columns
+    asks = queries.columns
+    parts, best = _scorer(records.columns, score, k, newest)
+    head = queries.limit(QUERY_BATCH + 1).collect()  # at most one more than a block
+    if len(head) <= QUERY_BATCH:
+        sent = records.sparkSession.sparkContext.broadcast({c: [r[c] for r in head] for c in asks})
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for x in parts(b) if sent.value["query_id"] else ():
+                    yield best(sent.value, x)
+
+        return records.mapInArrow(stream, FOUND)
+    return _blocks(records, queries, parts, best)
+
+
+def _scorer(names: list[str], score: Callable[[dict, dict], tuple[np.ndarray, np.ndarray]], k: int, newest: bool = False) -> tuple[Callable, Callable]:
+    """What cuts a batch of records with these columns into parts, and what gives a block of queries its best k of a part."""
 
     def best(q: dict, b: dict) -> pa.RecordBatch:
         s, ts = score(q, b)
@@ -62,49 +79,44 @@ def _past(records: DataFrame, queries: DataFrame, score: Callable[[dict, dict],
         for at in range(0, b.num_rows, 2_048):
             yield {n: b.column(n).slice(at, 2_048).to_pylist() for n in names}
 
-    ddl = "query_id long, id long, score double, ts double"
-    head = queries.limit(QUERY_BATCH + 1).collect()  # at most one more than a block
-    if len(head) <= QUERY_BATCH:
-        sent = records.sparkSession.sparkContext.broadcast({c: [r[c] for r in head] for c in asks})
-
-        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for x in parts(b) if sent.value["query_id"] else ():
-                    yield best(sent.value, x)
-
-        return records.mapInArrow(stream, ddl)
-    return _blocks(records, queries, parts, best, ddl)
+    return parts, best
 
 
-def _blocks(records: DataFrame, queries: DataFrame, parts: Callable, best: Callable, ddl: str) -> DataFrame:
+def _blocks(records: DataFrame, queries: DataFrame, parts: Callable, best: Callable, within: str | None = None) -> DataFrame:
     """All blocks of queries past all parts of the records, for any number of either: a grid of tasks, each of which holds one
     block of queries and lets its part of the records stream past. Rows are dealt by a hash of the id, so no counting window and
-    no loop on the driver is needed. A part has SHARE records, which bounds how often a query is copied."""
-    spread = [max(1, -(-df.count() // most)) for df, most in ((queries, QUERY_BATCH), (records, SHARE))]
-    asks, names = queries.columns, records.columns
-    both = lambda df, kind, mine, other: df.select(F.struct(*df.columns).alias(kind), *(F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int").alias(c) if c == mine else F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c) for c, n in zip(("block", "part"), spread)))
-    q = both(queries, "q", "block", "part").withColumn("r", F.lit(None).cast(records.select(F.struct(*names)).schema[0].dataType))
-    r = both(records, "r", "part", "block").withColumn("q", F.lit(None).cast(queries.select(F.struct(*asks)).schema[0].dataType))
-    cells = q.unionByName(r).withColumn("late", F.col("r").isNotNull()).repartition("block", "part").sortWithinPartitions("block", "part", "late").select("block", "part", "q", "r")
+    no loop on the driver is needed. A part has SHARE records, which bounds how often a query is copied. With within, a column of
+    both, only rows that are equal in it meet: each of its values has a grid of its own, as large as its largest needs."""
+
+    def most(df: DataFrame) -> int:
+        return df.count() if within is None else df.groupBy(within).count().agg(F.max("count")).first()[0] or 0
+
+    spread = [max(1, -(-most(df) // n)) for df, n in ((queries, QUERY_BATCH), (records, SHARE))]
+    asks, names = [[c for c in df.columns if c != within] for df in (queries, records)]
+    group = F.lit(0) if within is None else F.col(within).cast("int")
+    both = lambda df, own, kind, mine, other: df.select(group.alias("grid"), F.struct(*own).alias(kind), *(F.pmod(F.xxhash64(own[0]), F.lit(n)).cast("int").alias(c) if c == mine else F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c) for c, n in zip(("block", "part"), spread)))
+    q = both(queries, asks, "q", "block", "part").withColumn("r", F.lit(None).cast(records.select(F.struct(*names)).schema[0].dataType))
+    r = both(records, names, "r", "part", "block").withColumn("q", F.lit(None).cast(queries.select(F.struct(*asks)).schema[0].dataType))
+    cells = q.unionByName(r).withColumn("late", F.col("r").isNotNull()).repartition("grid", "block", "part").sortWithinPartitions("grid", "block", "part", "late").select(F.struct("grid", "block", "part").alias("cell"), "q", "r")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {c: [] for c in asks}
         for b in batches:
-            cell = np.asarray(b.column(0)).astype(np.int64) << 32 | np.asarray(b.column(1))
-            cut = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else cell
+            cell = np.stack([np.asarray(x, np.int64) for x in b.column(0).flatten()], axis=1)
+            cut = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)]) if len(cell) else np.zeros(0, np.int64)
             for lo, hi in zip(cut, np.r_[cut[1:], len(cell)]):
-                if cell[lo] != at:
-                    at, held = cell[lo], {c: [] for c in asks}
+                if tuple(cell[lo]) != at:
+                    at, held = tuple(cell[lo]), {c: [] for c in asks}
                 x = b.slice(lo, hi - lo)
-                mine = x.filter(x.column(2).is_valid()).column(2)
+                mine = x.filter(x.column(1).is_valid()).column(1)
                 for c in asks:
                     held[c] += mine.field(c).to_pylist() if len(mine) else []
-                rest = x.filter(x.column(3).is_valid()).column(3)
+                rest = x.filter(x.column(2).is_valid()).column(2)
                 if len(rest) and held["query_id"]:
                     for part in parts(pa.RecordBatch.from_struct_array(rest)):
                         yield best(held, part)
 
-    return cells.mapInArrow(stream, ddl)
+    return cells.mapInArrow(stream, FOUND)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -242,12 +254,28 @@ def assign_lists(rows: DataFrame, centroids: np.ndarray, probes: int, id_col: st
 
 
 def ivf_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
-    """(query_id, rank, id, score): k best among the records of each query's nearest lists."""
-    from tidemark.functions.vectors import cosine
+    """(query_id, rank, id, score): k best among the records of each query's nearest lists.
+
+    The queries of a list meet its records in blocks (see `_blocks`), scored as matrices; only a batch's best per query leave it.
+    """
+    asked = assign_lists(queries.select("query_id", "vector"), centroids, probes, "query_id", "vector").select(F.col("id").alias("query_id"), "v", "list")
+
+    def score(q: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
+        s = np.round(_unit(np.array(q["v"], float)) @ _unit(np.array(b["v"], float)).T, 6) + 0.0
+        return s, np.zeros(s.shape[1])
+
+    records = index.select("id", "v", "list")
+    return top(_blocks(records, asked, *_scorer(["id", "v"], score, k), within="list"), k).select("query_id", "rank", "id", "score")
 
-    asked = assign_lists(queries.select("query_id", "vector"), centroids, probes, "query_id", "vector").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "list")
-    return top(index.join(asked, "list").select("query_id", "id", cosine(F.col("v"), F.col("q")).alias("score")), k).select("query_id", "rank", "id", "score")
 
+def ivf_probes(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, least: int = 1, recall: float = 0.95, sample: int = 96) -> int:
+    """The fewest lists, not under least, that hold this share of the k nearest by brute force of a bounded sample of the queries."""
+    drawn = queries.select("query_id", "vector").orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+    asked = {r["query_id"]: _unit(np.array([r["vector"]], float)) @ centroids.T for r in drawn.collect()}
+    place = {q: np.argsort(np.argsort(-s[0], kind="stable")) for q, s in asked.items()}
+    true = index.select("id", "list").join(F.broadcast(knn(index, drawn, k, "id", "v")), "id").select("query_id", "list").collect()
+    depth = np.sort([place[r["query_id"]][r["list"]] for r in true])
+    return max(least, int(depth[int(np.ceil(recall * len(depth))) - 1]) + 1) if len(depth) else least
 
 
 def ivf_search_filtered(index: DataFrame, centroids: np.ndarray, queries: DataFrame, allowed: DataFrame, k: int, probes: int = 1) -> DataFrame:

@@ -351,7 +351,8 @@ def hybrid_search(spark, sf):
 @register
 def ann_ivf(spark, sf):
     index, centroids = vector.ivf_index(fx.table(spark, sf, "embeddings"), 16)
-    return vector.ivf_search(index, centroids, _asked_vectors(spark, sf), 10, 8)
+    asked = _asked_vectors(spark, sf)
+    return vector.ivf_search(index, centroids, asked, 10, vector.ivf_probes(index, centroids, asked, 10, least=8))
 
 
 @register
