@@ -53,3 +53,10 @@ def test_one_fact_and_paths_come_from_one_chain_of_joins(spark):
     plans = spark.createDataFrame([(*p, False) for p in plans], "query_id long, namespace string, entity string, predicate string, hops array<string>, as_of double, preference boolean")
     got = sorted(map(tuple, retrieve.structured_fetch(plans, v).collect()))
     assert got == [(1, 1, "Ann's current boss is Bo.", 1), (2, 1, "ann boss city is Rome.", 1), (2, 2, "ann boss city is Rome.", 3), (3, 1, "ann boss city is Oslo.", 1), (3, 2, "ann boss city is Oslo.", 2)]
+
+
+def test_predicates_need_all_of_their_words(spark):
+    stored = spark.createDataFrame([("n", "favorite color"), ("n", "color"), ("n", "favorite food"), ("m", "shade"), ("n", "the")], "namespace string, predicate string")
+    asked = [(1, "n", "What is the favorite color of c1?"), (2, "n", "Which color, and where does c1 live?"), (3, "m", "favorite color or shade"), (4, "n", None), (5, None, "color")]
+    got = retrieve.plan_predicates(spark.createDataFrame(asked, "query_id long, namespace string, question string"), stored)
+    assert {r["query_id"]: r["predicates"] for r in got.collect()} == {1: ["color", "favorite color"], 2: ["color", "city"], 3: ["shade"], 4: [], 5: []}
