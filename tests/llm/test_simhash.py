@@ -154,3 +154,89 @@ def test_short_texts_are_no_copies_of_an_empty_one(docs):
     texts = (" ".join(f"{w}{i}" for w in "abcdef") for i in range(20_000))
     rare = next(t for t in texts if sum(int(x).bit_count() for x in simhash.fingerprint(t.encode(), 5, simhash.LANES)) <= 44)
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs([(1, ""), (2, None), (3, rare)])).collect()) == [1, 2, 3]
+
+
+def kin(count, edits, seed, words=300):
+    """Texts that each have `edits` words of their own in place of one text's, at drawn places far apart."""
+    rng = random.Random(seed)
+    base, rows = [f"k{rng.randrange(10**6)}" for _ in range(words)], []
+    for i in range(count):
+        t = base.copy()
+        for at in rng.sample(range(8, words - 8, 6), edits if isinstance(edits, int) else rng.choice(edits)):
+            t[at] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+def test_rows_stay_in_proportion_to_a_group(docs, monkeypatch):
+    """Texts just below the similarity: 19,900 pairs, none of which is a link."""
+    made, stash = {}, simhash.stash
+
+    def counted(df, what):
+        out = stash(df, what)
+        made[what] = max(made.get(what, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stash", counted)
+    rows = kin(200, 6, 1)
+    assert all(0.65 < jaccard(rows[0][1], t) < 0.8 for _, t in rows[1:])
+    assert simhash.one_of_each(docs(rows)).count() == 200
+    assert max(made.values()) < 5_000, made  # the deals' links are 24 for each text at most
+
+
+def test_ties_join_what_may_be_alike(spark):
+    rng = np.random.default_rng(7)
+    rows = np.array([(t, n % 7, n, 20 + n % 40, rng.integers(0, 8)) for t in range(30) for n in rng.choice(300, 9, replace=False)])
+    many = np.array([(99, n, n, 100, 3) for n in range(500)])
+    (few,), (crowd,) = (list(simhash._ties(0.8)(x)) for x in (rows, many))
+    able = [(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and 0.8 * max(a[3], b[3]) <= min(a[3], b[3]) and min(a[4], b[4]) + min(a[3] - a[4], b[3] - b[4]) >= 0.8 / 1.8 * (a[3] + b[3]) - 1e-9]
+    assert classes(zip(*few.to_pydict().values()), 300) == classes(able, 300) and len(able) > 100
+    assert crowd.num_rows == 499 and set(classes(zip(*crowd.to_pydict().values()), 500)) == {0}
+
+
+def hashed(docs, rows):
+    return docs(rows).selectExpr("xxhash64(text) AS text_hash", "CAST(text AS BINARY) AS text")
+
+
+@pytest.mark.parametrize("shard", [1 << 22, 700])
+def test_suspects_are_counted_exactly(docs, shard, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    rows = pairs_at(20, 4, 3) + [(100 + i, t) for i, t in kin(5, 9, 4)] + [(200, "one two"), (201, "alone"), (202, ""), (203, "one two")]
+    sets = {t: simhash.shingles(t.encode(), 5) for _, t in rows}
+    own = {t: sum(all(x not in v for u, v in sets.items() if u != t) for x in s) for t, s in sets.items()}
+    want = {simhash._node(s) for t, s in sets.items() if len(s) and own[t] <= len(s) - 0.8 * len(s) + 1e-9}
+    got = {r[0] for r in simhash.suspects(hashed(docs, rows), 5, 0.8).collect()}
+    assert want <= got <= want | {simhash._node(sets["one two"])} and len(want) >= 40  # copies in several tasks look shared
+
+
+@pytest.mark.parametrize(("crowd", "part"), [(64, 1 << 16), (3, 500)])
+def test_missed_against_all_pairs(spark, docs, crowd, part, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "PART", part)
+    rows = kin(40, (1, 2, 3, 4, 5, 8), 5) + [(100 + i, t) for i, t in pairs_at(10, 4, 6)] + [(200 + i, t) for i, t in pairs_at(10, 5, 7)]
+    texts = [t for _, t in rows]
+    nodes = [simhash._node(simhash.shingles(t.encode(), 5)) for t in texts]
+    given = [(nodes[0], nodes[1]), (nodes[2], nodes[1])]  # links found before
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    named = hashed(docs, rows).selectExpr("text_hash AS rep", "CAST(text AS STRING) AS t")
+    named = named.join(spark.createDataFrame(list(zip(nodes, texts)), "node long, t string"), "t").select("node", "rep")
+    got = simhash.missed(hashed(docs, rows), named, simhash.components(spark.createDataFrame(given, "a long, b long")), 5, 0.8).collect()
+    at = {n: i for i, n in enumerate(nodes)}
+    found = [(at[r["a"]], at[r["b"]]) for r in got]
+    assert set(map(frozenset, found)) <= set(map(frozenset, alike)) and 20 < len(alike)
+    known = [(0, 1), (2, 1)]
+    assert classes(found + known, len(rows)) == classes(alike + known, len(rows))
+
+
+def test_few_edges_take_one_task(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
+    made, stash = [], simhash.stash
+    monkeypatch.setattr(simhash, "stash", lambda df, what: made.append(what) or stash(df, what))
+    for few in (simhash.FEW, 20, 0):
+        monkeypatch.setattr(simhash, "FEW", few)
+        got = {}
+        for r in simhash.components(edges).collect():
+            got.setdefault(r["root"], set()).add(r["node"])
+        assert sorted(map(len, got.values())) == [2, 61]
+        if few == 1 << 20:
+            assert made == ["edges", "up"]

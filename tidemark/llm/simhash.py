@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import has_word, partitions, stash
+from tidemark.llm.files import from_planes, to_planes
 
 _SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -266,17 +268,33 @@ def links(fps: DataFrame, budget: int = 2, hot: int | None = None) -> DataFrame:
     return kept.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_join_buckets(4, 1, budget), "a long, b long").distinct()
 
 
+#: Edges that one task may settle.
+FEW = 1 << 20
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): one node of its component, the same for the whole component, for every node of an edge.
 
     In each round every node moves to the neighbour (or itself) of least hashed priority, and the edges between the nodes
     so reached go to the next round. Priorities change by round, so that no order of the ids makes long chains slow; the
     nodes shrink by a constant factor. The rounds' maps are then followed. Each round is a written table, so its cost and
-    its recovery do not depend on the rounds before it.
+    its recovery do not depend on the rounds before it. FEW edges or less are settled by one task, which saves the driver the
+    plans of further rounds.
     """
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([np.asarray(b.column(k)) for k in range(2)]) for b in batches]
+        if held:
+            name, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+            at = at.reshape(2, -1)
+            yield pa.record_batch([pa.array(name), pa.array(name[_unite(np.arange(len(name)), at[0], at[1])])], names=["node", "up"])
+
     maps: list[DataFrame] = []
     edges = stash(edges.select("a", "b").where("a <> b"), "edges")
-    while edges.limit(1).count():
+    while many := edges.count():
+        if many <= FEW:
+            maps.append(stash(edges.coalesce(1).mapInArrow(settle, "node long, up long"), "up"))
+            break
         turn = F.lit(len(maps))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, turn).alias("p"), F.col(c).alias("n"))
@@ -389,140 +407,282 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, si
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-#: Fewest and most counters of shingles, a byte each; they only order shingles by how common they look, which any order may do.
-COUNTERS, CHUNK = (1 << 20, 1 << 25), 1 << 18
-
+#: Bits kept of a shingle's hash where only its rarity is asked: shingles that these take for one look shared, which costs time and no link.
+KEPT = 44
+#: Shingles that a task packs into one shard.
+SHARD = 1 << 22
 
-def counters_for(text_bytes: int) -> int:
-    """About one for every shingle of the input, up to the most that every task can hold; beyond that rare shingles look less rare."""
-    return min(COUNTERS[1], max(COUNTERS[0], 1 << max(0, text_bytes // 6).bit_length()))
 
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(to_planes(x)), 1)
 
-class _Counts:
-    """How many texts of a task hold a shingle of each class, up to 255."""
 
-    def __init__(self, cells: int) -> None:
-        self.total = np.zeros(cells, np.uint8)
+def _unpacked(content: bytes, n: int) -> np.ndarray:
+    whole = zstandard.decompress(content)
+    return from_planes([whole[k : k + n] for k in range(0, len(whole), n)], n, np.int64)
 
-    def add(self, h: np.ndarray) -> None:
-        at = (h & np.uint64(len(self.total) - 1)).astype(np.int64)
-        self.total[at] = np.minimum(self.total[at], 254) + 1
 
-    def chunks(self) -> Iterator[tuple[int, bytes]]:
-        for k, x in enumerate(self.total.reshape(-1, CHUNK)):
-            if x.any():
-                yield k, zstandard.compress(x.tobytes(), 1)
+def suspects(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node): the sets that may have a partner at the similarity; any that has one is among them. rows: (text_hash, text).
 
+    A set with a partner shares at least `similarity` of its shingles, so one with more shingles of its own is out. Shingles are
+    counted exactly, at any size: a task sorts those of its texts and sends each range of hashes its part of them, as packed steps
+    with the number of the only text that has a shingle (0: several have). The range's task finds which no other shard has and
+    answers each shard with a count for every text. Copies of a text in other tasks make its shingles look shared.
+    """
+    ranges = partitions(rows.sparkSession)
+    bounds = np.array([(k << KEPT) // ranges for k in range(ranges + 1)], np.uint64)
+    schema = "shard long, range int, n int, h binary, x binary"
 
-def _commonness(counted: DataFrame, cells: int) -> np.ndarray:
-    """The sums of all tasks' counts (chunk, counts), up to 255; bounded in size, added up on the executors."""
+    def row(*values: object) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.record_batch([pa.array([v], t) for v, t in zip(values, types)], names=["shard", "range", "n", "h", "x"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[int] = set()
+        shard, held, name, total = TaskContext.get().partitionId() << 24, [], [], 0
         for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
-                more = np.frombuffer(zstandard.decompress(x.as_py()), np.uint8)
-                held[k] = np.minimum(held[k].astype(np.uint16) + more, 255).astype(np.uint8) if k in held else more
-        for k, x in held.items():
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["chunk", "counts"])
-
-    sums = counted.repartition(8, "chunk").mapInArrow(add, "chunk int, counts binary")
-    out = np.zeros((cells // CHUNK, CHUNK), np.uint8)
-    for r in sums.toLocalIterator():
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
-    return out.ravel()
-
-
-def _pairs_of_runs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over rows (token, class, node, size, pos) of long, sorted by the token: the pairs (a, b) of nodes of unlike classes
-    that share a token and whose sizes and places of the token allow the similarity."""
+            for t, text in zip(b.column(0).to_pylist(), b.column(1)):
+                if t in made:
+                    continue
+                made.add(t)
+                h = shingles(text.as_py(), words)
+                if len(h):
+                    held.append(h)
+                    name.append(_node(h))
+                    total += len(h)
+                if total >= SHARD:
+                    yield from flush(shard, held, name)
+                    shard, held, name, total = shard + 1, [], [], 0
+        if held:
+            yield from flush(shard, held, name)
+
+    def flush(shard: int, held: list[np.ndarray], name: list[int]) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(h) for h in held], np.int64)
+        yield row(shard, shard % ranges, -len(sizes), np.array(name, np.int64).tobytes(), sizes.tobytes())
+        h, text = np.concatenate(held) >> np.uint64(64 - KEPT), np.repeat(np.arange(1, len(sizes) + 1), sizes)
+        order = np.argsort(h)
+        h, text = h[order], text[order]
+        first = np.r_[True, h[1:] != h[:-1]]
+        text = np.where(np.r_[first[1:], True], text, 0)[first]
+        h = h[first]
+        ends = np.searchsorted(h, bounds)
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            a, b = ends[k], ends[k + 1]
+            yield row(shard, k, b - a, _packed(np.diff(h[a:b], prepend=np.uint64(0))), _packed(text[a:b]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            for i in range(b.num_rows):
+                shard, k, n, h, x = (c[i].as_py() for c in b.columns)
+                if n < 0:
+                    yield row(shard, k, n, h, x)
+                    continue
+                if k != at and held:
+                    yield from settle(held)
+                    held = []
+                at = k
+                held.append((shard, np.cumsum(_unpacked(h, n)), _unpacked(x, n)))
+        if held:
+            yield from settle(held)
+
+    def settle(held: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate([x[1] for x in held])
+        order = np.argsort(h)
+        first = np.r_[True, np.diff(h[order]) > 0]
+        alone = np.empty(len(h), bool)
+        alone[order] = first & np.r_[first[1:], True]
+        at = 0
+        for shard, _, text in held:
+            own = np.bincount(text[alone[at : at + len(text)]])
+            own[:1] = 0
+            at += len(text)
+            if own.any():
+                yield row(shard, 0, len(own), _packed(own), None)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, named = None, np.zeros(1, np.int64), None
+        for b in batches:
+            for i in range(b.num_rows):
+                shard, _, n, h, x = (c[i].as_py() for c in b.columns)
+                if shard != at and named:
+                    yield found(own, *named)
+                    own, named = np.zeros(1, np.int64), None
+                at = shard
+                if n < 0:
+                    named = np.frombuffer(h, np.int64), np.frombuffer(x, np.int64)
+                    continue
+                more = _unpacked(h, n)
+                own = np.pad(own, (0, max(0, n - len(own))))
+                own[:n] += more
+        if named:
+            yield found(own, *named)
+
+    def found(own: np.ndarray, name: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        own = np.pad(own, (0, max(0, len(sizes) + 1 - len(own))))[1:]
+        return pa.record_batch([pa.array(name[own < sizes - np.ceil(similarity * sizes - 1e-9) + 1])], names=["node"])
+
+    sent = rows.select("text_hash", "text").mapInArrow(pack, schema).repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(count, schema)
+    return sent.repartition(ranges, "shard").sortWithinPartitions("shard").mapInArrow(judge, "node long").distinct()
+
+
+def _runs(columns: int, settle: Callable[[np.ndarray], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over rows of long sorted by the first: settle gets whole runs of equal ones, many at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for b in batches:
-            held.append(np.stack([np.asarray(b.column(i)) for i in range(5)], axis=1))
+            held.append(np.stack([np.asarray(b.column(i)) for i in range(columns)], axis=1))
             if sum(map(len, held)) >= 1 << 17:
                 rows = np.concatenate(held)
                 last = rows[:, 0] == rows[-1, 0]
                 start = 0 if last.all() else len(rows) - int(np.argmin(last[::-1]))
-                yield from settle(rows[:start])
+                if start:
+                    yield from settle(rows[:start])
                 held = [rows[start:]]
-        if held:
-            yield from settle(np.concatenate(held))
+        rows = np.concatenate(held) if held else []
+        if len(rows):
+            yield from settle(rows)
+
+    return run
+
+
+def _contested(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, class, node, size) those whose token several classes have, with the number of these."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    new = np.r_[True, rows[1:, 0] != rows[:-1, 0]]
+    cut = np.flatnonzero(new)
+    classes = np.add.reduceat((new | np.r_[True, rows[1:, 1] != rows[:-1, 1]]).astype(np.int64), cut)
+    classes = np.repeat(classes, np.diff(np.r_[cut, len(rows)]))
+    on = classes > 1
+    yield pa.record_batch([pa.array(x) for x in (*rows[on].T, classes[on])], names=["token", "class", "node", "size", "classes"])
+
+
+#: Sets that one token may bring together pair by pair; of more, each is linked with the next by size.
+CROWD = 64
+
+
+def _ties(similarity: float) -> Callable[[np.ndarray], Iterator[pa.RecordBatch]]:
+    """Of rows (token, class, node, size, pos): spanning links (a, b) of all nodes of unlike classes that share a token and whose sizes
+    and places of the token allow the similarity. No more rows than nodes, however many pairs there are."""
 
     def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(rows):
-            return
-        cut = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-        mixed = np.minimum.reduceat(rows[:, 1], cut) != np.maximum.reduceat(rows[:, 1], cut)
-        rows = rows[np.repeat(mixed, np.diff(np.r_[cut, len(rows)]))]
         rows = rows[np.lexsort((rows[:, 3], rows[:, 0]))]
         token, cls, node, size, pos = rows.T
+        cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        length = np.diff(np.r_[cut, len(rows)])
+        crowd = np.repeat(length > CROWD, length)
+        name, at = np.unique(node, return_inverse=True)
+        parent = np.arange(len(name))
         i = np.arange(len(rows))
-        j, found, held = i + 1, [], 0
-        while len(i):
-            on = j < len(rows)
-            i, j = i[on], j[on]
+        for step in range(1, CROWD):
+            i = i[i + step < len(rows)]
+            j = i + step
             on = (token[i] == token[j]) & (size[i] >= similarity * size[j] - 1e-9)  # sizes rise within a token
             i, j = i[on], j[on]
             most = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
             can = (cls[i] != cls[j]) & (most >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9)
-            if can.any():
-                x, y = node[i[can]], node[j[can]]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-                held += len(x)
-            if held > 1 << 18:
-                yield batch(found)
-                found, held = [], 0
-            j = j + 1
-        if found:
-            yield batch(found)
-
-    def batch(found: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            can |= crowd[i]  # neighbours by size link all that sizes allow
+            parent = _unite(parent, at[i[can]], at[j[can]])
+            i = i[~crowd[i]]
+            if not len(i):
+                break
+        tied = np.flatnonzero(parent != np.arange(len(parent)))
+        yield pa.record_batch([pa.array(name[tied]), pa.array(name[parent[tied]])], names=["a", "b"])
+
+    return settle
+
+
+def _compare(size: np.ndarray, cls: np.ndarray, part: np.ndarray, tokens: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Spanning links between sets (tokens, one after the other) of unlike classes and, where there are two, unlike parts, by the exact similarity."""
+    m, ends = len(size), np.cumsum(size)
+    token = np.unique(tokens, return_inverse=True)[1]
+    n = np.bincount(token)
+    start = np.cumsum(n) - n
+    owner = np.repeat(np.arange(m), size)[np.argsort(token, kind="stable")]
+    label = np.unique(cls, return_inverse=True)[1]
+    two = part.min() != part.max()
+    for x in range(m - 1):
+        open_ = label != label[x]
+        open_[: x + 1] = False
+        if two:
+            open_ &= part != part[x]
+        if not open_.any():
+            continue
+        mine = token[ends[x] - size[x] : ends[x]]
+        mine = mine[n[mine] > 1]
+        shared = np.zeros(m, np.int64)
+        for some in np.split(mine, np.flatnonzero(np.diff(np.cumsum(n[mine]) >> 21)) + 1):
+            k = n[some]
+            shared += np.bincount(owner[np.repeat(start[some] - np.cumsum(k) + k, k) + np.arange(k.sum())], minlength=m)
+        for y in np.flatnonzero(open_ & (shared > 0) & (shared >= similarity * (size[x] + size - shared) - 1e-9)).tolist():
+            if label[x] != label[y]:
+                label[label == label[y]] = label[x]
+                yield x, y
 
-    return run
 
+#: Shingles of a group of this many are compared in one task; of more, parts that grow with the root of their number.
+PART = 1 << 16
 
-def missed(rows: DataFrame, counted: DataFrame, cells: int, roots: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): every pair of nodes of unlike roots that may have the similarity; none that has it is left out. rows: (text_hash, text).
 
-    With shingles in one common order, two sets of the similarity share one of their first `size - ceil(similarity * size) + 1`
-    (prefix filtering). Rare shingles come first, so few unlike sets meet; nodes that one root holds already need no pair.
-    """
-    counts = rows.sparkSession.sparkContext.broadcast(_commonness(counted, cells))
+def missed(rows: DataFrame, nodes: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links that join all nodes of unlike roots that have the similarity, by the whole sets. rows: (text_hash, text).
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: set[int] = set()
-        for b in batches:
-            for at in range(0, b.num_rows, 1_000):
-                name, sizes, out = [], [], []
-                for t, text in zip(b.column(0).slice(at, 1_000).to_pylist(), b.column(1).slice(at, 1_000)):
-                    if t in made:
-                        continue
-                    made.add(t)
-                    h = shingles(text.as_py(), words)
-                    n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
-                    name.append(_node(h))
-                    sizes.append(len(h))
-                    out.append(h[np.lexsort((h, counts.value[(h & np.uint64(cells - 1)).astype(np.int64)]))[:n]].tobytes())
-                yield pa.record_batch([pa.array(name, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["node", "size", "first"])
+    Only the sets of suspects are made. With shingles in one common order, two sets of the similarity share one of their first
+    `size - ceil(similarity * size) + 1` (prefix filtering); the order is by the exact number of classes that have a shingle, and those
+    of a single class come first and need not travel. Sets that so meet are tied, not paired: a group's rows stay in proportion to its
+    sets, and the sets of a group are then compared where they lie, in a grid of parts if they are many.
+    """
+    spark = rows.sparkSession
+    reps = stash(nodes.join(suspects(rows, words, similarity), "node").groupBy("node").agg(F.min("rep").alias("rep")), "suspects")
+    named = _sets(rows, reps, words).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class"), "s")
+    named = stash(named, "suspect-sets")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1_000):
-                cls, node, size = (np.asarray(b.column(k).slice(at, 1_000)) for k in range(3))
-                tokens = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(3).slice(at, 1_000)]
+            for at in range(0, b.num_rows, 500):
+                node, cls = (np.asarray(b.column(k).slice(at, 500)) for k in range(2))
+                tokens = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2).slice(at, 500)]
                 n = np.array([len(x) for x in tokens], np.int64)
-                if n.sum():
-                    cols = [np.concatenate(tokens), *(np.repeat(x, n) for x in (cls, node, size)), np.concatenate([np.arange(k) for k in n])]
-                    yield pa.record_batch([pa.array(x) for x in cols], names=["token", "class", "node", "size", "pos"])
+                yield pa.record_batch([pa.array(x) for x in (np.concatenate(tokens), *(np.repeat(x, n) for x in (cls, node, n)))], names=["token", "class", "node", "size"])
+
+    def by_token(df: DataFrame) -> DataFrame:
+        return df.repartition(partitions(spark), "token").sortWithinPartitions("token")
+
+    shared = by_token(named.mapInArrow(spread, "token long, class long, node long, size long")).mapInArrow(_runs(4, _contested), "token long, class long, node long, size long, classes long")
+    heads = shared.groupBy("node", "class", "size").agg(F.sort_array(F.collect_list(F.struct("classes", "token"))).alias("x")).withColumn("own", F.col("size") - F.size("x"))
+    heads = heads.withColumn("left", F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1 - F.col("own")).where("left > 0")
+    tokens = heads.select("class", "node", "size", "own", F.posexplode(F.slice("x", F.lit(1), F.col("left").cast("int"))).alias("k", "t"))
+    tokens = by_token(tokens.select("t.token", "class", "node", "size", (F.col("own") + F.col("k")).alias("pos")))
+    tied = components(tokens.mapInArrow(_runs(5, _ties(similarity)), "a long, b long").distinct())
+
+    met = named.join(tied.withColumnRenamed("root", "group"), "node")
+    parts = stash(met.groupBy("group").agg(F.sum(F.octet_length("s") / 8).alias("n")), "groups").select("group", F.ceil(F.sqrt(F.col("n") / PART)).alias("parts"))
+    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.least(o, mine) * F.col("parts") + F.greatest(o, mine))
+    dealt = met.join(parts, "group").select("group", F.explode(pairs).alias("w"), mine.alias("part"), "class", "node", "s")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            for i, key in enumerate(keys):
+                if key != at and held:
+                    yield settle(held)
+                    held = []
+                at = key
+                held.append((*(b.column(k)[i].as_py() for k in (2, 3, 4)), np.frombuffer(b.column(5)[i].as_py(), np.uint64)))
+        if held:
+            yield settle(held)
 
-    heads = rows.select("text_hash", "text").mapInArrow(first, "node long, size long, first binary").groupBy("node").agg(F.first("size").alias("size"), F.first("first").alias("first"))
-    named = heads.join(roots, "node", "left").select(F.coalesce("root", "node").alias("class"), "node", "size", "first")
-    tokens = named.mapInArrow(spread, "token long, class long, node long, size long, pos long")
-    return tokens.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token").mapInArrow(_pairs_of_runs(similarity), "a long, b long").distinct()
+    def settle(held: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        part, cls, node = (np.array(x, np.int64) for x in list(zip(*held))[:3])
+        sets = [x[3] for x in held]
+        found = list(_compare(np.array([len(s) for s in sets], np.int64), cls, part, np.concatenate(sets), similarity))
+        return pa.record_batch([pa.array(node[[p[k] for p in found]], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.repartition(partitions(spark), "group", "w").sortWithinPartitions("group", "w").mapInArrow(compare, "a long, b long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block: int | None = None) -> DataFrame:
@@ -533,34 +693,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their size: fingerprints of distinct shingles have 256 bits here, as 64 cannot tell 0.8 from 0.5, and the budget of that similarity.
     Pairs meet in any of several deals, each a set of tries over the fingerprints that agree on some drawn bits. A trie of more
     than `block` fingerprints is dealt in blocks, every pair of blocks a trie of its own, so that no task holds more than two. What
-    fingerprints miss, or a refused link hid, comes from `missed`, which leaves out no pair between the groups so found. Shingle sets
-    are made from the texts wherever they are needed and not written, being larger than the texts.
+    fingerprints miss, or a refused link hid, comes from `missed`, which leaves out no link between the groups so found. Shingle sets
+    are larger than the texts: they are made from these where they are needed, and only those of few texts are written.
     """
     block = HOT if block is None else block
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    cells = counters_for(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = ["id", "text_hash", "node", "fp", "chunk", "counts"], _Counts(cells)
         for b in batches:
             for at in range(0, b.num_rows, 1_000):
                 part = b.slice(at, 1_000)
                 node, fps = [], []
                 for t in part.column(2):
                     h = shingles(t.as_py(), words)
-                    counts.add(h)
                     node.append(_node(h))
                     fps.append(set_fingerprint(h, LANES))
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(fps).view(np.int64)), LANES).cast(pa.list_(pa.int64()))
-                nothing = part.num_rows
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(node, pa.int64()), lists, pa.nulls(nothing, pa.int32()), pa.nulls(nothing, pa.binary())], names=names)
-        held = list(counts.chunks())
-        if held:
-            empty = [pa.nulls(len(held), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-            yield pa.record_batch([*empty, pa.array([k for k, _ in held], pa.int32()), pa.array([x for _, x in held], pa.binary())], names=names)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(node, pa.int64()), lists], names=["id", "text_hash", "node", "fp"])
 
-    found = stash(rows.mapInArrow(run, "id long, text_hash long, node long, fp array<long>, chunk int, counts binary"), "fingerprints")
-    marks, counted = found.where("chunk IS NULL").drop("chunk", "counts"), found.where("chunk IS NOT NULL").select("chunk", "counts")
+    marks = stash(rows.mapInArrow(run, "id long, text_hash long, node long, fp array<long>"), "fingerprints")
     nodes = stash(marks.groupBy("node", "fp").agg(F.min("id").alias("least"), F.min("text_hash").alias("rep")), "nodes")
     least = stash(nodes.groupBy("fp").agg(F.min("node").alias("node")), "distinct-fingerprints")
     drawn = np.random.default_rng(SEED)
@@ -588,8 +739,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike = nodes.select("fp", F.col("node").alias("a")).join(least.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
     edges = verified(stash(near.unionByName(alike), "proposed"), rows, nodes, words, similarity)
     edges = stash(edges, "links")
-    more = stash(missed(rows, counted, cells, components(edges), words, similarity), "proposed")
-    roots = components(edges.unionByName(verified(more, rows, nodes, words, similarity)))
+    roots = components(edges.unionByName(missed(rows, nodes, components(edges), words, similarity)))
     joined = nodes.join(roots, "node", "left").select("node", "fp", "least", F.coalesce("root", "node").alias("root"))
     owner = joined.groupBy("root").agg(F.min("least").alias("component"))
     return marks.select("id", "text_hash", "node").join(joined.join(owner, "root").select("node", "fp", "component", "root"), "node").select("id", "text_hash", "fp", "component", "root")
